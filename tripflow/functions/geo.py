@@ -97,7 +97,7 @@ def points_text(points: Column) -> Column:
     """'lat lng;lat lng' in micro-degrees, for text outputs and comparisons."""
 
     def micro(c: Column) -> Column:
-        return F.round(c * F.lit(1e6)).cast("long").cast("string")
+        return F.round(c * F.lit(1e6), 0).cast("long").cast("string")
 
     return F.array_join(
         F.transform(points, lambda p: F.concat(micro(p.lat), F.lit(" "), micro(p.lng))), ";"

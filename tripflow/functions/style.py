@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tripflow.functions.numbers import round_places
+
 # Palette cycled over the modes of a dataset.
 PALETTE = (
     "#1f77b4", "#2ca02c", "#9467bd", "#ff7f0e", "#d62728",
@@ -51,7 +53,7 @@ def auto_or(mode: Column, auto_colour: str, other_colour: str, autos=AUTO_MODES)
 
 def power_size(base: float, count: Column, exponent: float) -> Column:
     """base + count ** exponent, at 6 decimals."""
-    return F.round(F.lit(base) + F.pow(count.cast("double"), F.lit(exponent)), 6)
+    return round_places(F.lit(base) + F.pow(count.cast("double"), F.lit(exponent)), 6)
 
 
 def thousands(count: Column) -> Column:

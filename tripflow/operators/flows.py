@@ -80,22 +80,35 @@ def top_od(trips: DataFrame, n: int = 500, population: DataFrame | None = None)
 
 
 def flow_stats(flows: DataFrame, top_modes: int = 3) -> DataFrame:
-    """Per dataset: sum, maximum and mean of the flow counts and its leading modes.
-
-    Flows without a mode count in the numbers and are no candidates for the
-    leading modes.
-    """
+    """Per dataset: sum, maximum and mean of the flow counts and its leading modes."""
     per_mode = flows.groupBy("dataset", "mode").agg(
         F.sum("trip_count").alias("total"),
         F.max("trip_count").alias("largest"),
         F.count(F.lit(1)).alias("flows"),
     )
+    return stats_over_modes(per_mode, top_modes)
+
+
+def leading_modes(place: str, top_modes: int):
+    """Mode names up to a place, in order; collects no more than that many."""
+    leader = F.when(
+        (F.col(place) <= top_modes) & F.col("mode").isNotNull(),
+        F.struct(F.col(place).alias("place"), F.col("mode").alias("mode")),
+    )
+    return F.array_join(
+        F.transform(F.array_sort(F.collect_list(leader)), lambda s: s.mode), ", "
+    )
+
+
+def stats_over_modes(per_mode: DataFrame, top_modes: int, *more) -> DataFrame:
+    """Flow statistics from one row per dataset and mode, plus further aggregates.
+
+    Flows without a mode count in the numbers and are no candidates for the
+    leading modes.
+    """
     standing = Window.partitionBy("dataset").orderBy(
         F.col("mode").isNull(), F.desc("total"), F.asc("mode")
     )
-    leader = F.when(
-        (F.col("place") <= top_modes) & F.col("mode").isNotNull(), F.struct("place", "mode")
-    )
     return (
         per_mode.withColumn("place", F.row_number().over(standing))
         .groupBy("dataset")
@@ -103,8 +116,7 @@ def flow_stats(flows: DataFrame, top_modes: int = 3) -> DataFrame:
             F.sum("total").alias("total_route_instances"),
             F.max("largest").alias("max_route_frequency"),
             (F.sum("total") / F.sum("flows")).alias("avg_route_frequency"),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(leader)), lambda s: s.mode), ", "
-            ).alias("top_route_modes"),
+            leading_modes("place", top_modes).alias("top_route_modes"),
+            *more,
         )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS
+from tripflow.functions.numbers import round_places
 from tripflow.operators.flows import valid_coords
 from tripflow.operators.topn import in_order, top_per_group
 
@@ -19,15 +20,15 @@ def usable() -> Column:
 
 def averages(digits: int = 2) -> list[Column]:
     return [
-        F.round(F.avg("distance_miles"), digits).alias("avg_distance_miles"),
-        F.round(F.avg("duration_minutes"), digits).alias("avg_duration_min"),
+        round_places(F.avg("distance_miles"), digits).alias("avg_distance_miles"),
+        round_places(F.avg("duration_minutes"), digits).alias("avg_duration_min"),
     ]
 
 
 def share_of_dataset(count: str, digits: int) -> Column:
     """Percentage of the dataset's total; runs on one row per mode."""
     total = F.sum(count).over(Window.partitionBy("dataset"))
-    return F.round(F.col(count) * F.lit(100.0) / total, digits)
+    return round_places(F.col(count) * F.lit(100.0) / total, digits)
 
 
 def mode_summary(trips: DataFrame, digits: int = 2) -> DataFrame:
@@ -90,7 +91,7 @@ def mode_statistics(trips: DataFrame, accuracy: int = 10_000) -> DataFrame:
     numbers = rows.groupBy("dataset", "mode").agg(
         F.count(F.lit(1)).alias("total_trips"),
         *averages(),
-        F.round(F.stddev_samp("duration_minutes"), 2).alias("std_duration_min"),
+        round_places(F.stddev_samp("duration_minutes"), 2).alias("std_duration_min"),
         F.percentile_approx("duration_minutes", 0.5, accuracy).alias("median_duration_min"),
     )
     complete = F.greatest(*[F.col(c).isNull() for c in OD_COLUMNS]) == F.lit(False)

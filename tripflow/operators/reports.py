@@ -4,77 +4,94 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripflow.functions.geo import OD_COLUMNS, valid_od
-from tripflow.operators.flows import flow_stats, largest_first
-from tripflow.operators.modes import share_of_dataset, usable
-from tripflow.operators.topn import top_per_group
+from tripflow.functions.geo import OD_COLUMNS
+from tripflow.functions.numbers import round_places
+from tripflow.operators.flows import leading_modes, stats_over_modes, valid_coords
+from tripflow.operators.modes import mode_popularity, usable
+from tripflow.operators.topn import in_order, top_per_group
+
+
+def popularity_report(trips: DataFrame) -> DataFrame:
+    """Per dataset: the most used mode, its share and the three leading modes."""
+    place = Window.partitionBy("dataset").orderBy(
+        F.desc("total_individual_trips"), F.asc_nulls_first("mode")
+    )
+    first = F.col("place") == 1
+    return (
+        mode_popularity(trips)
+        .withColumn("place", F.row_number().over(place))
+        .groupBy("dataset")
+        .agg(
+            F.max(F.when(first, F.col("mode"))).alias("top_mode"),
+            F.max(F.when(first, F.col("percentage"))).alias("top_mode_percentage"),
+            F.max(F.when(first, F.col("total_individual_trips"))).alias("top_mode_trips"),
+            leading_modes("place", 3).alias("top_modes"),
+        )
+    )
 
 
 def dataset_report(trips: DataFrame, per_mode_limit: int = 1000) -> DataFrame:
-    """One row per dataset from a single pass over the trips.
+    """One row per dataset: flow statistics, popularity and the most repeated route.
 
-    Trips are aggregated once per dataset, mode, origin and destination with
-    conditional counts; the three parts read that aggregate. Validity stays an
-    aggregate column, so every part has the same input plan and Spark shuffles
-    it once.
+    The largest flows per mode and the most repeated usable route come from one
+    aggregate: each flow enters the ranking once per question it can answer.
+    Popularity also counts trips with invalid ends and is a second, narrow scan
+    that shuffles one row per mode and task.
     """
     good = usable()
-    base = trips.groupBy("dataset", "mode", *OD_COLUMNS).agg(
+    od = valid_coords(trips).groupBy("dataset", "mode", *OD_COLUMNS).agg(
+        F.count(F.lit(1)).alias("trip_count"),
         F.count_if(good).alias("usable_trips"),
-        F.count_if(valid_od()).alias("valid_trips"),
         F.avg(F.when(good, F.col("distance_miles"))).alias("avg_distance"),
         F.avg(F.when(good, F.col("duration_minutes"))).alias("avg_duration"),
     )
-    modes = (
-        base.groupBy("dataset", "mode")
-        .agg(F.sum("usable_trips").alias("n"))
-        .filter(F.col("n") > 0)
+    flow = F.struct(
+        F.lit("flow").alias("part"),
+        F.col("mode").alias("within"),
+        F.col("trip_count").alias("n"),
     )
-    place = Window.partitionBy("dataset").orderBy(F.desc("n"), F.asc_nulls_first("mode"))
-    leader = F.col("place") == 1
-    popularity = (
-        modes.withColumn("percentage", share_of_dataset("n", 1))
-        .withColumn("place", F.row_number().over(place))
-        .groupBy("dataset")
-        .agg(
-            F.max(F.when(leader, F.col("mode"))).alias("top_mode"),
-            F.max(F.when(leader, F.col("percentage"))).alias("top_mode_percentage"),
-            F.max(F.when(leader, F.col("n"))).alias("top_mode_trips"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(
-                        F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "mode")))
-                    ),
-                    lambda s: s.mode,
-                ),
-                ", ",
-            ).alias("top_modes"),
-        )
+    route = F.when(
+        F.col("usable_trips") > 0,
+        F.struct(
+            F.lit("route").alias("part"),
+            F.lit(None).cast("string").alias("within"),
+            F.col("usable_trips").alias("n"),
+        ),
     )
-    counted = base.filter(F.col("valid_trips") > 0)
-    flows = top_per_group(
-        counted.select(
-            "dataset", "mode", *OD_COLUMNS, F.col("valid_trips").alias("trip_count")
+    ranked = top_per_group(
+        od.select(
+            "dataset",
+            "mode",
+            *OD_COLUMNS,
+            "avg_distance",
+            "avg_duration",
+            F.inline(F.filter(F.array(flow, route), lambda q: q.isNotNull())),
         ),
-        ["dataset", "mode"],
-        largest_first(()),
+        ["dataset", "part", "within"],
+        [F.desc("n"), *in_order(["mode", *OD_COLUMNS])],
         per_mode_limit,
     )
-    routes = (
-        top_per_group(
-            counted.filter(F.col("usable_trips") > 0).withColumnRenamed(
-                "usable_trips", "trip_count"
-            ),
-            ["dataset"],
-            largest_first(("mode",)),
-            1,
-        )
-        .select(
-            "dataset",
-            F.col("mode").alias("top_route_mode"),
-            F.col("trip_count").alias("top_route_trips"),
-            F.round("avg_distance", 2).alias("top_route_distance_miles"),
-            F.round("avg_duration", 2).alias("top_route_duration_min"),
+    is_flow = F.col("part") == "flow"
+    top_route = F.when(
+        ~is_flow & (F.col("rank") == 1),
+        F.struct("mode", "n", "avg_distance", "avg_duration"),
+    )
+    per_mode = ranked.groupBy("dataset", "mode").agg(
+        F.sum(F.when(is_flow, F.col("n"))).alias("total"),
+        F.max(F.when(is_flow, F.col("n"))).alias("largest"),
+        F.count_if(is_flow).alias("flows"),
+        F.max(top_route).alias("route"),
+    )
+    stats = stats_over_modes(per_mode, 3, F.max("route").alias("route"))
+    return (
+        stats.join(popularity_report(trips), "dataset", "left")
+        .withColumns(
+            {
+                "top_route_mode": F.col("route.mode"),
+                "top_route_trips": F.col("route.n"),
+                "top_route_distance_miles": round_places(F.col("route.avg_distance"), 2),
+                "top_route_duration_min": round_places(F.col("route.avg_duration"), 2),
+            }
         )
+        .drop("route")
     )
-    return flow_stats(flows).join(popularity, "dataset", "left").join(routes, "dataset", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, stitch, trajectory_lines
+from tripflow.functions.numbers import round_places
 from tripflow.operators.flows import season_of
 
 
@@ -32,27 +33,22 @@ def unique_segments(segments: DataFrame) -> DataFrame:
     ).agg(F.min("geometry").alias("geometry"))
 
 
-def link_trajectories(trips: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per season and distinct link list: joined geometries, matched and total links.
+def link_trajectories(lists: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows with ``network_link_ids`` -> joined geometries, matched and total links.
 
-    A trajectory depends on the link list alone, so each list is looked up once
-    however many trips took it. Lists are told apart by digest, which needs no
-    trip number and is the same when a lost task runs again.
+    Rows must be distinct in season and their other columns, which come back
+    with the ``route`` digest in place of the list. A digest needs no row
+    number and is the same when a lost task runs again.
     """
-    lists = (
-        trips.filter(has_links())
-        .select(season_of().alias("season"), "network_link_ids")
-        .distinct()
-        .select(
-            "season",
-            route_key(F.col("network_link_ids")).alias("route"),
-            F.posexplode("network_link_ids").alias("link_position", "link_id"),
-        )
-        .withColumn("edge", F.col("link_id").cast("string"))
-    )
+    kept = [c for c in lists.columns if c != "network_link_ids"]
+    links = lists.select(
+        *kept,
+        route_key(F.col("network_link_ids")).alias("route"),
+        F.posexplode("network_link_ids").alias("link_position", "link_id"),
+    ).withColumn("edge", F.col("link_id").cast("string"))
     return (
-        lists.join(unique_segments(segments), ["season", "edge"], "left")
-        .groupBy("season", "route")
+        links.join(unique_segments(segments), ["season", "edge"], "left")
+        .groupBy(*kept, "route")
         .agg(
             F.expr("listagg(geometry, '|') WITHIN GROUP (ORDER BY link_position)").alias(
                 "trajectory_segments"
@@ -70,70 +66,64 @@ def well_matched(min_matched: float) -> Column:
 
 
 def trajectories(trips: DataFrame, segments: DataFrame, min_matched: float = 0.5) -> DataFrame:
-    """Trips with their trajectory, where at least this share of the links is known."""
-    known = link_trajectories(trips, segments).filter(well_matched(min_matched))
+    """Trips with their trajectory, where at least this share of the links is known.
+
+    A trajectory depends on the link list alone, so each list is looked up once
+    however many trips took it, and only lists, not trips, are exploded.
+    """
+    linked = trips.filter(has_links()).withColumn("season", season_of())
+    lists = linked.select("season", "network_link_ids").distinct()
+    known = link_trajectories(lists, segments).filter(well_matched(min_matched))
     return (
-        trips.filter(has_links())
-        .withColumn("season", season_of())
-        .withColumn("route", route_key(F.col("network_link_ids")))
+        linked.withColumn("route", route_key(F.col("network_link_ids")))
         .drop("network_link_ids")
         .join(known, ["season", "route"])
         .drop("route")
     )
 
 
+def _trips_per_list(trips: DataFrame, *measures: Column) -> DataFrame:
+    """Trips counted per group, ends and link list, before any link is looked up."""
+    return (
+        trips.filter(has_links())
+        .groupBy("dataset", "mode", *OD_COLUMNS, "network_link_ids")
+        .agg(F.count(F.lit(1)).alias("n"), *measures)
+        .withColumn("season", season_of())
+    )
+
+
 def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0.5) -> DataFrame:
     """Trips that share ends, mode and trajectory: count and averages.
 
-    Trips are first summed per link list, before any join, then per trajectory,
-    because different lists can give the same one.
+    One scan: trips are summed per link list, then per trajectory, because
+    different lists can give the same one. The sums travel with the links.
     """
-    keys = ["dataset", "mode", *OD_COLUMNS]
-    per_list = (
-        trips.filter(has_links())
-        .groupBy(*keys, route_key(F.col("network_link_ids")).alias("route"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[
-                f(c).alias(f"{name}_{c}")
-                for c in ("distance_miles", "duration_minutes")
-                for name, f in (("sum", F.sum), ("known", F.count))
-            ],
-        )
-        .withColumn("season", season_of())
-    )
-    known = (
-        link_trajectories(trips, segments)
-        .filter(well_matched(min_matched))
-        .select("season", "route", "trajectory_segments")
-    )
+    sums = [
+        f(c).alias(f"{name}_{c}")
+        for c in ("distance_miles", "duration_minutes")
+        for name, f in (("sum", F.sum), ("known", F.count))
+    ]
     return (
-        per_list.join(known, ["season", "route"])
-        .groupBy(*keys, "trajectory_segments")
+        link_trajectories(_trips_per_list(trips, *sums), segments)
+        .filter(well_matched(min_matched))
+        .groupBy("dataset", "mode", *OD_COLUMNS, "trajectory_segments")
         .agg(
             F.sum("n").alias("trip_count"),
-            F.round(F.sum("sum_distance_miles") / F.sum("known_distance_miles"), 2).alias(
-                "avg_distance_miles"
-            ),
-            F.round(F.sum("sum_duration_minutes") / F.sum("known_duration_minutes"), 2).alias(
-                "avg_duration_min"
-            ),
+            round_places(
+                F.sum("sum_distance_miles") / F.sum("known_distance_miles"), 2
+            ).alias("avg_distance_miles"),
+            round_places(
+                F.sum("sum_duration_minutes") / F.sum("known_duration_minutes"), 2
+            ).alias("avg_duration_min"),
         )
     )
 
 
 def missing_trajectory(trips: DataFrame, segments: DataFrame) -> DataFrame:
     """Per dataset and mode: distinct routes and trips whose links match no geometry."""
-    per_list = (
-        trips.filter(has_links())
-        .groupBy("dataset", "mode", *OD_COLUMNS, route_key(F.col("network_link_ids")).alias("route"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("season", season_of())
-    )
-    found = link_trajectories(trips, segments).select("season", "route", "trajectory_segments")
     text = F.col("trajectory_segments")
     return (
-        per_list.join(found, ["season", "route"])
+        link_trajectories(_trips_per_list(trips), segments)
         .filter(text.isNull() | (text == ""))
         .groupBy("dataset", "mode")
         .agg(F.count(F.lit(1)).alias("route_patterns"), F.sum("n").alias("trip_count"))

@@ -99,11 +99,11 @@ def places_to_stops(requests: DataFrame, stops: DataFrame) -> DataFrame:
 def first_departures(moments: DataFrame, seconds: DataFrame) -> DataFrame:
     """Forward as-of: the earliest departure at or after each (agency, stop, second).
 
-    ``moments`` holds distinct seconds of a day and departures are reduced to
-    the first trip per second, all past midnight counting as one, so a stop
-    contributes at most two rows per second of the day to its window, whatever
-    the number of requests or trips. Seconds run downwards so that the frame
-    only ever grows.
+    ``moments`` holds each second of a day once per stop and departures are
+    reduced to the first trip per second, all past midnight counting as one, so
+    a stop contributes at most two rows per second of the day to its window,
+    whatever the number of requests or trips. Seconds run downwards so that the
+    frame only ever grows.
     """
     departures = (
         seconds.filter(F.col("dep_secs").isNotNull())
@@ -123,7 +123,7 @@ def first_departures(moments: DataFrame, seconds: DataFrame) -> DataFrame:
     return (
         both.withColumn("next", F.last("departure", ignorenulls=True).over(running))
         .filter(F.col("departure").isNull() & F.col("next").isNotNull())
-        .select("agency", "origin_stop", "now_secs", "next.dep_secs", "next.trip_id")
+        .select(*moments.columns, "next.dep_secs", "next.trip_id")
     )
 
 
@@ -136,14 +136,15 @@ def next_departure(
     """Next departure, arrival and whole minutes of travel for each ask.
 
     ``asks`` needs agency, origin_stop, dest_stop and now_secs; asks without an
-    answer disappear. Each distinct question is answered once and the answers
-    are joined back, so a stop or second that a third of all asks share costs
-    one row until that last join.
+    answer disappear. Each distinct question is answered once: a moment at a
+    stop carries the set of destinations asked for, at most the agency's stops.
+    Answers are joined back at the end, so a stop or second that a third of all
+    asks share costs one row until that join.
     """
-    key = ["agency", "origin_stop", "dest_stop", "now_secs"]
     seconds = schedule_seconds(stop_times)
-    questions = asks.select(*key).distinct()
-    moments = questions.select("agency", "origin_stop", "now_secs").distinct()
+    moments = asks.groupBy("agency", "origin_stop", "now_secs").agg(
+        F.collect_set("dest_stop").alias("dest_stops")
+    )
     arrivals = (
         seconds.groupBy("agency", "trip_id", F.col("stop_id").alias("dest_stop"))
         .agg(F.min_by("arr_secs", "stop_sequence").alias("arr_at"))
@@ -154,9 +155,8 @@ def next_departure(
         policy == "zero", F.col("dep_secs")
     )
     answers = (
-        questions.join(
-            first_departures(moments, seconds), ["agency", "origin_stop", "now_secs"]
-        )
+        first_departures(moments, seconds)
+        .withColumn("dest_stop", F.explode("dest_stops"))
         .join(arrivals, ["agency", "trip_id", "dest_stop"], "left")
         .withColumn("arr_secs", arrival)
         .filter(F.col("arr_secs").isNotNull())
@@ -165,8 +165,8 @@ def next_departure(
         answers = answers.filter(F.col("arr_secs") >= F.col("dep_secs"))
     answers = answers.withColumn(
         "eta_min", whole_minutes(F.col("arr_secs") - F.col("dep_secs"))
-    ).drop("arr_at", "calls_there")
-    return asks.join(answers, key)
+    ).drop("arr_at", "calls_there", "dest_stops")
+    return asks.join(answers, ["agency", "origin_stop", "dest_stop", "now_secs"])
 
 
 def with_fares(trips: DataFrame, fares: DataFrame, default_fare: Column) -> DataFrame:
