@@ -46,64 +46,70 @@ def messages(log: DataFrame) -> DataFrame:
     return tagged(log).filter(~F.col("tag").isin(*MARKERS))
 
 
-def token_suffix_sum(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Tokens of each message and all later ones of its agent.
+def _chunked(log: DataFrame, chunk_rows: int) -> DataFrame:
+    """Messages with the number of their chunk of consecutive positions."""
+    return messages(log).withColumn("chunk", F.floor(F.col("idx") / chunk_rows))
 
-    A log is summed in chunks of consecutive positions: totals per chunk first,
-    then the running sum inside a chunk on top of the totals after it. One task
-    handles a chunk, never a whole log, so a single agent may own most rows.
+
+def _later_chunks(rows: DataFrame, **amounts: Column) -> DataFrame:
+    """Per agent and chunk: each amount summed over all later chunks of the agent.
+
+    The window runs over one row per chunk.
     """
-    rows = messages(log).select(
-        "agent_id", "idx", "tokens", F.floor(F.col("idx") / chunk_rows).alias("chunk")
-    )
     after = (
         Window.partitionBy("agent_id")
         .orderBy(F.desc("chunk"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = (
+    return (
         rows.groupBy("agent_id", "chunk")
-        .agg(F.sum("tokens").alias("chunk_tokens"))
+        .agg(*[F.sum(amount).alias(name) for name, amount in amounts.items()])
         .select(
             "agent_id",
             "chunk",
-            F.coalesce(F.sum("chunk_tokens").over(after), F.lit(0)).alias("later_tokens"),
+            *[F.coalesce(F.sum(n).over(after), F.lit(0)).alias(f"later_{n}") for n in amounts],
         )
     )
+
+
+def _with_suffix(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows of the given chunks with the tokens of themselves and all later messages."""
     inside = (
         Window.partitionBy("agent_id", "chunk")
         .orderBy(F.desc("idx"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return rows.join(totals, ["agent_id", "chunk"]).select(
-        "agent_id",
-        "idx",
-        "tokens",
-        (F.sum("tokens").over(inside) + F.col("later_tokens")).alias("suffix_tokens"),
+    return rows.join(later, ["agent_id", "chunk"]).withColumn(
+        "suffix_tokens", F.sum("tokens").over(inside) + F.col("later_tokens")
     )
 
 
+def token_suffix_sum(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Tokens of each message and all later ones of its agent.
+
+    A log is summed in chunks of consecutive positions: totals per chunk first,
+    then the running sum inside a chunk on top of the totals after it. One task
+    handles a chunk, never a whole log, so a single agent may own most rows.
+    """
+    rows = _chunked(log, chunk_rows).select("agent_id", "idx", "tokens", "chunk")
+    later = _later_chunks(rows, tokens=F.col("tokens"))
+    return _with_suffix(rows, later).select("agent_id", "idx", "tokens", "suffix_tokens")
+
+
 def token_budget(
     log: DataFrame, budget: int = 2500, min_tokens: int = 2, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """The newest messages that fit the budget together; short ones count but are left out.
 
-    Suffix sums never fall towards older rows, so what fits is everything from
-    one position on. Only positions and token counts go through the windows;
-    texts meet one cut-off per agent in a join.
+    Chunks that lie wholly beyond the budget drop out before their rows are
+    summed. Texts are shuffled once, by agent and chunk.
     """
-    cutoffs = (
-        token_suffix_sum(log, chunk_rows)
-        .filter(F.col("suffix_tokens") <= budget)
-        .groupBy("agent_id")
-        .agg(F.min("idx").alias("from_idx"))
-    )
+    rows = _chunked(log, chunk_rows)
+    near = _later_chunks(rows, tokens=F.col("tokens")).filter(F.col("later_tokens") <= budget)
     return (
-        messages(log)
-        .filter(F.col("tokens") > min_tokens)
-        .join(cutoffs, "agent_id")
-        .filter(F.col("idx") >= F.col("from_idx"))
-        .drop("from_idx")
+        _with_suffix(rows, near)
+        .filter((F.col("suffix_tokens") <= budget) & (F.col("tokens") > min_tokens))
+        .drop("chunk", "later_tokens", "suffix_tokens")
     )
 
 
@@ -119,6 +125,9 @@ def adaptive_tail(
 
     The numbers are: long messages fitting the budget, ``cap``, and ``share``
     of all messages rounded down. A median of 0 keeps every long message.
+
+    Lengths are found on positions and token counts alone. Texts are then
+    joined by chunk with those chunks that can hold one of the messages kept.
     """
     long_row = F.col("tokens") > min_tokens
     fit, part = F.col("fit"), F.floor(F.col("n") * F.lit(share))
@@ -132,24 +141,19 @@ def adaptive_tail(
         )
         .select("agent_id", middle.alias("keep"))
     )
-    most = max(cap, budget // (min_tokens + 1))
-    starts = (
-        top_per_group(
-            messages(log).filter(long_row).select("agent_id", "idx"),
-            ["agent_id"],
-            [F.desc("idx")],
-            most,
-        )
+    all_kept = F.col("keep") == 0
+    rows = _chunked(log, chunk_rows).filter(long_row)
+    near = (
+        _later_chunks(rows, long=F.lit(1))
         .join(lengths, "agent_id")
-        .filter(F.col("rank") == F.col("keep"))
-        .select("agent_id", F.col("idx").alias("from_idx"))
+        .filter(all_kept | (F.col("later_long") < F.col("keep")))
     )
+    inside = Window.partitionBy("agent_id", "chunk").orderBy(F.desc("idx"))
     return (
-        messages(log)
-        .filter(long_row)
-        .join(starts, "agent_id", "left")
-        .filter(F.col("from_idx").isNull() | (F.col("idx") >= F.col("from_idx")))
-        .drop("from_idx")
+        rows.join(near, ["agent_id", "chunk"])
+        .withColumn("back", F.row_number().over(inside) + F.col("later_long"))
+        .filter(all_kept | (F.col("back") <= F.col("keep")))
+        .drop("chunk", "later_long", "keep", "back")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, valid_od
+from tripflow.operators.skew import join_on_hot_keys
 from tripflow.operators.topn import in_order, top_per_group
 
 BY = ("dataset", "mode")
@@ -27,11 +28,12 @@ def with_population(trips: DataFrame, population: DataFrame) -> DataFrame:
 
     The inner join repeats a trip once per population row of its person, so
     counting with ``copies`` as weight equals counting after that join while
-    the population side of the join is unique. Joins on a hot person are split
-    by adaptive execution.
+    no person meets its copies pair by pair.
     """
     people = population.groupBy("season", "person_id").agg(F.count(F.lit(1)).alias("copies"))
-    return trips.withColumn("season", season_of()).join(people, ["season", "person_id"])
+    return join_on_hot_keys(
+        trips.withColumn("season", season_of()), people, ["season", "person_id"]
+    )
 
 
 def trips_with_population(trips: DataFrame, population: DataFrame) -> DataFrame:

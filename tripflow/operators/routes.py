@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripflow.functions.geo import OD_COLUMNS, stitch, trajectory_lines
 from tripflow.functions.numbers import round_places
 from tripflow.operators.flows import season_of
+from tripflow.operators.skew import join_on_hot_keys
 
 
 def route_key(links: Column) -> Column:
@@ -47,7 +48,7 @@ def link_trajectories(lists: DataFrame, segments: DataFrame) -> DataFrame:
         F.posexplode("network_link_ids").alias("link_position", "link_id"),
     ).withColumn("edge", F.col("link_id").cast("string"))
     return (
-        links.join(unique_segments(segments), ["season", "edge"], "left")
+        join_on_hot_keys(links, unique_segments(segments), ["season", "edge"], "left")
         .groupBy(*kept, "route")
         .agg(
             F.expr("listagg(geometry, '|') WITHIN GROUP (ORDER BY link_position)").alias(
@@ -74,12 +75,10 @@ def trajectories(trips: DataFrame, segments: DataFrame, min_matched: float = 0.5
     linked = trips.filter(has_links()).withColumn("season", season_of())
     lists = linked.select("season", "network_link_ids").distinct()
     known = link_trajectories(lists, segments).filter(well_matched(min_matched))
-    return (
-        linked.withColumn("route", route_key(F.col("network_link_ids")))
-        .drop("network_link_ids")
-        .join(known, ["season", "route"])
-        .drop("route")
-    )
+    keyed = linked.withColumn("route", route_key(F.col("network_link_ids")))
+    return join_on_hot_keys(
+        keyed.drop("network_link_ids"), known, ["season", "route"]
+    ).drop("route")
 
 
 def _trips_per_list(trips: DataFrame, *measures: Column) -> DataFrame:
