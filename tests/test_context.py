@@ -114,6 +114,24 @@ def test_latest_by_tag_needs_the_marker_in_any_case(spark):
         (1, "ScenarioUnderstanding", 1, "new <Scenario>")]
 
 
+def test_tags_may_be_text(spark):
+    rows = [(1, 0, START, "('ScenarioUnderstanding', 'a')", "<scenario> x"), (1, 1, START, None, "y" * 40)]
+    log = spark.createDataFrame(rows, LOG.replace("array<string>", "string"))
+    assert context.latest_by_tag(log).first().tag == "ScenarioUnderstanding"
+    assert [r.idx for r in context.token_budget(log).collect()] == [1]
+    (row,) = context.understanding_context(log, "ScenarioUnderstanding").collect()
+    assert (row.previous, row.time_start) == ("<scenario> x", START)
+
+
+def test_a_log_that_one_agent_dominates(spark):
+    rows = [entry(1, i, "x" * 40) for i in range(3000)] + [entry(a, 0, "x" * 40) for a in range(2, 900)]
+    log = frame(spark, rows)
+    kept = context.token_budget(log, 250, 2, chunk_rows=50)
+    assert kept.filter("agent_id = 1").count() == 25 and kept.count() == 25 + 898
+    tail = context.adaptive_tail(log, 250, chunk_rows=50)
+    assert tail.filter("agent_id = 1").count() == 25
+
+
 def test_last_entries(spark):
     rows = [entry(1, i, "t") for i in range(8)] + [entry(2, 0, "t")]
     got = {(r.agent_id, r.idx, r.rank) for r in context.last_entries(frame(spark, rows)).collect()}
@@ -209,8 +227,11 @@ def test_agent_context_leaves_absent_sections_out(spark):
         entry(1, 1, "a message long enough to stay ```"),
     ]
     config = spark.createDataFrame(
-        [(1, "ann", " win ", {}), (2, "bob", "lose", {"initial_endowment": "5"})],
-        "agent_id long, name string, goal string, extras map<string,string>",
+        [
+            (1, "ann", "Overarching motivation:  win ", "Current time: noon ", {}),
+            (2, "bob", "none", None, {"initial_endowment": "5"}),
+        ],
+        "agent_id long, name string, motivation string, report string, extras map<string,string>",
     )
     now = F.lit("2024-01-02 03:00:00").cast("timestamp_ntz")
     got = {r.agent_id: r for r in context.agent_context(frame(spark, rows), config, now).collect()}
@@ -218,5 +239,7 @@ def test_agent_context_leaves_absent_sections_out(spark):
         "# Scenario Understanding\nBased on observations in the timeframe a - b\n<Scenario> x\n\n"
         "# Most Recent Observations\n[2024-01-01 00:01:00] a message long enough to stay \n"
     )
-    assert (got[1].agent_name, got[1].goal, got[1].endowment) == ("Ann", "win", "No information provided")
+    assert (got[1].agent_name, got[1].motivation, got[1].current_time) == ("Ann", "win", "noon")
+    assert got[1].endowment == "No information provided"
+    assert (got[2].motivation, got[2].current_time) == (None, None)
     assert (got[2].context, got[2].endowment, got[2].time_start) == ("", "5", None)

@@ -49,12 +49,12 @@ def test_stacking_labels_tables_and_fills_absent_columns(spark):
 
 def test_companion_tables_fall_back_to_the_fourth_quarter(spark):
     df = spark.createDataFrame(
-        [("ca_2024_Q2_thursday_trip",), ("ca_2024_Q1_thursday_trip",)], "table_name string"
+        [("bay_2024_Q2_thursday_trip",), ("bay_2024_Q1_thursday_trip",)], "table_name string"
     )
     got = {r.table_name: (r.population_table, r.segments_table) for r in catalog.companion_tables(df).collect()}
     assert got == {
-        "ca_2024_Q2_thursday_trip": ("ca_2024_Q2_population", "ca_2024_Q2_network_segments"),
-        "ca_2024_Q1_thursday_trip": ("ca_2024_Q1_population", "ca_2024_Q4_network_segments"),
+        "bay_2024_Q2_thursday_trip": ("bay_2024_Q2_population", "bay_2024_Q2_network_segments"),
+        "bay_2024_Q1_thursday_trip": ("bay_2024_Q1_population", "bay_2024_Q4_network_segments"),
     }
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from tripflow.functions.text import (
+    after_label,
+    clean_tag,
     contains_ignore_case,
     first_tag,
     number_or_zero,
@@ -34,10 +37,13 @@ CHUNK_ROWS = 100_000
 def tagged(log: DataFrame) -> DataFrame:
     """Log rows with their first tag and token estimate.
 
-    Columns a log already has are kept: writing ``tagged(log)`` once spares
-    later jobs from reading the texts to count them.
+    Tags may be an array or tuple-like text. Columns a log already has are kept:
+    writing ``tagged(log)`` once spares later jobs from reading the texts to
+    count them.
     """
-    derived = {"tag": first_tag(F.col("tags")), "tokens": token_estimate(F.col("text"))}
+    is_text = isinstance(log.schema["tags"].dataType, StringType)
+    tag = clean_tag(F.col("tags")) if is_text else first_tag(F.col("tags"))
+    derived = {"tag": tag, "tokens": token_estimate(F.col("text"))}
     return log.withColumns({k: v for k, v in derived.items() if k not in log.columns})
 
 
@@ -206,24 +212,40 @@ def last_entries(log: DataFrame, n: int = 5) -> DataFrame:
     return top_per_group(log, ["agent_id"], [F.desc("idx")], n)
 
 
+def understanding_context(
+    log: DataFrame, tag: str, budget: int = 2500, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Per agent: the newest record of one kind, the messages within budget, their span.
+
+    Agents without a message in the budget get no row.
+    """
+    previous = latest_by_tag(log, {tag: MARKERS[tag]}).select(
+        "agent_id", F.col("text").alias("previous")
+    )
+    recent = context_text(token_budget(log, budget, chunk_rows=chunk_rows))
+    return recent.join(previous, "agent_id", "left")
+
+
 def agent_context(
     log: DataFrame,
     config: DataFrame,
     now: Column,
     window: str = "4 hours",
     budget: int = 600,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One context per agent: latest records, recent messages and configuration.
 
-    ``config`` has agent_id, name, goal and extras (map); every configured agent
-    gets a row. Sections without content are left out.
+    ``config`` has agent_id, name, motivation, report (labelled texts) and extras
+    (map); every configured agent gets a row. Sections without content are left
+    out.
     """
     records = (
         latest_by_tag(log)
         .groupBy("agent_id")
         .agg(*[F.max(F.when(F.col("tag") == tag, F.col("text"))).alias(tag) for tag in MARKERS])
     )
-    recent = context_text(adaptive_tail(log, budget=budget))
+    recent = context_text(adaptive_tail(log, budget=budget, chunk_rows=chunk_rows))
     start = now - F.expr(f"INTERVAL {window}")
     body = F.concat_ws(
         "\n\n",
@@ -233,16 +255,18 @@ def agent_context(
         section("# Guidance from Trusted Advisor", F.col("ThoughtProcessForAction")),
         section("# Most Recent Observations", F.col("context")),
     )
+    endowment = F.coalesce(
+        F.col("extras")["initial_endowment"], F.lit("No information provided")
+    )
     return (
         config.join(records, "agent_id", "left")
         .join(recent, "agent_id", "left")
         .select(
             "agent_id",
             F.initcap("name").alias("agent_name"),
-            F.trim("goal").alias("goal"),
-            F.coalesce(F.col("extras")["initial_endowment"], F.lit("No information provided")).alias(
-                "endowment"
-            ),
+            after_label(F.col("motivation"), "Overarching motivation: ").alias("motivation"),
+            after_label(F.col("report"), "Current time: ").alias("current_time"),
+            endowment.alias("endowment"),
             "time_start",
             "time_end",
             interval_label(start, now).alias("interval_label"),

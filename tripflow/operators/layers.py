@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripflow.functions.geo import LINE_POINTS
+from tripflow.functions.geo import LINE_POINTS, OD_COLUMNS
 from tripflow.functions.style import (
     TOP_ROUTE_COLOUR,
     auto_or,
@@ -59,20 +61,17 @@ def _explode(df: DataFrame, *features: Column) -> DataFrame:
     return df.select("dataset", "mode", "rank", F.inline(present))
 
 
-def sampling_order(columns: list[str], seed: int) -> list[Column]:
+def sampling_order(columns: Sequence[str], seed: int) -> list[Column]:
     """A repeatable shuffle of rows by their keys, the keys settling ties."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    text = F.concat_ws("|", *parts, F.lit(str(seed)))
     return [F.md5(text), *in_order(columns)]
 
 
-# Fixed columns that identify a flow.
-FLOW_KEYS = ["start_lat", "start_lng", "end_lat", "end_lng"]
-
-
 def origin_sample(flows: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     """At most n flows per dataset and mode, the same ones for the same seed."""
     labelled = flows.withColumn("mode", known_mode(F.col("mode"))).drop("rank")
-    return top_per_group(labelled, ["dataset", "mode"], sampling_order(FLOW_KEYS, seed), n, "pick")
+    return top_per_group(labelled, ["dataset", "mode"], sampling_order(OD_COLUMNS, seed), n, "pick")
 
 
 def mode_colours(ranked_modes: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def flow_features(top: DataFrame, sample: int = 2000, seed: int = 0) -> DataFram
     bounded result of ``top_flows``.
     """
     spot = Window.partitionBy("dataset").orderBy(F.asc_nulls_first("mode"))
-    pick = Window.partitionBy("dataset", "mode").orderBy(*sampling_order(FLOW_KEYS, seed))
+    pick = Window.partitionBy("dataset", "mode").orderBy(*sampling_order(OD_COLUMNS, seed))
     styled = (
         top.withColumn("colour", palette_colour(F.dense_rank().over(spot)))
         .withColumn("pick", F.row_number().over(pick))
@@ -203,7 +202,7 @@ def network_features(
     an exact sample per mode.
     """
     colours = colours_by_size(patterns).drop("position")
-    keys = [*FLOW_KEYS, "trajectory_segments"]
+    keys = [*OD_COLUMNS, "trajectory_segments"]
     labelled = patterns.withColumn("mode", known_mode(F.col("mode")))
     picked = (
         top_per_group(

@@ -51,6 +51,18 @@ def mode_popularity(trips: DataFrame, digits: int = 1) -> DataFrame:
     return per_mode.withColumn("percentage", share_of_dataset("total_individual_trips", digits))
 
 
+def mode_ranking(trips: DataFrame, n: int = 5) -> DataFrame:
+    """The n most used modes of each dataset, ranked; one row per mode goes in."""
+    place = Window.partitionBy("dataset").orderBy(
+        F.desc("total_trips"), F.asc_nulls_first("mode")
+    )
+    return (
+        mode_summary(trips)
+        .withColumn("rank", F.row_number().over(place).cast("long"))
+        .filter(F.col("rank") <= n)
+    )
+
+
 def route_frequency(trips: DataFrame, n: int = 10) -> DataFrame:
     """The n most repeated exact routes of each dataset."""
     routes = (

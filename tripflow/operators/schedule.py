@@ -14,6 +14,7 @@ from tripflow.functions.times import (
     stamp,
     whole_minutes,
 )
+from tripflow.operators.skew import join_on_hot_keys
 
 REQUEST_PREFIX = "REQUEST"
 
@@ -146,7 +147,7 @@ def next_departure(
         F.collect_set("dest_stop").alias("dest_stops")
     )
     arrivals = (
-        seconds.groupBy("agency", "trip_id", F.col("stop_id").alias("dest_stop"))
+        seconds.groupBy("trip_id", F.col("stop_id").alias("dest_stop"), "agency")
         .agg(F.min_by("arr_secs", "stop_sequence").alias("arr_at"))
         .withColumn("calls_there", F.lit(True))
     )
@@ -157,7 +158,7 @@ def next_departure(
     answers = (
         first_departures(moments, seconds)
         .withColumn("dest_stop", F.explode("dest_stops"))
-        .join(arrivals, ["agency", "trip_id", "dest_stop"], "left")
+        .join(arrivals, ["trip_id", "dest_stop", "agency"], "left")
         .withColumn("arr_secs", arrival)
         .filter(F.col("arr_secs").isNotNull())
     )
@@ -166,7 +167,7 @@ def next_departure(
     answers = answers.withColumn(
         "eta_min", whole_minutes(F.col("arr_secs") - F.col("dep_secs"))
     ).drop("arr_at", "calls_there", "dest_stops")
-    return asks.join(answers, ["agency", "origin_stop", "dest_stop", "now_secs"])
+    return join_on_hot_keys(asks, answers, ["agency", "origin_stop", "dest_stop", "now_secs"])
 
 
 def with_fares(trips: DataFrame, fares: DataFrame, default_fare: Column) -> DataFrame:

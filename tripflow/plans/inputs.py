@@ -225,7 +225,8 @@ def agent_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "agent_id",
             F.concat(F.lit("agent"), agent.cast("string")).alias("name"),
-            F.concat(F.lit(" goal "), agent.cast("string")).alias("goal"),
+            F.concat(F.lit("Overarching motivation:  goal "), agent.cast("string")).alias("motivation"),
+            F.concat(F.lit("Day\nCurrent time: "), (agent % 24).cast("string"), F.lit(":30 ")).alias("report"),
             F.when(
                 agent % 3 != 0,
                 F.create_map(F.lit("initial_endowment"), (agent * 10).cast("string")),

@@ -302,6 +302,12 @@ FROM (SELECT dataset, mode, count(*) AS total_trips, round(avg(distance_miles),
   quantile_disc(duration_minutes, 0.5) AS median_duration_min,
   count(DISTINCT (start_lat, start_lng, end_lat, end_lng)) AS unique_routes
 FROM usable GROUP BY dataset, mode""",
+    "mode_ranking": """SELECT dataset, mode, total_trips, avg_distance_miles, avg_duration_min,
+  round(total_trips * 100.0::DOUBLE / sum(total_trips) OVER (PARTITION BY dataset), 2) AS percentage,
+  row_number() OVER (PARTITION BY dataset ORDER BY total_trips DESC, mode NULLS FIRST) AS rank
+FROM (SELECT dataset, mode, count(*) AS total_trips, round(avg(distance_miles), 2) AS avg_distance_miles,
+             round(avg(duration_minutes), 2) AS avg_duration_min FROM usable GROUP BY ALL)
+QUALIFY rank <= 5""",
     "route_frequency": """SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY route_frequency DESC,
     mode NULLS FIRST, start_lat, start_lng, end_lat, end_lng) AS rank
 FROM (SELECT dataset, mode, start_lat, start_lng, end_lat, end_lng, count(*) AS route_frequency,
@@ -348,10 +354,16 @@ QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY eta_min, cost, agenc
     "context_text": """SELECT agent_id,
   string_agg(concat('[', strftime(time, '%Y-%m-%d %H:%M:%S'), '] ', text), chr(10) ORDER BY idx) AS context
 FROM budget GROUP BY agent_id""",
+    "understanding_context": """SELECT b.*, l.text AS previous FROM (
+  SELECT agent_id, min(time) AS time_start, max(time) AS time_end,
+    string_agg(concat('[', strftime(time, '%Y-%m-%d %H:%M:%S'), '] ', text), chr(10) ORDER BY idx) AS context
+  FROM budget GROUP BY agent_id) b
+LEFT JOIN (FROM latest WHERE tag = 'ScenarioUnderstanding') l USING (agent_id)""",
     "latest_by_tag": "SELECT * FROM latest",
     "last_entries": """SELECT agent_id, idx, time, text, row_number() OVER (PARTITION BY agent_id ORDER BY idx DESC) AS rank
 FROM log QUALIFY rank <= 5""",
-    "agent_context": """SELECT agent_id, concat('Agent', agent_id) AS agent_name, concat('goal ', agent_id) AS goal,
+    "agent_context": """SELECT agent_id, concat('Agent', agent_id) AS agent_name, concat('goal ', agent_id) AS motivation,
+  concat(agent_id % 24, ':30') AS current_time,
   CASE WHEN agent_id % 3 <> 0 THEN (agent_id * 10)::VARCHAR ELSE 'No information provided' END AS endowment,
   time_start, time_end,
   CASE WHEN now::DATE = before::DATE

@@ -187,6 +187,7 @@ def agent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.memory_log(spark, sf_dir),
         inputs.agent_config(spark, sf_dir),
         F.expr("timestampadd(HOUR, CAST(agent_id % 24 AS int), TIMESTAMP_NTZ '2024-01-20 00:30:00')"),
+        chunk_rows=LOG_CHUNK,
     )
 
 
@@ -237,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "trips_with_population": trips_with_population,
     # Modes and routes
     "mode_summary": _trip_query(modes.mode_summary),
+    "mode_ranking": _trip_query(modes.mode_ranking),
     "mode_popularity": _trip_query(modes.mode_popularity),
     "mode_statistics": _trip_query(modes.mode_statistics),
     "route_frequency": _trip_query(modes.route_frequency),
@@ -274,6 +276,11 @@ QUERIES: dict[str, Query] = {
     "context_text": _log_query(
         lambda log: context.context_text(context.token_budget(log)).select("agent_id", "context")
     ),
+    "understanding_context": _log_query(
+        lambda log: context.understanding_context(
+            log, "ScenarioUnderstanding", chunk_rows=LOG_CHUNK
+        )
+    ),
     "latest_by_tag": _log_query(context.latest_by_tag),
     "last_entries": last_entries,
     "agent_context": agent_context,
