@@ -57,16 +57,13 @@ def _chunked(log: DataFrame, chunk_rows: int) -> DataFrame:
     return messages(log).withColumn("chunk", F.floor(F.col("idx") / chunk_rows))
 
 
-def _later_chunks(rows: DataFrame, **amounts: Column) -> DataFrame:
-    """Per agent and chunk: each amount summed over all later chunks of the agent.
+def _chunk_table(rows: DataFrame, **amounts: Column) -> DataFrame:
+    """Per agent and chunk: each amount over all later chunks, and over the whole log.
 
-    The window runs over one row per chunk.
+    The windows run over one row per chunk.
     """
-    after = (
-        Window.partitionBy("agent_id")
-        .orderBy(F.desc("chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    log = Window.partitionBy("agent_id")
+    after = log.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.groupBy("agent_id", "chunk")
         .agg(*[F.sum(amount).alias(name) for name, amount in amounts.items()])
@@ -74,6 +71,7 @@ def _later_chunks(rows: DataFrame, **amounts: Column) -> DataFrame:
             "agent_id",
             "chunk",
             *[F.coalesce(F.sum(n).over(after), F.lit(0)).alias(f"later_{n}") for n in amounts],
+            *[F.sum(n).over(log).alias(f"all_{n}") for n in amounts],
         )
     )
 
@@ -98,10 +96,16 @@ def token_suffix_sum(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     handles a chunk, never a whole log, so a single agent may own most rows.
     """
     rows = _chunked(log, chunk_rows).select("agent_id", "idx", "tokens", "chunk")
-    later = _later_chunks(rows, tokens=F.col("tokens"))
+    later = _chunk_table(rows, tokens=F.col("tokens")).drop("all_tokens")
     return _with_suffix(rows, later).select("agent_id", "idx", "tokens", "suffix_tokens")
 
 
+def _within_budget(rows: DataFrame, budget: int) -> DataFrame:
+    """Chunks of which the newest message may still fit the budget."""
+    chunks = _chunk_table(rows, tokens=F.col("tokens")).drop("all_tokens")
+    return chunks.filter(F.col("later_tokens") <= budget)
+
+
 def token_budget(
     log: DataFrame, budget: int = 2500, min_tokens: int = 2, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -111,9 +115,8 @@ def token_budget(
     summed. Texts are shuffled once, by agent and chunk.
     """
     rows = _chunked(log, chunk_rows)
-    near = _later_chunks(rows, tokens=F.col("tokens")).filter(F.col("later_tokens") <= budget)
     return (
-        _with_suffix(rows, near)
+        _with_suffix(rows, _within_budget(rows, budget))
         .filter((F.col("suffix_tokens") <= budget) & (F.col("tokens") > min_tokens))
         .drop("chunk", "later_tokens", "suffix_tokens")
     )
@@ -132,31 +135,34 @@ def adaptive_tail(
     The numbers are: long messages fitting the budget, ``cap``, and ``share``
     of all messages rounded down. A median of 0 keeps every long message.
 
-    Lengths are found on positions and token counts alone. Texts are then
-    joined by chunk with those chunks that can hold one of the messages kept.
+    Lengths are found on positions and token counts of the newest chunks alone.
+    Texts are then joined by chunk with those chunks that can hold one of the
+    messages kept.
     """
     long_row = F.col("tokens") > min_tokens
-    fit, part = F.col("fit"), F.floor(F.col("n") * F.lit(share))
-    middle = fit + cap + part - F.greatest(fit, F.lit(cap), part) - F.least(fit, F.lit(cap), part)
-    lengths = (
-        token_suffix_sum(log, chunk_rows)
+    rows = _chunked(log, chunk_rows)
+    narrow = rows.select("agent_id", "idx", "tokens", "chunk")
+    fitting = (
+        _with_suffix(narrow, _within_budget(narrow, budget))
+        .filter((F.col("suffix_tokens") <= budget) & long_row)
         .groupBy("agent_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if((F.col("suffix_tokens") <= budget) & long_row).alias("fit"),
-        )
-        .select("agent_id", middle.alias("keep"))
+        .agg(F.count(F.lit(1)).alias("fitting"))
     )
+    fit = F.coalesce("fitting", F.lit(0))
+    part = F.floor(F.col("all_n") * F.lit(share))
+    middle = fit + cap + part - F.greatest(fit, F.lit(cap), part) - F.least(fit, F.lit(cap), part)
     all_kept = F.col("keep") == 0
-    rows = _chunked(log, chunk_rows).filter(long_row)
     near = (
-        _later_chunks(rows, long=F.lit(1))
-        .join(lengths, "agent_id")
+        _chunk_table(narrow, n=F.lit(1), long=long_row.cast("long"))
+        .join(fitting, "agent_id", "left")
+        .withColumn("keep", middle)
         .filter(all_kept | (F.col("later_long") < F.col("keep")))
+        .select("agent_id", "chunk", "later_long", "keep")
     )
     inside = Window.partitionBy("agent_id", "chunk").orderBy(F.desc("idx"))
     return (
-        rows.join(near, ["agent_id", "chunk"])
+        rows.filter(long_row)
+        .join(near, ["agent_id", "chunk"])
         .withColumn("back", F.row_number().over(inside) + F.col("later_long"))
         .filter(all_kept | (F.col("back") <= F.col("keep")))
         .drop("chunk", "later_long", "keep", "back")

@@ -106,10 +106,11 @@ def mode_statistics(trips: DataFrame, accuracy: int = 10_000) -> DataFrame:
         round_places(F.stddev_samp("duration_minutes"), 2).alias("std_duration_min"),
         F.percentile_approx("duration_minutes", 0.5, accuracy).alias("median_duration_min"),
     )
-    complete = F.greatest(*[F.col(c).isNull() for c in OD_COLUMNS]) == F.lit(False)
+    complete = rows
+    for column in OD_COLUMNS:
+        complete = complete.filter(F.col(column).isNotNull())
     routes = (
-        rows.filter(complete)
-        .select("dataset", "mode", *OD_COLUMNS)
+        complete.select("dataset", "mode", *OD_COLUMNS)
         .distinct()
         .groupBy("dataset", "mode")
         .agg(F.count(F.lit(1)).alias("unique_routes"))

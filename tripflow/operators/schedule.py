@@ -241,7 +241,11 @@ def stack_offers(*offers: DataFrame) -> DataFrame:
 def best_offer(
     offers: DataFrame, order: Sequence[str] = ("eta_min", "cost", "agency")
 ) -> DataFrame:
-    """The first offer of each request by the given criteria; absent values come last."""
+    """The first offer of each request by the given criteria; absent values come last.
+
+    Each task keeps one offer per request before the shuffle, and sorts by the
+    request number alone.
+    """
     rest = [c for c in offers.columns if c != "request_id" and c not in order]
     ranked = F.struct(
         *[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], *rest

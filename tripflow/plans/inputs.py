@@ -105,9 +105,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name of the trip table behind each dataset label."""
+    """Name of the trip table behind each dataset label found in the trips."""
     label = F.split("dataset", " ")
-    return trips(spark, sf_dir).select(
+    return trips(spark, sf_dir).select("dataset").distinct().select(
         F.concat(
             F.lit("bay_2024_"), label[0], F.lit("_"), F.lower(label[1]), F.lit("_trip")
         ).alias("table_name")

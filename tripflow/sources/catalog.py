@@ -24,11 +24,11 @@ def segments_table(table: Column) -> Column:
 def companion_tables(tables: DataFrame, name: str = "table_name") -> DataFrame:
     """Each distinct trip table with its population and segment table."""
     table = F.col(name)
-    return tables.select(
+    return tables.select(name).distinct().select(
         name,
         population_table(table).alias("population_table"),
         segments_table(table).alias("segments_table"),
-    ).distinct()
+    )
 
 
 def table_columns(df: DataFrame) -> DataFrame:
