@@ -1,0 +1,90 @@
+"""Byte-level BPE against tiktoken and exact round trips."""
+
+import hashlib
+import random
+import sys
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tripflow.llm import bpe
+from tripflow.llm.queries import op4_byte_bpe, ranks
+
+SF_DIR = "/root/testdata/sf0.001"
+PATTERN = public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def plain():
+    known = bpe._vocabulary(ranks())
+    return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+
+
+def unpack(data):
+    return np.frombuffer(data, dtype="<u4").tolist()
+
+
+def test_every_code_point_in_context(plain):
+    encoder = bpe.Encoder(ranks(), PATTERN)
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for at in range(0, len(points), 20000):
+        texts = [f"a{c}b {c}1 {c}! {c}{c}" for c in points[at : at + 20000]]
+        wrong += [t for t, b in zip(texts, encoder(texts)) if unpack(b) != plain.encode_ordinary(t)]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
+def test_random_white_space_and_runs(plain):
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", " ", "　", "a", "aa", "===", "é",
+             "日本", "😀", "1", "22", "'s", "'", "!", "THE", "<|endoftext|>", "-"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(20000)]
+    texts += [c * n for c in "a =-1é!\n" for n in range(1, 300)]
+    encoder = bpe.Encoder(ranks(), PATTERN)
+    assert [unpack(b) for b in encoder(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
+def test_query_equals_brute_force(spark, plain):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for doc_id, text in docs:
+        ids = plain.encode_ordinary(text or "")
+        packed = np.array(ids, dtype="<u4").tobytes()
+        want[doc_id] = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op4_byte_bpe(spark, SF_DIR).collect()}
+    assert got == want
+
+
+def test_nulls_repeats_long_texts_and_clashing_names(spark, plain):
+    long = "x" * 200_000 + " " + "ab " * 50_000
+    rows = [(1, None, "mine"), (1, None, "mine"), (None, "", "mine"), (2, long, None), (3, "naïve 😀", "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, IDS string")
+    out = bpe.decode(bpe.encode(docs, ranks(), PATTERN, offsets=True), ranks())
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "char_starts", "decoded"]
+    rows = out.withColumn("again", bpe.decoded_text()).collect()
+    assert len(rows) == 5
+    for r in rows:
+        assert unpack(r.ids) == plain.encode_ordinary(r.text or "")
+        assert r.n_tokens == len(r.ids) // 4 == len(r.char_starts) // 4
+        assert r.decoded == (r.text or "").encode() and r.again == (r.text or "")
+    starts = next(unpack(r.char_starts) for r in rows if r.doc_id == 3)
+    pieces = [bpe._tokens_by_id(ranks())[0][i] for i in unpack(next(r.ids for r in rows if r.doc_id == 3))]
+    done = b""
+    for piece, start in zip(pieces, starts):
+        assert len(done.decode(errors="ignore")) == start
+        done += piece
+
+
+def test_ids_cut_inside_a_character(spark):
+    whole = bpe.Encoder(ranks(), PATTERN)(["\U0001f9ff"])[0]
+    assert len(whole) > 4
+    df = spark.createDataFrame([(bytearray(whole[:4]),), (None,)], "ids binary")
+    cut, none = bpe.decode(df, ranks()).withColumn("t", bpe.decoded_text()).collect()
+    assert "�" in cut.t and none.decoded == b""
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.decode(bpe.encode(docs, ranks(), PATTERN), ranks()).count() == 0
