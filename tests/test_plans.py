@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from tripflow.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def plan(spark, name):
     return entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_single_task_python_or_cross_join(spark, name):
     text = plan(spark, name)
     for unwanted in ("SinglePartition", "PythonUDF", "BatchEvalPython", "MapInPandas",
