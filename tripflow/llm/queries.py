@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripflow.llm import bpe
+from tripflow.llm import bpe, chat, quality_rules, secret_scan, topk
 from tripflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def ranks() -> bytes:
     return bpe.read_ranks(public_tokenizers.path(RANK_FILE))
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN).drop("text")
@@ -31,8 +36,85 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    repo = F.concat_ws("/", "source", "lang")
+    found = secret_scan.secrets(docs, owner=F.col("source"), repo=repo)
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    counts = [
+        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind.name}")
+        for i, kind in enumerate(secret_scan.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # Fixed by the contract: a conversation of control strings.
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said)
+    )
+    made = chat.examples(given.union(extra))
+    read = made.select(
+        "conv_id",
+        "example",
+        F.length("formatted").alias("chars"),
+        chat.trainable_text().alias("trained"),
+        F.when(F.col("last"), chat.read_turns(F.col("formatted"))).alias("turns"),
+    ).select(
+        "conv_id",
+        "chars",
+        F.struct("example", "trained").alias("loss"),
+        F.size("turns").alias("n"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+    )
+    trained = F.array_join(F.transform(F.sort_array(F.collect_list("loss")), lambda x: x["trained"]), "")
+    return read.groupBy("conv_id").agg(
+        F.max("n").cast("long").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        trained.alias("trained"),
+        F.sum("chars").alias("formatted_chars"),
+    ).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.quality_rules(docs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "lang",
+        "log_ppl",
+        "lower",
+        "upper",
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_chat_format": op7_chat_format,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
