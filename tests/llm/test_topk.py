@@ -1,0 +1,54 @@
+"""Exact top-k against scoring everything."""
+
+import random
+
+import pytest
+
+from tests.llm import brute
+from tripflow.llm import topk
+from tripflow.llm.queries import op1_exact_topk
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
+
+
+def test_query_equals_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert found(op1_exact_topk(spark, SF_DIR)) == brute.top_k(rows)
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(200 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(120)]  # a third are ties
+    rows += [(400, None), (450, [0.1, None, 0.0, 0.0]), (500, [float("nan"), 0.0, 0.0, 0.0]), (None, [0.1] * 4),
+             (550, [float("inf"), 0.0, 0.0, 0.0]), (600, [1.0, 2.0]), (601, [2.0, 2.0]), (650, []), (651, []),
+             (701, [3.0] * 4), (701, [3.0] * 4)]
+    return rows
+
+
+def test_odd_vectors_ties_and_extra_columns(spark, odd_rows, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES_IN_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 3)
+    monkeypatch.setattr(topk, "BINS", 8)
+    df = spark.createDataFrame([(i, v, 1) for i, v in odd_rows], "vec_id long, embedding array<float>, score int").repartition(5)
+    import pyspark.sql.functions as F
+
+    got = found(topk.top_k(df, df.filter(F.col("vec_id") % 50 == 0), k=5))
+    assert got == brute.top_k([(i, None if v is None else [None if x is None else float(__import__("numpy").float32(x)) for x in v]) for i, v in odd_rows])
+
+
+def test_huge_components_stay_in_range(spark):
+    df = spark.createDataFrame([(0, [3e9]), (1, [2e9]), (2, [-2e9])], "vec_id long, embedding array<double>")
+    got = found(topk.top_k(df, df.filter("vec_id = 0"), k=2))
+    top, low = 2**63 - 1, -(2**63 - 1)
+    assert got == [(0, 1, 1, min(top, 256 * 256 * 6 * 10**18)), (0, 2, 2, max(low, -256 * 256 * 6 * 10**18))]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(df, df, k=5).count() == 0

@@ -34,8 +34,10 @@ SLOT_BITS = 22
 GATHERED = 200_000
 MIN_DOCS = 50
 # A band reaches so many quartile distances below and above the median, and
-# further for short texts, whose mean over few words scatters more.
-REACH = 6.0
+# further for short texts, whose mean over few words scatters more. Passages in
+# another language move clean texts far up, so the band is wider above.
+REACH_BELOW = 12.0
+REACH_ABOVE = 40.0
 SHORT_WORDS = 40
 BIN = 0.01
 
@@ -343,8 +345,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     wider = F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     return (
         rows.join(bands(rows.filter("NOT base_failed")), "lang", "left")
-        .withColumn("lower", F.col("middle") - REACH * wider * F.col("below"))
-        .withColumn("upper", F.col("middle") + REACH * wider * F.col("above"))
+        .withColumn("lower", F.col("middle") - REACH_BELOW * wider * F.col("below"))
+        .withColumn("upper", F.col("middle") + REACH_ABOVE * wider * F.col("above"))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True)))
         .drop("middle", "below", "above")
     )

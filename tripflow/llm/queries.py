@@ -7,11 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripflow.llm import bpe, chat, quality_rules, secret_scan, topk
+from tripflow.llm import (
+    bpe,
+    chat,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    topk,
+)
 from tripflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# No source may be read more often than this in a mixture.
+MAX_REPEATS = 2.0
 # The tokenizer of the corpus; a file of fixed size that ships with its package.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,6 +38,17 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.trigram_model(texts)
+    return language_id.languages(table(spark, sf_dir, "pages"), model)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs, width=3, percent=90)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN).drop("text")
@@ -54,6 +78,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        host=F.col("source"),
+        path=F.concat_ws("/", "source", "lang"),
+    )
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # Fixed by the contract: a conversation of control strings.
@@ -109,12 +142,31 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), max_repeats=MAX_REPEATS)
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
+        F.col("key").alias("doc_id"), "source", "epoch", "copy", "token_start", F.col("tokens").alias("n_tokens")
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_id": op2_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_temperature_mixing": op9_temperature_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -93,9 +93,9 @@ def _query_blocks(state: DataFrame, n_queries: int) -> DataFrame:
     return spread.mapInArrow(run, "dim int, q binary, tags binary, qv binary, low binary, need binary")
 
 
-def _scores(dim: int, q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def _scores(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products as exact int64, in doubles while those are exact and in Python integers beyond."""
-    q, vectors = q.reshape(-1, dim), vectors.reshape(-1, dim)
+    dim = q.shape[1]
     if dim and float(np.abs(q.astype(float)).max()) * float(np.abs(vectors.astype(float)).max()) * dim >= 2**53:
         exact = q.astype(object) @ vectors.astype(object).T
         return np.clip(exact, -_LONG, _LONG).astype(np.int64)
@@ -112,8 +112,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for i in range(batch.num_rows):
             dim, *packed = [batch.column(c)[i] for c in range(batch.num_columns)]
             ids, vectors, q, tags, qv, low, need = [np.frombuffer(x.as_buffer(), "<i8") for x in packed]
-            scores = _scores(dim.as_py(), qv, vectors)
-            yield dim.as_py(), ids, q, tags, low, need, scores, ids[None, :] != q[:, None]
+            width = dim.as_py()
+            scores = _scores(qv.reshape(len(q), width), vectors.reshape(len(ids), width))
+            yield width, ids, q, tags, low, need, scores, ids[None, :] != q[:, None]
 
 
 def _histograms(meetings: DataFrame, width: int, span: int) -> DataFrame:
