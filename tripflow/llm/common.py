@@ -15,20 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
+
+    It is ``spark.checkpoint.dir``; a folder of this machine serves only where
+    that is unset, as in tests.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder.
 
     Later jobs read the files, so neither a lost executor nor a second use
-    computes it again. The folder is ``spark.checkpoint.dir``; a folder of this
-    machine serves only where that is unset, as in tests.
+    computes it again.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as Parquet in ``folder``, read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {name.lower() for name in names}

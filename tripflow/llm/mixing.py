@@ -37,11 +37,14 @@ def text_tokens(text: str = "text") -> Column:
     return F.ceil(F.octet_length(text_or_empty(text)) / 4)
 
 
+def unit_name(key: str, text: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.md5(text_or_empty(text)))
+
+
 def units(docs: DataFrame, key: str, source: str, tokens: Column, text: str = "text") -> DataFrame:
     """(key, source, name, tokens, rows): rows that cannot be told apart, with their number."""
-    name = F.coalesce(F.col(key).cast("string"), F.md5(text_or_empty(text)))
     return docs.groupBy(
-        F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), name.alias("name"), tokens.alias("tokens")
+        F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), unit_name(key, text).alias("name"), tokens.alias("tokens")
     ).agg(F.count(F.lit(1)).alias("rows"))
 
 
