@@ -51,10 +51,19 @@ def test_no_aggregate_carries_sketches_per_route(spark):
     assert sketches and not any("start_lat" in x for x in sketches)
 
 
-def test_windows_over_departures_see_one_row_per_second(spark):
+def test_windows_over_departures_see_numbers_of_distinct_seconds(spark):
     text = plan(spark, "next_departure")
-    window = text.index("Window [last(")
-    union = text.index("Union", window)
-    first, second = text[union:].split("\n")[1], text[union:].split("partial_min")[0]
-    assert "Aggregate" in first and "least" not in first
-    assert "SortAggregate" in second
+    window = text[text.index("Window [last("):]
+    above_scan = window[: window.index("FileScan")]
+    assert "dest_stop" not in above_scan.split("Union")[0]
+    assert "collect_set" not in text and "array<" not in above_scan.split("Union")[0]
+
+
+def test_missing_trajectories_build_no_texts(spark):
+    text = plan(spark, "missing_trajectory")
+    assert "listagg" not in text
+
+
+def test_statistics_rank_no_flows(spark):
+    for name in ("flow_stats", "dataset_report"):
+        assert "start_lat" not in "".join(x for x in plan(spark, name).splitlines() if "Window" in x)

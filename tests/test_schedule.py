@@ -31,7 +31,9 @@ def answers(spark, calls, asks, **options):
 @pytest.mark.parametrize(
     "text, seconds",
     [("08:05:09", 29109), ("25:10:00", 90600), (" 8:05:00", 29100), ("8:05", None),
-     ("aa:bb:cc", None), ("", None), (None, None), ("1:2:3:4", None)],
+     ("aa:bb:cc", None), ("", None), (None, None), ("1:2:3:4", None),
+     ("700000:00:00", 2_520_000_000), ("9223372036854775807:00:00", None),
+     ("99999999999999999999:00:00", None)],
 )
 def test_clock_text(spark, text, seconds):
     df = spark.createDataFrame([(text,)], "t string")
@@ -61,6 +63,13 @@ def test_departures_past_midnight(spark):
     assert (got[1].trip_id, got[1].dep_secs) == ("late", 93600)
 
 
+def test_asks_past_midnight(spark):
+    calls = [call("late", "A", "26:00:00"), call("later", "A", "28:00:00")]
+    asks = [(i, "rail", "A", "Z", s) for i, s in enumerate([86399, 86400, 90000, 95000, 100800, 100801])]
+    got = {k: v.trip_id for k, v in answers(spark, calls, asks).items()}
+    assert got == {0: "late", 1: "late", 2: "late", 3: "later", 4: "later"}
+
+
 def test_arrival_is_the_first_call_of_the_trip_at_the_destination(spark):
     calls = [
         call("a", "A", "08:00:00", 1), call("a", "B", "08:30:00", 5), call("a", "B", "08:20:00", 3),
@@ -68,6 +77,13 @@ def test_arrival_is_the_first_call_of_the_trip_at_the_destination(spark):
     assert answers(spark, calls, [(1, "rail", "A", "B", 0)])[1].eta_min == 20
 
 
+def test_arrival_without_stop_sequence_is_the_earliest_call(spark):
+    calls = [call("a", "A", "08:00:00", 1), call("a", "B", "08:30:00", None), call("a", "B", "08:20:00", None),
+             call("a", "C", "09:30:00", 7), call("a", "C", "09:10:00", 7), call("a", "C", "09:00:00", None)]
+    got = answers(spark, calls, [(1, "rail", "A", "B", 0), (2, "rail", "A", "C", 0)])
+    assert (got[1].eta_min, got[2].eta_min) == (20, 70)
+
+
 def test_missing_destination_policies_and_order_check(spark):
     calls = [call("a", "A", "08:00:00", 2), call("a", "B", "07:00:00", 1)]
     asks = [(1, "rail", "A", "Z", 0), (2, "rail", "A", "B", 0)]
@@ -158,6 +174,13 @@ def test_offers_of_several_agencies(spark):
     assert {r.request_id: r.agency for r in cheap} == {1: "bus", 2: "air", 4: "bus"}
 
 
+def test_offers_from_agency_tables(spark):
+    times = spark.createDataFrame([call("a", "A", "08:00:00", 1), call("a", "B", "08:30:00", 2)], STOP_TIMES)
+    tables = schedule.agency_tables(spark, [RAIL, BUS])
+    one = schedule.schedule_offers(requests(spark), times, tables).collect()
+    assert sorted(one) == sorted(schedule.schedule_offers(requests(spark), times, [RAIL, BUS]).collect()) and one
+
+
 def test_best_offer_ranks_absent_values_last(spark):
     df = spark.createDataFrame(
         [(1, "a", None, 1.0), (1, "b", 90, 5.0)], "request_id long, agency string, eta_min long, cost double"

@@ -98,11 +98,11 @@ def test_shares_sum_to_a_hundred_and_flows_to_valid_rows(spark):
     assert total == sum(r["start_lat"] < 90 for r in rows)
 
 
-def test_flow_stats_ignores_the_unknown_mode_among_leaders(spark):
+def test_flow_stats_names_the_unknown_mode_among_leaders(spark):
     rows = [("d", None, 9), ("d", "b", 2), ("d", "a", 2), ("d", "c", 1), ("d", "e", 5)]
     df = spark.createDataFrame(rows, "dataset string, mode string, trip_count long")
     (row,) = flows.flow_stats(df).collect()
-    assert row.top_route_modes == "e, a, b"
+    assert row.top_route_modes == "UNKNOWN, e, a"
     assert (row.total_route_instances, row.max_route_frequency, row.avg_route_frequency) == (19, 9, 3.8)
 
 
@@ -184,3 +184,14 @@ def test_palette_starts_over(spark):
                layers.colours_by_name(flows.top_flows(frame(spark, rows))).collect()}
     assert colours["m10"] == colours["m00"] == style.PALETTE[0]
     assert colours["m11"] == style.PALETTE[1]
+
+
+def test_statistics_count_more_flows_than_are_drawn(spark):
+    from tripflow.operators import reports
+
+    rows = [trip(start_lat=30 + i / 1000, dataset="d") for i in range(3000)]
+    trips = frame(spark, rows)
+    (stats,) = flows.flow_stats(flows.od_flows(flows.valid_coords(trips))).collect()
+    (report,) = reports.dataset_report(trips).collect()
+    for row in (stats, report):
+        assert (row.total_route_instances, row.max_route_frequency, row.avg_route_frequency) == (3000, 1, 1.0)

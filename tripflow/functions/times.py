@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DAY_SECONDS = 86_400
-
-
 def hms_to_seconds(text: Column) -> Column:
-    """Seconds after midnight of HH:MM:SS text; hours may pass 23, bad text is NULL."""
+    """Seconds after midnight of HH:MM:SS text; hours may pass 23, bad text is NULL.
+
+    So are numbers beyond a long.
+    """
     parts = F.split(text, ":")
-    hours, minutes, seconds = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
-    return F.when(F.size(parts) == 3, hours * 3600 + minutes * 60 + seconds)
+    hours, minutes, seconds = (F.get(parts, F.lit(i)).try_cast("bigint") for i in range(3))
+    total = F.try_add(
+        F.try_add(F.try_multiply(hours, F.lit(3600)), F.try_multiply(minutes, F.lit(60))), seconds
+    )
+    return F.when(F.size(parts) == 3, total)
 
 
 def seconds_of_day(ts: Column) -> Column:

@@ -49,7 +49,7 @@ def tagged(log: DataFrame) -> DataFrame:
 
 def messages(log: DataFrame) -> DataFrame:
     """Rows that are no derived records; rows without a tag stay."""
-    return tagged(log).filter(~F.col("tag").isin(*MARKERS))
+    return tagged(log).filter(~F.coalesce("tag", F.lit("")).isin(*MARKERS))
 
 
 def _chunked(log: DataFrame, chunk_rows: int) -> DataFrame:

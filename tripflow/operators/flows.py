@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, valid_od
+from tripflow.functions.style import known_mode
 from tripflow.operators.skew import join_on_hot_keys
 from tripflow.operators.topn import in_order, top_per_group
 
@@ -82,7 +83,10 @@ def top_od(trips: DataFrame, n: int = 500, population: DataFrame | None = None)
 
 
 def flow_stats(flows: DataFrame, top_modes: int = 3) -> DataFrame:
-    """Per dataset: sum, maximum and mean of the flow counts and its leading modes."""
+    """Per dataset: sum, maximum and mean of the flow counts and its leading modes.
+
+    ``flows`` are all flows, however few of them a map would draw.
+    """
     per_mode = flows.groupBy("dataset", "mode").agg(
         F.sum("trip_count").alias("total"),
         F.max("trip_count").alias("largest"),
@@ -94,8 +98,8 @@ def flow_stats(flows: DataFrame, top_modes: int = 3) -> DataFrame:
 def leading_modes(place: str, top_modes: int):
     """Mode names up to a place, in order; collects no more than that many."""
     leader = F.when(
-        (F.col(place) <= top_modes) & F.col("mode").isNotNull(),
-        F.struct(F.col(place).alias("place"), F.col("mode").alias("mode")),
+        F.col(place) <= top_modes,
+        F.struct(F.col(place).alias("place"), known_mode(F.col("mode")).alias("mode")),
     )
     return F.array_join(
         F.transform(F.array_sort(F.collect_list(leader)), lambda s: s.mode), ", "
@@ -105,12 +109,9 @@ def leading_modes(place: str, top_modes: int):
 def stats_over_modes(per_mode: DataFrame, top_modes: int, *more) -> DataFrame:
     """Flow statistics from one row per dataset and mode, plus further aggregates.
 
-    Flows without a mode count in the numbers and are no candidates for the
-    leading modes.
+    Flows without a mode are a mode of their own and rank like any other.
     """
-    standing = Window.partitionBy("dataset").orderBy(
-        F.col("mode").isNull(), F.desc("total"), F.asc("mode")
-    )
+    standing = Window.partitionBy("dataset").orderBy(F.desc("total"), F.asc_nulls_first("mode"))
     return (
         per_mode.withColumn("place", F.row_number().over(standing))
         .groupBy("dataset")

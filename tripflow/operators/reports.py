@@ -8,7 +8,6 @@ from tripflow.functions.geo import OD_COLUMNS
 from tripflow.functions.numbers import round_places
 from tripflow.operators.flows import leading_modes, stats_over_modes, valid_coords
 from tripflow.operators.modes import mode_popularity, usable
-from tripflow.operators.topn import in_order, top_per_group
 
 
 def popularity_report(trips: DataFrame) -> DataFrame:
@@ -30,13 +29,13 @@ def popularity_report(trips: DataFrame) -> DataFrame:
     )
 
 
-def dataset_report(trips: DataFrame, per_mode_limit: int = 1000) -> DataFrame:
+def dataset_report(trips: DataFrame) -> DataFrame:
     """One row per dataset: flow statistics, popularity and the most repeated route.
 
-    The largest flows per mode and the most repeated usable route come from one
-    aggregate: each flow enters the ranking once per question it can answer.
-    Popularity also counts trips with invalid ends and is a second, narrow scan
-    that shuffles one row per mode and task.
+    All flows count. One aggregate per origin, destination and mode is reduced
+    to a row per mode, which carries its totals and its most repeated usable
+    route, and those rows to one. Popularity also counts trips with invalid
+    ends and is a second, narrow scan that shuffles one row per mode and task.
     """
     good = usable()
     od = valid_coords(trips).groupBy("dataset", "mode", *OD_COLUMNS).agg(
@@ -45,50 +44,30 @@ def dataset_report(trips: DataFrame, per_mode_limit: int = 1000) -> DataFrame:
         F.avg(F.when(good, F.col("distance_miles"))).alias("avg_distance"),
         F.avg(F.when(good, F.col("duration_minutes"))).alias("avg_duration"),
     )
-    flow = F.struct(
-        F.lit("flow").alias("part"),
-        F.col("mode").alias("within"),
-        F.col("trip_count").alias("n"),
-    )
+    # The least of these is the route with most trips, ties by mode and ends.
     route = F.when(
         F.col("usable_trips") > 0,
         F.struct(
-            F.lit("route").alias("part"),
-            F.lit(None).cast("string").alias("within"),
-            F.col("usable_trips").alias("n"),
-        ),
-    )
-    ranked = top_per_group(
-        od.select(
-            "dataset",
+            (-F.col("usable_trips")).alias("fewer"),
             "mode",
             *OD_COLUMNS,
             "avg_distance",
             "avg_duration",
-            F.inline(F.filter(F.array(flow, route), lambda q: q.isNotNull())),
         ),
-        ["dataset", "part", "within"],
-        [F.desc("n"), *in_order(["mode", *OD_COLUMNS])],
-        per_mode_limit,
-    )
-    is_flow = F.col("part") == "flow"
-    top_route = F.when(
-        ~is_flow & (F.col("rank") == 1),
-        F.struct("mode", "n", "avg_distance", "avg_duration"),
     )
-    per_mode = ranked.groupBy("dataset", "mode").agg(
-        F.sum(F.when(is_flow, F.col("n"))).alias("total"),
-        F.max(F.when(is_flow, F.col("n"))).alias("largest"),
-        F.count_if(is_flow).alias("flows"),
-        F.max(top_route).alias("route"),
+    per_mode = od.groupBy("dataset", "mode").agg(
+        F.sum("trip_count").alias("total"),
+        F.max("trip_count").alias("largest"),
+        F.count(F.lit(1)).alias("flows"),
+        F.min(route).alias("route"),
     )
-    stats = stats_over_modes(per_mode, 3, F.max("route").alias("route"))
+    stats = stats_over_modes(per_mode, 3, F.min("route").alias("route"))
     return (
         stats.join(popularity_report(trips), "dataset", "left")
         .withColumns(
             {
                 "top_route_mode": F.col("route.mode"),
-                "top_route_trips": F.col("route.n"),
+                "top_route_trips": -F.col("route.fewer"),
                 "top_route_distance_miles": round_places(F.col("route.avg_distance"), 2),
                 "top_route_duration_min": round_places(F.col("route.avg_duration"), 2),
             }

@@ -119,11 +119,22 @@ def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0
 
 
 def missing_trajectory(trips: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per dataset and mode: distinct routes and trips whose links match no geometry."""
-    text = F.col("trajectory_segments")
+    """Per dataset and mode: distinct routes and trips whose links match no geometry.
+
+    Whether a list has any text is a flag per list; no geometry leaves its scan.
+    """
+    counted = _trips_per_list(trips).withColumn("route", route_key(F.col("network_link_ids")))
+    links = (
+        counted.select("season", "route", "network_link_ids")
+        .dropDuplicates(["season", "route"])
+        .select("season", "route", F.explode(F.array_distinct("network_link_ids").cast("array<string>")).alias("edge"))
+    )
+    drawn = segments.groupBy("season", F.col("stableEdgeId").cast("string").alias("edge")).agg(
+        F.bool_or(F.col("geometry").isNotNull() & (F.col("geometry") != "")).alias("drawn")
+    )
+    seen = join_on_hot_keys(links, drawn.filter("drawn"), ["season", "edge"]).select("season", "route").distinct()
     return (
-        link_trajectories(_trips_per_list(trips), segments)
-        .filter(text.isNull() | (text == ""))
+        join_on_hot_keys(counted.drop("network_link_ids"), seen, ["season", "route"], "left_anti")
         .groupBy("dataset", "mode")
         .agg(F.count(F.lit(1)).alias("route_patterns"), F.sum("n").alias("trip_count"))
     )

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tripflow.functions.times import (
-    DAY_SECONDS,
-    hms_to_seconds,
-    seconds_of_day,
-    stamp,
-    whole_minutes,
-)
+from tripflow.functions.times import hms_to_seconds, seconds_of_day, stamp, whole_minutes
 from tripflow.operators.skew import join_on_hot_keys
 
 REQUEST_PREFIX = "REQUEST"
@@ -73,6 +68,31 @@ def fare_table(spark: SparkSession, agencies: Sequence[Agency]) -> DataFrame:
     return _rows(spark, rows, schema)
 
 
+@dataclass(frozen=True)
+class AgencyTables:
+    """The carriers as tables, for feeds of more agencies than a plan can spell out.
+
+    ``stops``: (agency, place, stop_id); ``fares``: (agency, from_stop, to_stop,
+    fare); ``rules``: (agency, mode, default_fare, missing_dest, with_trip).
+    """
+
+    stops: DataFrame
+    fares: DataFrame
+    rules: DataFrame
+
+
+def rule_table(spark: SparkSession, agencies: Sequence[Agency]) -> DataFrame:
+    names = ("mode", "default_fare", "missing_dest", "with_trip")
+    rows = [{"agency": a.name} | {n: getattr(a, n) for n in names} for a in agencies]
+    return _rows(
+        spark, rows, "agency:string,mode:string,default_fare:double,missing_dest:string,with_trip:boolean"
+    )
+
+
+def agency_tables(spark: SparkSession, agencies: Sequence[Agency]) -> AgencyTables:
+    return AgencyTables(stop_map(spark, agencies), fare_table(spark, agencies), rule_table(spark, agencies))
+
+
 def per_agency(agencies: Sequence[Agency], attribute: str) -> Column:
     """An agency attribute looked up by the ``agency`` column."""
     pairs = [F.lit(x) for a in agencies for x in (a.name, getattr(a, attribute))]
@@ -100,31 +120,42 @@ def places_to_stops(requests: DataFrame, stops: DataFrame) -> DataFrame:
 def first_departures(moments: DataFrame, seconds: DataFrame) -> DataFrame:
     """Forward as-of: the earliest departure at or after each (agency, stop, second).
 
-    ``moments`` holds each second of a day once per stop and departures are
-    reduced to the first trip per second, all past midnight counting as one, so
-    a stop contributes at most two rows per second of the day to its window,
-    whatever the number of requests or trips. Seconds run downwards so that the
-    frame only ever grows.
+    ``moments`` holds each second asked for once per stop, and departures come
+    in as the distinct seconds at which something leaves, so a stop brings no
+    more rows to its window than there are seconds in a service day and a day of
+    asks, whatever the number of requests or trips, and each row is a few
+    numbers. Only for seconds that answer something is the first trip looked
+    up. Seconds run downwards so that the frame only ever grows.
     """
-    departures = (
-        seconds.filter(F.col("dep_secs").isNotNull())
-        .groupBy(
-            "agency",
-            F.col("stop_id").alias("origin_stop"),
-            F.least("dep_secs", F.lit(DAY_SECONDS)).alias("now_secs"),
-        )
-        .agg(F.min(F.struct("dep_secs", "trip_id")).alias("departure"))
-    )
-    both = moments.unionByName(departures, allowMissingColumns=True)
+    leaving = seconds.filter(F.col("dep_secs").isNotNull()).withColumnRenamed("stop_id", "origin_stop")
+    departures = leaving.select("agency", "origin_stop", F.col("dep_secs").alias("now_secs")).distinct()
+    both = moments.select(
+        "agency", "origin_stop", F.col("now_secs").cast("long").alias("now_secs"), F.lit(None).cast("long").alias("dep_secs")
+    ).unionByName(departures.withColumn("dep_secs", F.col("now_secs")))
     running = (
         Window.partitionBy("agency", "origin_stop")
-        .orderBy(F.desc("now_secs"), F.col("departure").isNull())
+        .orderBy(F.desc("now_secs"), F.col("dep_secs").isNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        both.withColumn("next", F.last("departure", ignorenulls=True).over(running))
-        .filter(F.col("departure").isNull() & F.col("next").isNotNull())
-        .select(*moments.columns, "next.dep_secs", "next.trip_id")
+    answered = (
+        both.withColumn("next", F.last("dep_secs", ignorenulls=True).over(running))
+        .filter(F.col("dep_secs").isNull() & F.col("next").isNotNull())
+        .select("agency", "origin_stop", "now_secs", F.col("next").alias("dep_secs"))
+    )
+    place = ["agency", "origin_stop", "dep_secs"]
+    used = answered.select(*place).distinct()
+    trips = join_on_hot_keys(leaving.select(*place, "trip_id"), used, place)
+    first_trips = trips.groupBy(*place).agg(F.min("trip_id").alias("trip_id"))
+    return join_on_hot_keys(answered, first_trips, place)
+
+
+def first_calls(seconds: DataFrame) -> DataFrame:
+    """When each trip first calls at each stop: by stop sequence, absent ones last, then by time."""
+    sequence = F.coalesce(F.col("stop_sequence").cast("decimal(11,0)"), F.lit(2**31).cast("decimal(11,0)"))
+    # One number to order by, which aggregates by hash: twenty digits for the seconds.
+    order = sequence * F.lit(Decimal(10**19)).cast("decimal(20,0)") + F.coalesce("arr_secs", F.lit(2**63 - 1))
+    return seconds.groupBy("trip_id", F.col("stop_id").alias("dest_stop"), "agency").agg(
+        F.min_by("arr_secs", order.cast("decimal(38,0)")).alias("arr_at"), F.lit(True).alias("calls_there")
     )
 
 
@@ -136,38 +167,39 @@ def next_departure(
 ) -> DataFrame:
     """Next departure, arrival and whole minutes of travel for each ask.
 
-    ``asks`` needs agency, origin_stop, dest_stop and now_secs; asks without an
-    answer disappear. Each distinct question is answered once: a moment at a
-    stop carries the set of destinations asked for, at most the agency's stops.
-    Answers are joined back at the end, so a stop or second that a third of all
-    asks share costs one row until that join.
+    ``asks`` needs agency, origin_stop, dest_stop and now_secs, which may lie
+    past midnight like departures do; asks without an answer disappear. Each
+    distinct question is answered once: first its moment at a stop, then its
+    destination. Answers are joined back at the end, so a stop or second that a
+    third of all asks share costs one row until that join.
     """
     seconds = schedule_seconds(stop_times)
-    moments = asks.groupBy("agency", "origin_stop", "now_secs").agg(
-        F.collect_set("dest_stop").alias("dest_stops")
-    )
-    arrivals = (
-        seconds.groupBy("trip_id", F.col("stop_id").alias("dest_stop"), "agency")
-        .agg(F.min_by("arr_secs", "stop_sequence").alias("arr_at"))
-        .withColumn("calls_there", F.lit(True))
-    )
+    moment = ["agency", "origin_stop", "now_secs"]
+    asked = asks.withColumn("now_secs", F.col("now_secs").cast("long"))
     policy = missing_dest if isinstance(missing_dest, Column) else F.lit(missing_dest)
+    questions = asked.select(*moment, "dest_stop", policy.alias("missing")).distinct()
+    departed = join_on_hot_keys(
+        questions, first_departures(questions.select(*moment).distinct(), seconds), moment
+    )
     arrival = F.when(F.col("calls_there"), F.col("arr_at")).when(
-        policy == "zero", F.col("dep_secs")
+        F.col("missing") == "zero", F.col("dep_secs")
     )
     answers = (
-        first_departures(moments, seconds)
-        .withColumn("dest_stop", F.explode("dest_stops"))
-        .join(arrivals, ["trip_id", "dest_stop", "agency"], "left")
+        join_on_hot_keys(departed, first_calls(seconds), ["trip_id", "dest_stop", "agency"], "left")
         .withColumn("arr_secs", arrival)
         .filter(F.col("arr_secs").isNotNull())
     )
     if require_after:
         answers = answers.filter(F.col("arr_secs") >= F.col("dep_secs"))
-    answers = answers.withColumn(
-        "eta_min", whole_minutes(F.col("arr_secs") - F.col("dep_secs"))
-    ).drop("arr_at", "calls_there", "dest_stops")
-    return join_on_hot_keys(asks, answers, ["agency", "origin_stop", "dest_stop", "now_secs"])
+    answers = answers.select(
+        *moment,
+        "dest_stop",
+        "trip_id",
+        "dep_secs",
+        "arr_secs",
+        whole_minutes(F.col("arr_secs") - F.col("dep_secs")).alias("eta_min"),
+    )
+    return join_on_hot_keys(asked, answers, ["agency", "origin_stop", "dest_stop", "now_secs"])
 
 
 def with_fares(trips: DataFrame, fares: DataFrame, default_fare: Column) -> DataFrame:
@@ -189,25 +221,22 @@ def asks_of(requests: DataFrame, stops: DataFrame) -> DataFrame:
 def schedule_offers(
     requests: DataFrame,
     stop_times: DataFrame,
-    agencies: Sequence[Agency],
+    agencies: Sequence[Agency] | AgencyTables,
     require_after: bool = False,
 ) -> DataFrame:
     """Offers of scheduled carriers for request_id, origin, destination, requested_at, message."""
-    spark = requests.sparkSession
-    trips = next_departure(
-        asks_of(requests, stop_map(spark, agencies)),
-        stop_times,
-        per_agency(agencies, "missing_dest"),
-        require_after,
-    )
-    priced = with_fares(trips, fare_table(spark, agencies), per_agency(agencies, "default_fare"))
-    detailed = per_agency(agencies, "with_trip")
+    if not isinstance(agencies, AgencyTables):
+        agencies = agency_tables(requests.sparkSession, agencies)
+    asks = asks_of(requests, agencies.stops).join(agencies.rules, "agency")
+    trips = next_departure(asks, stop_times, F.col("missing_dest"), require_after)
+    priced = with_fares(trips, agencies.fares, F.col("default_fare"))
+    detailed = F.col("with_trip")
     return priced.select(
         "request_id",
         "agency",
         "eta_min",
         "cost",
-        per_agency(agencies, "mode").alias("mode"),
+        "mode",
         F.when(detailed, F.col("origin")).alias("origin"),
         F.when(detailed, F.col("destination")).alias("destination"),
         F.when(detailed, stamp(F.col("requested_at"))).alias("departure_time"),

@@ -221,10 +221,10 @@ QUALIFY rank <= 20""",
     "stats": """
 SELECT dataset, sum(total)::BIGINT AS total_route_instances, max(largest) AS max_route_frequency,
   sum(total)::DOUBLE / sum(n)::DOUBLE AS avg_route_frequency,
-  coalesce(string_agg(mode, ', ' ORDER BY place) FILTER (place <= 3 AND mode IS NOT NULL), '') AS top_route_modes
-FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mode IS NULL, total DESC, mode) AS place
+  string_agg(coalesce(mode, 'UNKNOWN'), ', ' ORDER BY place) FILTER (place <= 3) AS top_route_modes
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY total DESC, mode NULLS FIRST) AS place
       FROM (SELECT dataset, mode, sum(trip_count) AS total, max(trip_count) AS largest, count(*) AS n
-            FROM top_flows GROUP BY ALL))
+            FROM flows GROUP BY ALL))
 GROUP BY dataset""",
     "top_od": """
 SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY trip_count DESC, mode NULLS FIRST,
@@ -391,7 +391,7 @@ FROM answers""",
     "mode_colours": """SELECT dataset, mode, position, colour FROM (
   SELECT dataset, coalesce(mode, 'UNKNOWN') AS mode,
     row_number() OVER (PARTITION BY dataset ORDER BY mode NULLS FIRST) AS position
-  FROM (SELECT DISTINCT dataset, mode FROM top_flows)
+  FROM (SELECT DISTINCT dataset, mode FROM valid)
 ) JOIN palette ON slot = (position - 1) % 10""",
     "mode_colours_by_size": "SELECT * FROM size_colours",
     "origin_sample": f"""SELECT dataset, coalesce(mode, 'UNKNOWN') AS mode, start_lat, start_lng, end_lat, end_lng, trip_count,
@@ -461,7 +461,7 @@ FROM stats s
 LEFT JOIN (
   SELECT dataset, max(mode) FILTER (place = 1) AS top_mode, max(percentage) FILTER (place = 1) AS top_mode_percentage,
     max(total_individual_trips) FILTER (place = 1) AS top_mode_trips,
-    string_agg(mode, ', ' ORDER BY place) FILTER (place <= 3) AS top_modes
+    string_agg(coalesce(mode, 'UNKNOWN'), ', ' ORDER BY place) FILTER (place <= 3) AS top_modes
   FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY total_individual_trips DESC, mode NULLS FIRST) AS place
         FROM popularity) GROUP BY dataset) p USING (dataset)
 LEFT JOIN (FROM frequent WHERE rank = 1) f USING (dataset)""",

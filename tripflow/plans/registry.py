@@ -52,7 +52,8 @@ def companion_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def datasets_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = inputs.trips(spark, sf_dir)
-    labels = ("Q2 Thursday", "Q2 Saturday", "Q4 Thursday", "Q4 Saturday")
+    # As many names as there are trip tables.
+    labels = [row[0] for row in trips.select("dataset").distinct().collect()]
     apart = {x: trips.filter(F.col("dataset") == x).drop("dataset") for x in labels}
     return stack_datasets(apart).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("trip_count"), F.sum("distance_miles").alias("distance_miles")
@@ -234,7 +235,7 @@ QUERIES: dict[str, Query] = {
     "top_flows_per_mode": _trip_query(lambda t: flows.top_flows(t, 20, ordered=True)),
     "flow_rank": _trip_query(flows.top_flows),
     "top_od_500": top_od_500,
-    "flow_stats": _trip_query(lambda t: flows.flow_stats(flows.top_flows(t))),
+    "flow_stats": _trip_query(lambda t: flows.flow_stats(flows.od_flows(flows.valid_coords(t)))),
     "trips_with_population": trips_with_population,
     # Modes and routes
     "mode_summary": _trip_query(modes.mode_summary),
@@ -288,7 +289,7 @@ QUERIES: dict[str, Query] = {
         inputs.answers(spark, sf_dir)
     ),
     # Layers and reports
-    "mode_colours": _trip_query(lambda t: layers.colours_by_name(flows.top_flows(t))),
+    "mode_colours": _trip_query(lambda t: layers.colours_by_name(flows.valid_coords(t))),
     "mode_colours_by_size": lambda spark, sf_dir: layers.colours_by_size(_patterns(spark, sf_dir)),
     "origin_sample": _trip_query(lambda t: layers.origin_sample(flows.top_flows(t), 5)),
     "layer_features": _trip_query(layer_features),
