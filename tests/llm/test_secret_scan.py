@@ -1,0 +1,56 @@
+"""Secrets against the contract's patterns in Python."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tripflow.llm import secret_scan
+from tripflow.llm.queries import op5_secret_scan
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def check(rows, texts):
+    for r in rows:
+        spans = brute.base_spans(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == brute.sha(line)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+        kept = [x for x in r.spans.split(",") if x and not x.startswith("owned:")]
+        assert ",".join(kept) == line
+
+
+def test_query_equals_the_patterns(spark):
+    texts = dict(tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect())
+    rows = op5_secret_scan(spark, SF_DIR).collect()
+    assert len(rows) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 10
+    check(rows, texts)
+
+
+def test_patterns_on_random_pieces(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = ["password", "PASSWD", "Secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abc", "123456", "AKIA",
+              "ABCD2345", "deadbeef", "0f", "é", "😀", "\n", "k", "-", "_", ".", "/", "ſecret", "toKen"]
+    texts = {i: "".join(rng.choices(pieces, k=rng.randrange(60))) for i in range(2000)} | {-1: None, -2: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, spans int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    check(op5_secret_scan(spark, str(tmp_path)).collect(), texts)
+
+
+def test_ownership_tells_examples_from_live_values(spark):
+    live, copied, low = "Zx81Qw77Rt55Mn33Kp22Hd", "Aa11Bb22Cc33Dd44Ee55Ff", "thisisjustoneverylongword"
+    rows = [(1, f"key {live} and {copied} {low}", "o1", "r1"), (2, f"again {live}", "o1", "r1")]
+    rows += [(10 + i, f"see {copied} password={copied}", f"o{i}", "r") for i in range(6)]
+    rows += [(30, None, None, None), (1, f"key {live} and {copied} {low}", "o1", "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    found = secret_scan.secrets(docs, F.col("source"), F.col("repo")).withColumn("line", secret_scan.span_text(F.col("spans"))).collect()
+    assert len(found) == len(rows)
+    assert [r.line for r in found if r.doc_id in (1, 2)] == ["owned:4:26", "owned:4:26", "owned:6:28"] or sorted(r.line for r in found if r.doc_id in (1, 2)) == ["owned:4:26", "owned:4:26", "owned:6:28"]
+    assert {r.line for r in found if r.doc_id and 10 <= r.doc_id < 20} == {"assign:27:58"}
+    assert not any(s.live for r in found if r.doc_id and 10 <= r.doc_id < 20 for s in r.spans)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert secret_scan.secrets(docs, F.col("source"), F.col("source")).count() == 0
