@@ -119,7 +119,7 @@ def test_tags_may_be_text(spark):
     log = spark.createDataFrame(rows, LOG.replace("array<string>", "string"))
     assert context.latest_by_tag(log).first().tag == "ScenarioUnderstanding"
     assert [r.idx for r in context.token_budget(log).collect()] == [1]
-    (row,) = context.understanding_context(log, "ScenarioUnderstanding").collect()
+    (row,) = context.understanding_context(log, ["ScenarioUnderstanding"]).collect()
     assert (row.previous, row.time_start) == ("<scenario> x", START)
 
 

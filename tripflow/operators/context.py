@@ -1,12 +1,13 @@
 """Token-bounded context from large message logs, for all agents at once.
 
 A log has agent_id, idx (position in the agent's log, unique), time, tags
-(array) and text.
+(array) and text. Positions count rows, with gaps at most: chunks are ranges of
+positions, so positions like epoch seconds have to be ranked first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
@@ -31,6 +32,16 @@ MARKERS = {
     "SelfUnderstanding": "<selfunderstanding>",
     "ThoughtProcessForAction": "ThoughtProcessForAction",
 }
+UNDERSTANDINGS = ("ScenarioUnderstanding", "ParticipantUnderstanding", "SelfUnderstanding")
+# Section titles, and what is taken out of a section where a record repeats it.
+SECTIONS = (
+    ("# Scenario Understanding", "Scenario Understanding\n: "),
+    ("# Participant Understanding", "Participants Understanding\n: "),
+    ("# Self Understanding", "Self Understanding\n: "),
+    ("# Guidance from Trusted Advisor", "Guidance from Trusted Advisor\n: "),
+)
+RECENT_TITLE = "# Most Recent Observations"
+NO_ENDOWMENT = "No information provided"
 CHUNK_ROWS = 100_000
 
 
@@ -219,17 +230,22 @@ def last_entries(log: DataFrame, n: int = 5) -> DataFrame:
 
 
 def understanding_context(
-    log: DataFrame, tag: str, budget: int = 2500, chunk_rows: int = CHUNK_ROWS
+    log: DataFrame,
+    tags: Sequence[str] = UNDERSTANDINGS,
+    budget: int = 2500,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Per agent: the newest record of one kind, the messages within budget, their span.
+    """Per agent and kind of record: the newest such record, the messages within budget, their span.
 
-    Agents without a message in the budget get no row.
+    The messages are selected once for all kinds. Agents without a message in
+    the budget get no row.
     """
-    previous = latest_by_tag(log, {tag: MARKERS[tag]}).select(
-        "agent_id", F.col("text").alias("previous")
+    previous = latest_by_tag(log, {tag: MARKERS[tag] for tag in tags}).select(
+        "agent_id", "tag", F.col("text").alias("previous")
     )
     recent = context_text(token_budget(log, budget, chunk_rows=chunk_rows))
-    return recent.join(previous, "agent_id", "left")
+    kinds = F.explode(F.array(*[F.lit(tag) for tag in tags])).alias("tag")
+    return recent.select("*", kinds).join(previous, ["agent_id", "tag"], "left")
 
 
 def agent_context(
@@ -253,17 +269,16 @@ def agent_context(
     )
     recent = context_text(adaptive_tail(log, budget=budget, chunk_rows=chunk_rows))
     start = now - F.expr(f"INTERVAL {window}")
+    known = [*[split_record(F.col(tag)) for tag in UNDERSTANDINGS], F.col("ThoughtProcessForAction")]
     body = F.concat_ws(
         "\n\n",
-        section("# Scenario Understanding", split_record(F.col("ScenarioUnderstanding"))),
-        section("# Participant Understanding", split_record(F.col("ParticipantUnderstanding"))),
-        section("# Self Understanding", split_record(F.col("SelfUnderstanding"))),
-        section("# Guidance from Trusted Advisor", F.col("ThoughtProcessForAction")),
-        section("# Most Recent Observations", F.col("context")),
-    )
-    endowment = F.coalesce(
-        F.col("extras")["initial_endowment"], F.lit("No information provided")
+        *[
+            F.replace(section(title, text), F.lit(prefix), F.lit(""))
+            for (title, prefix), text in zip(SECTIONS, known, strict=True)
+        ],
+        section(RECENT_TITLE, F.col("context")),
     )
+    endowment = F.coalesce(F.col("extras")["initial_endowment"], F.lit(NO_ENDOWMENT))
     return (
         config.join(records, "agent_id", "left")
         .join(recent, "agent_id", "left")

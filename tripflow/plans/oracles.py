@@ -287,6 +287,12 @@ WHERE quarter IN ('Q2', 'Q4') AND day_type = 'weekday'""",
     "od_flows": "SELECT * FROM flows",
     "top_flows_per_mode": "SELECT * FROM top_flows WHERE rank <= 20",
     "flow_rank": "SELECT * FROM top_flows",
+    "top_flows_with_population": """SELECT *, row_number() OVER (PARTITION BY dataset, mode ORDER BY trip_count DESC,
+  start_lat, start_lng, end_lat, end_lng) AS rank
+FROM (SELECT dataset, mode, start_lat, start_lng, end_lat, end_lng, count(*) AS trip_count FROM peopled
+      WHERE start_lat BETWEEN -90 AND 90 AND start_lng BETWEEN -180 AND 180
+        AND end_lat BETWEEN -90 AND 90 AND end_lng BETWEEN -180 AND 180 GROUP BY ALL)
+QUALIFY rank <= 20""",
     "top_od_500": "SELECT * FROM top_od",
     "flow_stats": "SELECT * FROM stats",
     "trips_with_population": """SELECT dataset, season, person_id, mode, start_lat, start_lng, end_lat, end_lng
@@ -354,11 +360,12 @@ QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY eta_min, cost, agenc
     "context_text": """SELECT agent_id,
   string_agg(concat('[', strftime(time, '%Y-%m-%d %H:%M:%S'), '] ', text), chr(10) ORDER BY idx) AS context
 FROM budget GROUP BY agent_id""",
-    "understanding_context": """SELECT b.*, l.text AS previous FROM (
+    "understanding_context": """SELECT b.*, k.tag, l.text AS previous FROM (
   SELECT agent_id, min(time) AS time_start, max(time) AS time_end,
     string_agg(concat('[', strftime(time, '%Y-%m-%d %H:%M:%S'), '] ', text), chr(10) ORDER BY idx) AS context
   FROM budget GROUP BY agent_id) b
-LEFT JOIN (FROM latest WHERE tag = 'ScenarioUnderstanding') l USING (agent_id)""",
+CROSS JOIN (SELECT unnest(['ScenarioUnderstanding', 'ParticipantUnderstanding', 'SelfUnderstanding']) AS tag) k
+LEFT JOIN latest l ON l.agent_id = b.agent_id AND l.tag = k.tag""",
     "latest_by_tag": "SELECT * FROM latest",
     "last_entries": """SELECT agent_id, idx, time, text, row_number() OVER (PARTITION BY agent_id ORDER BY idx DESC) AS rank
 FROM log QUALIFY rank <= 5""",

@@ -82,6 +82,12 @@ def top_od_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def top_flows_with_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.top_flows(
+        inputs.trips(spark, sf_dir), 20, population=inputs.population(spark, sf_dir)
+    )
+
+
 def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.origin_counts(
         inputs.trips(spark, sf_dir), 500, inputs.population(spark, sf_dir)
@@ -234,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "od_flows": _trip_query(lambda t: flows.od_flows(flows.valid_coords(t))),
     "top_flows_per_mode": _trip_query(lambda t: flows.top_flows(t, 20, ordered=True)),
     "flow_rank": _trip_query(flows.top_flows),
+    "top_flows_with_population": top_flows_with_population,
     "top_od_500": top_od_500,
     "flow_stats": _trip_query(lambda t: flows.flow_stats(flows.od_flows(flows.valid_coords(t)))),
     "trips_with_population": trips_with_population,
@@ -278,9 +285,7 @@ QUERIES: dict[str, Query] = {
         lambda log: context.context_text(context.token_budget(log)).select("agent_id", "context")
     ),
     "understanding_context": _log_query(
-        lambda log: context.understanding_context(
-            log, "ScenarioUnderstanding", chunk_rows=LOG_CHUNK
-        )
+        lambda log: context.understanding_context(log, chunk_rows=LOG_CHUNK)
     ),
     "latest_by_tag": _log_query(context.latest_by_tag),
     "last_entries": last_entries,
