@@ -173,6 +173,30 @@ def test_labelled_records(spark, record, want):
     assert df.select(txt.split_record(F.col("t"))).first()[0] == want
 
 
+def test_section_prefix_is_taken_out(spark):
+    title, prefix = context.SECTIONS[1]
+    assert prefix.endswith("\n: ")
+    log = spark.createDataFrame(
+        [(1, 0, datetime(2024, 1, 1), ["SelfUnderstanding"], ": <selfunderstanding> calm", )],
+        "agent_id long, idx long, time timestamp_ntz, tags array<string>, text string",
+    )
+    config = spark.createDataFrame(
+        [(1, "ann", "Overarching motivation: go", "Current time: noon", {})],
+        "agent_id long, name string, motivation string, report string, extras map<string,string>",
+    )
+    now = F.lit(datetime(2024, 1, 1, 12)).cast("timestamp_ntz")
+    (row,) = context.agent_context(log, config, now).collect()
+    assert row.context == "# <selfunderstanding> calm"
+
+
+def test_a_null_tag_column_keeps_its_rows(spark):
+    log = spark.createDataFrame(
+        [(1, 0, datetime(2024, 1, 1), None, "some text", None)],
+        "agent_id long, idx long, time timestamp_ntz, tags array<string>, text string, tag string",
+    )
+    assert context.messages(log).count() == 1
+
+
 def test_text_after_a_label(spark):
     df = spark.createDataFrame([("x Current time:  noon ",), ("none",)], "t string")
     got = [r[0] for r in df.select(txt.after_label(F.col("t"), "Current time: ")).collect()]

@@ -68,7 +68,8 @@ def test_feed_folders_with_different_column_orders(spark, tmp_path):
     for name, text in (("rail", FEED), ("bus", OTHER_ORDER)):
         (tmp_path / name).mkdir()
         (tmp_path / name / "stop_times.txt").write_text(text, encoding="utf-8")
-    folders = {n: str(tmp_path / n) for n in ("rail", "bus")}
+    (tmp_path / "empty").mkdir()
+    folders = {n: str(tmp_path / n) for n in ("rail", "bus", "empty")}
     got = {tuple(r) for r in gtfs.read_feed_folders(spark, folders).collect()}
     assert got == {
         ("rail", "a", "08:00:00", "08:00:10", "A", 1),

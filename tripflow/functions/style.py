@@ -23,11 +23,13 @@ MODE_COLOURS = {
     "PUBLIC_TRANSIT": "yellow",
     "OTHER_TRAVEL_MODE": "grey",
 }
+# Fixed value.
 DEFAULT_COLOUR = "gray"
 
 # Modes drawn as cars on the origin map.
 AUTO_MODES = ("PRIVATE_AUTO", "CARPOOL", "ON_DEMAND_AUTO")
 
+# Fixed values.
 TOP_ROUTE_COLOUR = "#d32f2f"
 UNKNOWN_MODE = "UNKNOWN"
 

@@ -31,6 +31,10 @@ def after_label(text: Column, label: str) -> Column:
     return F.trim(F.get(F.split(text, _literal(label)), F.lit(1)))
 
 
+# Fixed value: what introduces the time frame of a record.
+FRAME_LABEL = "Based on observations in the timeframe "
+
+
 def split_record(text: Column) -> Column:
     """'[tag] [frame]: body' as 'Based on observations in the timeframe ...' + body.
 
@@ -40,7 +44,7 @@ def split_record(text: Column) -> Column:
     frame = F.get(F.split(F.trim(F.get(parts, F.lit(0))), _literal("] [")), F.lit(1))
     body = F.trim(F.get(parts, F.lit(1)))
     labelled = F.concat(
-        F.lit("Based on observations in the timeframe "), frame, F.lit("\n"), body
+        F.lit(FRAME_LABEL), frame, F.lit("\n"), body
     )
     return F.coalesce(labelled, text)
 

@@ -94,17 +94,24 @@ def _trips_per_list(trips: DataFrame, *measures: Column) -> DataFrame:
 def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0.5) -> DataFrame:
     """Trips that share ends, mode and trajectory: count and averages.
 
-    One scan: trips are summed per link list, then per trajectory, because
-    different lists can give the same one. The sums travel with the links.
+    Trips are summed per link list, then per trajectory, because different
+    lists can give the same one. Each list is looked up once, whoever took it,
+    by a second and narrow scan; only lists are exploded.
     """
     sums = [
         f(c).alias(f"{name}_{c}")
         for c in ("distance_miles", "duration_minutes")
         for name, f in (("sum", F.sum), ("known", F.count))
     ]
+    lists = trips.filter(has_links()).select(season_of().alias("season"), "network_link_ids").distinct()
+    known = link_trajectories(lists, segments).filter(well_matched(min_matched))
+    counted = _trips_per_list(trips, *sums).withColumn("route", route_key(F.col("network_link_ids")))
     return (
-        link_trajectories(_trips_per_list(trips, *sums), segments)
-        .filter(well_matched(min_matched))
+        join_on_hot_keys(
+            counted.drop("network_link_ids"),
+            known.select("season", "route", "trajectory_segments"),
+            ["season", "route"],
+        )
         .groupBy("dataset", "mode", *OD_COLUMNS, "trajectory_segments")
         .agg(
             F.sum("n").alias("trip_count"),

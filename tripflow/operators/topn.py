@@ -15,7 +15,7 @@ def top_per_group(
     order: Sequence[Column],
     n: int,
     rank_col: str = "rank",
-    fan_in: int = 64,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """The n first rows of each group with their rank, starting at 1.
 
@@ -23,10 +23,13 @@ def top_per_group(
     within (group, slice of the input partitions), then within the group over
     the slice winners alone. A row outside its slice's first n cannot be in the
     group's first n, so nothing is lost, and the last step sees at most
-    n * fan_in rows of a group however large the group is. Up to the
+    n * fan_in rows of a group however large the group is. There are as many
+    slices as shuffle partitions, 64 at least. Up to the
     optimizer's group-limit threshold each task also drops rows before the
     first shuffle.
     """
+    if fan_in is None:
+        fan_in = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.withColumn(_SPREAD, F.pmod(F.spark_partition_id(), F.lit(fan_in)))
     by_slice = Window.partitionBy(*groups, _SPREAD).orderBy(*order)
     winners = (

@@ -26,8 +26,8 @@ RAIL = Agency(
         "College": "signup",
         "Viewpoint": "view",
     },
-    fares={("click", "error"): 8.6, ("purchase", "view"): 7.25},
-    default_fare=5.0,
+    fares={("click", "error"): 6.4, ("purchase", "view"): 3.9},
+    default_fare=4.5,
     missing_dest="zero",
 )
 BUS = Agency(
@@ -40,8 +40,8 @@ BUS = Agency(
     with_trip=False,
 )
 FIXED_OFFERS = (
-    FixedOffer("air", 50, 120.0, "eVTOL"),
-    FixedOffer("ride", 100, 95.0, "direct_ride"),
+    FixedOffer("air", 35, 140.0, "shuttle_plane"),
+    FixedOffer("ride", 75, 48.0, "shared_car"),
 )
 CONVERSATIONS_PER_AGENT = 25
 POSITIONS_PER_CONVERSATION = 1000

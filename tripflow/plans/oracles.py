@@ -112,7 +112,7 @@ SELECT * FROM (VALUES ('rail','Harbor','click'), ('rail','Airport','error'), ('r
   ('rail','College','signup'), ('rail','Viewpoint','view'),
   ('bus','Harbor','click'), ('bus','Market','purchase'), ('bus','Viewpoint','view')) v(agency, place, stop_id)""",
     "fares": """
-SELECT * FROM (VALUES ('rail','click','error',8.6::DOUBLE), ('rail','purchase','view',7.25::DOUBLE),
+SELECT * FROM (VALUES ('rail','click','error',6.4::DOUBLE), ('rail','purchase','view',3.9::DOUBLE),
   ('bus','click','purchase',3.0::DOUBLE)) v(agency, from_stop, to_stop, fare)""",
     "requests": """
 SELECT o_orderkey AS request_id,
@@ -142,7 +142,7 @@ SELECT * FROM (
 ) WHERE arr_secs IS NOT NULL""",
     "priced": """
 SELECT a.*, round_even((arr_secs - dep_secs) / 60, 0)::BIGINT AS eta_min,
-  coalesce(f.fare, CASE WHEN a.agency = 'rail' THEN 5.0 ELSE 2.5 END::DOUBLE) AS cost
+  coalesce(f.fare, CASE WHEN a.agency = 'rail' THEN 4.5 ELSE 2.5 END::DOUBLE) AS cost
 FROM answered a LEFT JOIN fares f
   ON f.agency = a.agency AND f.from_stop = a.origin_stop AND f.to_stop = a.dest_stop""",
     "offers": """
@@ -151,8 +151,8 @@ SELECT request_id, agency, eta_min, cost, agency AS mode,
   CASE WHEN agency = 'rail' THEN destination END AS destination,
   CASE WHEN agency = 'rail' THEN strftime(requested_at, '%Y-%m-%d %H:%M:%S') END AS departure_time
 FROM priced
-UNION ALL SELECT request_id, 'air', 50, 120.0, 'eVTOL', NULL, NULL, NULL FROM requests
-UNION ALL SELECT request_id, 'ride', 100, 95.0, 'direct_ride', NULL, NULL, NULL FROM requests""",
+UNION ALL SELECT request_id, 'air', 35, 140.0, 'shuttle_plane', NULL, NULL, NULL FROM requests
+UNION ALL SELECT request_id, 'ride', 75, 48.0, 'shared_car', NULL, NULL, NULL FROM requests""",
     "log": """
 SELECT conv_id // 25 AS agent_id, conv_id % 25 * 1000 + turn AS idx,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes((conv_id % 25 * 1000 + turn)::INT) AS time,
@@ -347,7 +347,7 @@ FROM (SELECT dataset, mode, count(*) AS n FROM boxed
   GROUP BY ALL) GROUP BY ALL""",
     "place_to_stop": "SELECT request_id, agency, origin, destination, origin_stop, dest_stop FROM asks",
     "fare_lookup": """SELECT a.request_id, a.agency, a.origin_stop, a.dest_stop,
-  coalesce(f.fare, CASE WHEN a.agency = 'rail' THEN 5.0 ELSE 2.5 END::DOUBLE) AS cost
+  coalesce(f.fare, CASE WHEN a.agency = 'rail' THEN 4.5 ELSE 2.5 END::DOUBLE) AS cost
 FROM asks a LEFT JOIN fares f ON f.agency = a.agency AND f.from_stop = a.origin_stop AND f.to_stop = a.dest_stop""",
     "next_departure": """SELECT request_id, agency, trip_id, now_secs, dep_secs, arr_secs, eta_min FROM priced""",
     "offers_union": "SELECT * FROM offers",
@@ -367,6 +367,7 @@ FROM budget GROUP BY agent_id""",
 CROSS JOIN (SELECT unnest(['ScenarioUnderstanding', 'ParticipantUnderstanding', 'SelfUnderstanding']) AS tag) k
 LEFT JOIN latest l ON l.agent_id = b.agent_id AND l.tag = k.tag""",
     "latest_by_tag": "SELECT * FROM latest",
+    "latest_by_text_tag": "SELECT * FROM latest",
     "last_entries": """SELECT agent_id, idx, time, text, row_number() OVER (PARTITION BY agent_id ORDER BY idx DESC) AS rank
 FROM log QUALIFY rank <= 5""",
     "agent_context": """SELECT agent_id, concat('Agent', agent_id) AS agent_name, concat('goal ', agent_id) AS motivation,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, points_text
 from tripflow.operators import context, flows, layers, modes, regions, reports, routes, schedule
@@ -183,6 +183,10 @@ def _with_tag_columns(df: DataFrame) -> DataFrame:
     return df.select("agent_id", "idx", "time", "tag", "tokens", "text")
 
 
+def _tags_as_text() -> Column:
+    return F.concat(F.lit("('"), F.array_join("tags", "', '"), F.lit("')"))
+
+
 def last_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.last_entries(inputs.memory_log(spark, sf_dir)).select(
         "agent_id", "idx", "time", "text", "rank"
@@ -288,6 +292,9 @@ QUERIES: dict[str, Query] = {
         lambda log: context.understanding_context(log, chunk_rows=LOG_CHUNK)
     ),
     "latest_by_tag": _log_query(context.latest_by_tag),
+    "latest_by_text_tag": _log_query(
+        lambda log: context.latest_by_tag(log.withColumn("tags", _tags_as_text()))
+    ),
     "last_entries": last_entries,
     "agent_context": agent_context,
     "normalise_answers": lambda spark, sf_dir: context.normalise_answers(

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Columns read from each feed file.
@@ -32,12 +33,18 @@ def read_feed_folders(
     """A feed file out of one unpacked folder per agency, stacked.
 
     Feeds order their columns differently, so each header is read on its own;
-    types come from the declared schema and values that do not fit are NULL.
+    types come from the declared schema and values that do not fit are NULL. A
+    folder without the file is left out, like a zip without it.
     """
     kinds = dict(part.split() for part in FEED_SCHEMAS[table].split(", "))
 
-    def one(agency: str, folder: str) -> DataFrame:
-        text = spark.read.option("header", True).csv(f"{folder}/{table}.txt")
+    def one(agency: str, folder: str) -> DataFrame | None:
+        try:
+            text = spark.read.option("header", True).csv(f"{folder}/{table}.txt")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
         names = {c.strip().lstrip("\ufeff"): c for c in text.columns}
         return text.select(
             F.lit(agency).alias("agency"),
@@ -47,7 +54,9 @@ def read_feed_folders(
             ],
         )
 
-    return reduce(DataFrame.unionByName, [one(a, f) for a, f in folders.items()])
+    found = [feed for a, f in folders.items() if (feed := one(a, f)) is not None]
+    empty = spark.createDataFrame([], f"agency string, {FEED_SCHEMAS[table]}")
+    return reduce(DataFrame.unionByName, found, empty)
 
 
 def read_feed_zips(spark: SparkSession, path: str, table: str = "stop_times") -> DataFrame:
