@@ -1,14 +1,17 @@
 """Line dedup over a corpus: of lines within one edit of each other the earliest stays.
 
 Equal lines first become one distinct line with its earliest place. Distinct
-lines then emit, as hashed keys, themselves and every variant with one
+lines then emit, as hashed keys, themselves and their variants with one
 character deleted. Lines that share a variant and the place of the deletion
 differ by a substitution there; a line equal to a variant differs from those
 that emit it by an insertion. So the earliest line of a key is a partner for all
 others, found by a minimum instead of by pairs, and `levenshtein` verifies it.
 
-Only lines that share their first or second half with another line can be
-within one edit, and only those emit variants; the test loses no pair.
+Two tests that lose no pair keep variants few. Lines within one edit share their
+first or their last part; only lines that share one with another line go on.
+Cut into short blocks, such lines agree in all but one block, before it from the
+front and behind it from the back; only the blocks in which a line agrees so with
+another emit the variants of deletions in them.
 
 A line goes if an earlier line of the corpus is within the bound, whether or
 not that one stays. Earlier means a smaller doc_id, then a smaller position;
@@ -25,16 +28,25 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripflow.llm.common import cut, without
 from tripflow.operators.skew import join_on_hot_keys
 
 MIN_CHARS = 10
+BLOCK = 32
+# Hashes of lines to look at again are marked in so many bits, whatever the
+# corpus. Bits that lines share let more lines through, never fewer.
+MARK_BITS = 22
 _LINE = ["h1", "h2", "size"]
 _PLACES = 31  # bits of a line number
 _LAST = 2**64  # in place of a missing doc_id
-_ROWS_OUT = 1_000_000
+_WHITE = " \t\r\x0b\x0c"
+# Spark's xxhash64 starts from 42 and hands the hash of one value on as the seed of the next.
+_SEED = 42
+_SALT = "~"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _place(key: Column, position: Column) -> Column:
@@ -43,62 +55,150 @@ def _place(key: Column, position: Column) -> Column:
     return (document * F.lit(2**_PLACES).cast("decimal(11,0)") + position).cast("decimal(32,0)")
 
 
-def _digests(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"), F.length(line).alias("size")]
+def _ends(line: Column, size: Column) -> list[Column]:
+    """Keys that lines within one edit share: a first or a last part.
 
+    Sizes fall into classes from a power of two to the next. With k below half
+    of a class's least size, one edit cannot touch both the first and the last k
+    characters. A line of that least size may pair with one of the class below.
+    """
+    binary = F.length(F.bin(size))
+    found = []
+    for below in (0, 1):
+        least = F.pow(F.lit(2), binary - 1 - below).cast("int")
+        k = F.floor((least - 1) / 2).cast("int")
+        emits = F.lit(True) if not below else size == F.pow(F.lit(2), binary - 1).cast("int")
+        found.append(F.when(emits, F.xxhash64(F.lit(0), least, F.substring(line, F.lit(1), k))))
+        found.append(F.when(emits, F.xxhash64(F.lit(1), least, F.right(line, k))))
+    return found
 
-def _halves(line: Column, size: Column) -> Column:
-    """Keys that lines within one edit share: a first or a second half at either of two sizes.
 
-    With the shorter size m and k = m // 2, an edit behind k leaves the first k
-    characters equal, an edit before that leaves the last m - k equal.
-    """
-    keys = []
-    for shorter in (size, size - 1):
-        half = F.floor(shorter / 2).cast("int")
-        keys.append(F.xxhash64(F.lit(0), shorter, F.substring(line, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit(1), shorter, F.right(line, shorter - half)))
-    return F.array(*keys)
+def _marked(buckets: DataFrame) -> np.ndarray:
+    """A bit per bucket of h1; at most 2**MARK_BITS buckets reach the driver."""
+    found = buckets.select(F.pmod("h1", F.lit(2**MARK_BITS)).cast("int").alias("bucket")).distinct().toPandas()
+    bits = np.zeros(2**MARK_BITS, dtype=bool)
+    bits[found["bucket"].to_numpy(dtype=np.int64)] = True
+    return np.packbits(bits)
+
+
+def _signed(digest: int) -> int:
+    return digest - 2**64 if digest >= 2**63 else digest
+
+
+def _looked_up(docs: DataFrame, key: str, text: str, min_chars: int, repeated: np.ndarray, likely: np.ndarray) -> DataFrame:
+    """(key, position, h1, h2, size, line) of all lines with a marked hash; the line only where marked likely."""
+    marks = docs.sparkSession.sparkContext.broadcast((repeated, likely))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, near = (np.unpackbits(m).astype(bool) for m in marks.value)
+        salted = xxhash.xxh64_intdigest(_SALT, _SEED)
+        for batch in batches:
+            rows: list[tuple] = []
+            for at in range(batch.num_rows):
+                for position, line in enumerate((batch.column(1)[at].as_py() or "").split("\n")):
+                    if len(line) < min_chars or len(line.strip(_WHITE)) < min_chars:
+                        continue
+                    data = line.encode()
+                    h1 = xxhash.xxh64_intdigest(data, _SEED)
+                    bucket = h1 % 2**MARK_BITS
+                    if again[bucket] or near[bucket]:
+                        h2 = xxhash.xxh64_intdigest(data, salted)
+                        rows.append((at, position, _signed(h1), _signed(h2), len(line), line if near[bucket] else None))
+            ats, *columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(ats, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
+                names=["key", "position", *_LINE, "line"],
+            )
+
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = source.select("key").schema
+    for name, kind in (("position", "integer"), ("h1", "long"), ("h2", "long"), ("size", "integer"), ("line", "string")):
+        schema = schema.add(name, kind)
+    return source.mapInArrow(run, schema)
+
 
+class _Sums:
+    """Hashes of any beginning or end of a line, or of the line less a character, by prefix sums modulo 2**64."""
 
-def _occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("position", "line"))
-    return lines.filter(F.length(F.btrim("line", F.lit(" \t\r\x0b\x0c"))) >= min_chars)
+    def __init__(self, line: str):
+        codes = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.size = n = len(codes)
+        mixed = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        powers = np.multiply.accumulate(np.full(n + 1, _ODD, dtype=np.uint64))
+        zero = np.zeros(1, dtype=np.uint64)
+        self.first = np.concatenate([zero, np.cumsum(mixed * powers[:n])])
+        self.last = np.concatenate([zero, np.cumsum(mixed[::-1] * powers[:n])])
+        self.moved = np.concatenate([zero, np.cumsum(mixed[1:] * powers[: n - 1])])
 
+    def less(self, at: np.ndarray) -> np.ndarray:
+        """The line without the character at each place."""
+        return self.first[at] + (self.moved[self.size - 1] - self.moved[at])
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """(variant, deleted, h1, h2, size, place): a line's variants by hash; ``deleted`` is -1 for the line itself.
 
-    The hash of a variant follows from prefix sums over the line, so a line costs
-    its length, not its square. Sums wrap at 2**64; equality is verified later.
+def _blocks(lines: DataFrame) -> DataFrame:
+    """(block, h1, begin, end): a key for each block of a line, made of all but the block.
+
+    For a partner of the same size blocks lie at 0, BLOCK, 2 * BLOCK ...; for one that is
+    shorter by a character the block is longer by one. ``end`` is exclusive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(3)[i].as_py().encode("utf-32-le"), "<u4").astype(np.uint64)
-                n = len(codes)
-                mixed = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(31)
-                powers = np.multiply.accumulate(np.full(n + 1, base, dtype=np.uint64))
-                stay = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[:n])])
-                moved = np.concatenate([[np.uint64(0)], np.cumsum(mixed[1:] * powers[: n - 1])])
-                whole, less = stay[n], stay[:n] + (moved[n - 1] - moved[:n])
-                sums = np.concatenate([[whole], less]).astype(np.int64)
-                sizes = np.concatenate([[n], np.full(n, n - 1)])
-                for start in range(0, n + 1, _ROWS_OUT):
-                    part = slice(start, start + _ROWS_OUT)
-                    rows = len(sums[part])
-                    same = [pa.array([batch.column(c)[i].as_py()] * rows, batch.schema.field(c).type) for c in (0, 1, 2, 4)]
+            for h1, line in zip(batch.column(0), batch.column(1), strict=True):
+                sums = _Sums(line.as_py())
+                for extra in (0, 1):
+                    shorter = sums.size - extra
+                    begin = np.arange(0, max(shorter, 1), BLOCK)
+                    end = np.minimum(begin + BLOCK, shorter)
+                    mixed = (np.uint64(shorter) * _ODD + begin.astype(np.uint64)) * _ODD ^ sums.first[begin]
+                    mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD + sums.last[shorter - end]
+                    rows = len(begin)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sums[part]), pa.array(sizes[part].astype(np.int32)),
-                         pa.array(np.arange(-1, n, dtype=np.int32)[part]), *same],
-                        names=["variant", "left", "deleted", *_LINE, "place"],
+                        [pa.array(mixed.view(np.int64)), pa.array([h1.as_py()] * rows, pa.int64()),
+                         pa.array(begin.astype(np.int32)), pa.array((end + extra).astype(np.int32))],
+                        names=["block", "h1", "begin", "end"],
                     )
 
+    return lines.select("h1", "line").mapInArrow(run, "block long, h1 long, begin int, end int")
+
+
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``keys`` whose key another h1 has too, without the key."""
+    several = keys.groupBy(name).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b")
+    # The key hashed anew, so that a hot key's rows come straight from a shuffle and can be split.
+    tag = F.xxhash64(name).alias("tag")
+    rest = [c for c in keys.columns if c != name]
+    return keys.select(tag, *rest).join(several.select(tag), "tag").select(*rest)
+
+
+def _variants(lines: DataFrame, spots: DataFrame) -> DataFrame:
+    """(variant, left, deleted, h1, h2, size, place): lines and their variants by hash.
+
+    ``deleted`` is -1 for the line itself; ``left`` is the size of what is hashed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sums = _Sums(batch.column(3)[i].as_py())
+                marks = np.zeros(sums.size, dtype=bool)
+                for spot in batch.column(5)[i].as_py():
+                    marks[spot["begin"] : spot["end"]] = True
+                at = np.flatnonzero(marks)
+                hashes = np.concatenate([sums.first[-1:], sums.less(at)]).view(np.int64)
+                left = np.full(len(hashes), sums.size - 1, dtype=np.int32)
+                left[0] += 1
+                same = [pa.array([batch.column(c)[i].as_py()] * len(hashes), batch.schema.field(c).type) for c in (0, 1, 2, 4)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes), pa.array(left), pa.array(np.concatenate([[-1], at]).astype(np.int32)), *same],
+                    names=["variant", "left", "deleted", *_LINE, "place"],
+                )
+
     schema = "variant long, left int, deleted int, h1 long, h2 long, size int, place decimal(32,0)"
-    return lines.select(*_LINE, "line", "place").mapInArrow(run, schema)
+    per_line = spots.groupBy("h1").agg(F.collect_set(F.struct("begin", "end")).alias("spots"))
+    return join_on_hot_keys(lines, per_line, ["h1"]).select(*_LINE, "line", "place", "spots").mapInArrow(run, schema)
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
@@ -106,7 +206,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
     ``lines``: (h1, h2, size, line, place), one row per distinct line.
     """
-    emitted = cut(_variants(lines))
+    emitted = cut(_variants(lines, _shared(_blocks(lines), "block")))
     deletions, selves = emitted.filter("deleted >= 0"), emitted.filter("deleted < 0").drop("deleted")
     key = ["variant", "left"]
     # A substitution: the same variant by a deletion at the same place.
@@ -131,23 +231,36 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, dropped): the line numbers of each document that are to go, for documents with any."""
-    met = _occurrences(docs, key, text, min_chars)
-    size = F.length("line")
-    narrow = met.select("key", "position", *_digests(F.col("line")), _halves(F.col("line"), size).alias("halves"))
+    met = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("position", "line")).filter(
+        F.length(F.btrim("line", F.lit(_WHITE))) >= min_chars
+    )
+    line, size = F.col("line"), F.length("line")
+    # Equal lines have equal ends, so any of a group serves.
+    ends = [f"end{i}" for i in range(4)]
+    distinct = cut(
+        met.select(
+            F.xxhash64(line).alias("h1"),
+            F.xxhash64(F.lit(_SALT), line).alias("h2"),
+            size.alias("size"),
+            _place(F.col("key"), F.col("position")).alias("place"),
+            *[c.alias(n) for n, c in zip(ends, _ends(line, size), strict=True)],
+        )
+        .groupBy(*_LINE)
+        .agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ends])
+    )
+    keys = distinct.select("h1", F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("end"))
+    likely = cut(_shared(keys, "end").distinct())
+    repeats = distinct.filter("n > 1")
+    hits = cut(_looked_up(docs, key, text, min_chars, _marked(repeats.select("h1")), _marked(likely)))
     place = _place(F.col("key"), F.col("position"))
-    # Equal lines have equal halves, so any of a group serves.
-    halves = [F.first(F.col("halves")[i]).alias(f"k{i}") for i in range(4)]
-    distinct = cut(narrow.groupBy(*_LINE).agg(F.min(place).alias("place"), *halves))
-    keys = distinct.select(*_LINE, F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("half"))
-    shared = keys.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("half")
-    likely = join_on_hot_keys(keys, shared, ["half"]).select(*_LINE).distinct().join(distinct.select(*_LINE, "place"), _LINE)
-    first_line = met.select(place.alias("place"), *_digests(F.col("line")), "line")
-    lines = cut(first_line.join(likely.select("place", *_LINE), ["place", *_LINE]).dropDuplicates([*_LINE, "place"]))
+    first = distinct.join(likely, "h1").select(*_LINE, "place")
+    lines = cut(
+        hits.filter("line IS NOT NULL").select(*_LINE, place.alias("place"), "line")
+        .join(first, [*_LINE, "place"]).dropDuplicates([*_LINE, "place"])
+    )
     near = near_earlier(lines).withColumn("near", F.lit(True))
-    verdict = distinct.select(*_LINE, F.col("place").alias("first")).join(near, _LINE, "left")
-    gone = join_on_hot_keys(
-        met.select("key", "position", *_digests(F.col("line")), place.alias("place")), verdict, _LINE
-    ).filter(F.col("near").isNotNull() | (F.col("place") > F.col("first")))
+    verdict = distinct.select(*_LINE, "n", F.col("place").alias("first")).join(near, _LINE, "left").filter("n > 1 OR near")
+    gone = join_on_hot_keys(hits.drop("line"), verdict.drop("n"), _LINE).filter(F.col("near").isNotNull() | (place > F.col("first")))
     return gone.groupBy("key").agg(F.collect_set("position").alias("dropped")).withColumnRenamed("key", key)
 
 
