@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripflow.llm import (
     bpe,
@@ -60,13 +60,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _equals(value: int) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     repo = F.concat_ws("/", "source", "lang")
     found = secret_scan.secrets(docs, owner=F.col("source"), repo=repo)
     base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
     counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind.name}")
+        F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _equals(i))).cast("long").alias(f"n_{kind.name}")
         for i, kind in enumerate(secret_scan.KINDS)
     ]
     return found.select(
