@@ -77,7 +77,7 @@ def trigram_model(texts: DataFrame, key: str = "doc_id", text: str = "text", lan
         for name, own in counts.items():
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(used)), pa.array(used), pa.array(own[used])], names=["lang", "bucket", "n"]
+                [pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(own[used])], names=["lang", "bucket", "n"]
             )
 
     counted = sample.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")

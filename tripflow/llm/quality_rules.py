@@ -67,7 +67,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         def out() -> Iterator[pa.RecordBatch]:
             for name, counted in grams.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(counted)), pa.array(list(counted)), pa.array(list(counted.values()), pa.int64())],
+                    [pa.array([name] * len(counted), pa.string()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())],
                     names=["lang", "gram", "n"],
                 )
             grams.clear()
