@@ -8,10 +8,10 @@ rare-first one gives few candidates. Candidates pass filters on length, on the
 place of the shared shingle and on a parity sketch of the rest of the sets, and are
 verified once per pair on the whole sets.
 
-A shingle that many classes share is never turned into all its pairs. Its
-classes are first compared with one of them; verified links join components, and
-only classes of different components can still need a comparison. After
-``STAR_ROUNDS`` of that the pairs left over are compared as they are.
+A shingle that many classes share is not turned into all its pairs. Its classes
+are first compared with the one among them that has the fewest rarer shingles;
+those that are similar to it are linked through it. Only classes that links do not
+join yet can still need a comparison of their own, if they pass the filters.
 
 Null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Texts shorter than a shingle are one shingle of all their words.
@@ -34,8 +34,11 @@ from tripflow.operators.skew import join_on_hot_keys
 
 # The table of shingle counts: 2**19 buckets, whatever the corpus.
 BUCKET_BITS = 19
-SKETCH_LONGS = 8
-STAR_ROUNDS = 2
+# A sketch has a bit or more per shingle, a power of two, and so many at least.
+SKETCH_BITS = 1024
+# Keys of texts to read again are marked in so many bits, whatever the corpus.
+# Bits that keys share let more texts through, never fewer.
+MARK_BITS = 22
 # Word hashes a worker keeps at hand; bounds memory only.
 _CACHED = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -90,9 +93,9 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bucket", "n"])
 
     counted = docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "bucket int, n long")
-    frame = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**19 rows at most
+    frame = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**19 rows at most
     counts = np.zeros(2**BUCKET_BITS, dtype=np.int64)
-    counts[frame["bucket"].to_numpy(dtype=np.int64)] = frame["n"].to_numpy(dtype=np.int64)
+    counts[frame["bucket"].to_numpy()] = frame["n"].to_numpy()
     return counts
 
 
@@ -112,9 +115,11 @@ def signatures(docs: DataFrame, counts: np.ndarray, key: str, text: str, width:
                 n = len(shingles)
                 sizes.append(n)
                 classes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                order = np.lexsort((shingles, counts[_bucket(shingles)]))
+                # Shingles come sorted, so a stable sort by count settles ties by hash.
+                order = np.argsort(counts[_bucket(shingles)], kind="stable")
                 prefixes.append(shingles[order[: n - _least_overlap(n, percent) + 1 if n else 0]].view(np.int64))
-                bits = np.bincount((shingles & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+                size = max(SKETCH_BITS, 1 << (n - 1).bit_length()) if n else SKETCH_BITS
+                bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
@@ -142,42 +147,67 @@ def _placed(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return most >= _wanted(n, m, percent)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough.
+def _sets(needed: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(node, shingles): the whole sets of the needed (node, cls, key), made anew from one text each.
 
-    The sketch bounds from below by how many shingles two sets differ; what it
-    lets through is compared on whole sets, made anew from one text per class.
+    Their keys are marked in a bitmap of fixed size, so that texts without a
+    mark are read but neither cut into shingles nor shuffled.
     """
-    brief = classes.select("node", "n", "sketch")
-    named = lambda side: brief.select(*[F.col(c).alias(x) for c, x in zip(brief.columns, (side, f"n_{side}", f"s_{side}"))])
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    both = F.col("n_a") + F.col("n_b")
-    likely = cut(
-        join_on_hot_keys(join_on_hot_keys(pairs.distinct(), named("a"), ["a"]), named("b"), ["b"])
-        .filter(_fits(F.col("n_a"), F.col("n_b"), percent))
-        .filter(apart <= both - 2 * _wanted(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b")
-    )
-    used = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "cls", "key"), "node")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(2**MARK_BITS)).cast("int")
+    found = needed.select(bucket("key").alias("bucket")).distinct().toArrow()  # 2**MARK_BITS rows at most
+    bits = np.zeros(2**MARK_BITS, dtype=bool)
+    bits[found["bucket"].to_numpy()] = True
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, marked = Shingler(width), np.unpackbits(marks.value).astype(bool)
         for part, texts in _texts(batches):
-            sets = [shingler(t) for t in texts]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([d == c.as_py() for d, c in zip(digests, part.column(2))], pa.bool_()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "key", "own", "shingles"],
-            )
+            hits = marked[part.column(0).to_numpy()]
+            sets = [shingler(t).tobytes() for t, hit in zip(texts, hits, strict=True) if hit]
+            classes = [xxhash.xxh3_128_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    source = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).select(bucket("key"), "text")
+    made = source.mapInArrow(run, "cls binary, shingles binary")
+    # Copies make the same set many times; one of each class stays.
+    return cut(join_on_hot_keys(made, needed.select("node", "cls"), ["cls"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def _sketched(n: Column, s: Column, m: Column, t: Column, percent: int) -> Column:
+    """The suffix filter: two sets differ by at least as many shingles as their parity sketches by bits.
+
+    Sketches of sets that pass the length filter differ in size by a factor of
+    two at most; the larger one is folded.
+    """
+    size = F.least(F.size(s), F.size(t))
+
+    def folded(sketch: Column) -> Column:
+        halves = F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(sketch) > size, halves).otherwise(sketch)
+
+    bits = F.zip_with(folded(s), folded(t), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return apart <= n + m - 2 * _wanted(n, m, percent)
 
-    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    found = used.join(texts, used["key"].eqNullSafe(texts["key"])).select("node", used["key"], "cls", "text")
-    # A key that several texts share brings texts of other classes along.
-    sets = cut(
-        found.mapInArrow(run, "node long, key long, own boolean, shingles binary")
-        .filter("own").dropDuplicates(["node"]).select("node", "shingles")
-    )
+
+def _passes(percent: int) -> Column:
+    """The length and positional filters on (n_a, at_a, n_b, at_b)."""
+    n, i, m, j = (F.col(c) for c in ("n_a", "at_a", "n_b", "at_b"))
+    return _fits(n, m, percent) & _placed(n, i, m, j, percent)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not tell apart."""
+    for side in "ab":
+        brief = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+        pairs = join_on_hot_keys(pairs, brief, [side])
+    return pairs.filter(_sketched(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(nodes.join(classes.select("node", "cls", "key"), "node"), docs, key, text, width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,44 +218,40 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
                 keep.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = join_on_hot_keys(likely, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"])
+    left = join_on_hot_keys(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"])
     full = join_on_hot_keys(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"])
-    return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return cut(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def _links(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(node, root): components of the classes that have links."""
-    verify = lambda pairs: cut(_verified(pairs, classes, docs, key, text, width, percent))
-    index = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("shingle")
-    entries = cut(join_on_hot_keys(index, shared, ["shingle"]).withColumn("root", F.col("node")))
-    links = None
-    for _ in range(STAR_ROUNDS):
-        # The class with the fewest rarer shingles stands for the others.
-        stars = entries.groupBy("shingle").agg(F.min_by("node", "at").alias("star"), F.min("at").alias("star_at"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        open_ = stars.filter("r0 < r1").drop("r0", "r1")
-        heads = classes.select(F.col("node").alias("star"), F.col("n").alias("star_n"))
-        met = join_on_hot_keys(entries, join_on_hot_keys(open_, heads, ["star"]), ["shingle"])
-        pairs = met.filter("node <> star").filter(
-            _fits(F.col("n"), F.col("star_n"), percent) & _placed(F.col("n"), F.col("at"), F.col("star_n"), F.col("star_at"), percent)
-        ).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
-        found = verify(pairs)
-        links = found if links is None else links.union(found)
-        entries = cut(_open_entries(entries, components(links), percent))
-    one, two = [entries.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab"]
-    rest = one.join(two, "shingle").filter("root_a < root_b").filter(
-        _fits(F.col("n_a"), F.col("n_b"), percent)
-        & _placed(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
-    )
-    found = verify(rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-    return components(links.union(found))
+def _entries(classes: DataFrame) -> DataFrame:
+    """(shingle, node, at, n): the index, less the shingles that one class alone has in its prefix."""
+    index = classes.select(F.posexplode("prefix").alias("at", "shingle"), "node", F.col("n").cast("int").alias("n"))
+    shared = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    # A shingle hashed anew is as good a name, and its rows come straight from a shuffle.
+    again = F.xxhash64("shingle").alias("shingle")
+    return cut(index.select(again, "node", "at", "n").join(shared.select(again), "shingle"))
 
 
-def _open_entries(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Index entries under their new roots, where a shingle still meets several roots."""
-    known = join_on_hot_keys(entries.drop("root"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+def _links(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(node, root): components of the classes that have links."""
+    verify = lambda pairs: _verified(cut(_likely(pairs.distinct(), classes, percent)), classes, docs, key, text, width, percent)
+    entries = _entries(classes)
+    stars = entries.groupBy("shingle").agg(F.min_by("node", "at").alias("a"), F.min("at").alias("at_a"), F.min_by("n", "at").alias("n_a"))
+    met = join_on_hot_keys(entries.select("shingle", F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b")), stars, ["shingle"])
+    # a is the star.
+    by_star = verify(met.filter("a <> b").filter(_passes(percent)).select("a", "b"))
+    open_ = _open_entries(entries, components(by_star))
+    one, two = [open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab"]
+    rest = one.join(two, "shingle").filter("root_a < root_b").filter(_passes(percent))
+    pairs = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return components(by_star.union(verify(pairs)))
+
+
+def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Index entries with their class's root, where a shingle still meets several roots."""
+    known = join_on_hot_keys(entries, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("shingle")
-    return join_on_hot_keys(known, several, ["shingle"])
+    return cut(join_on_hot_keys(known, several, ["shingle"]))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
