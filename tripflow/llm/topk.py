@@ -13,7 +13,7 @@ the blocks' sizes and no side has to fit one machine.
 Vectors that are null, or hold a null or non-finite component, take no part,
 nor do rows without an id. A row that repeats a candidate counts again. Rows that repeat a
 query's id and vector ask once. Only vectors of equal length are compared. Scores
-are exact integers, held within the range of a long. Fewer than k candidates:
+are exact integers, held between -2**61 and 2**61. Fewer than k candidates:
 all are returned. Empty tables give no rows; other columns are not read.
 """
 
@@ -31,7 +31,8 @@ from tripflow.operators.topn import top_per_group
 BINS = 1024
 CANDIDATES_IN_BLOCK = 4096
 QUERIES_IN_BLOCK = 1024
-_LONG = 2**63 - 1
+# Scores beyond this are held at it, so that differences of scores stay longs.
+_MOST = 2**61
 _QUERY = ("query_id", "tag", "dim")
 
 
@@ -98,7 +99,7 @@ def _scores(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     dim = q.shape[1]
     if dim and float(np.abs(q.astype(float)).max()) * float(np.abs(vectors.astype(float)).max()) * dim >= 2**53:
         exact = q.astype(object) @ vectors.astype(object).T
-        return np.clip(exact, -_LONG, _LONG).astype(np.int64)
+        return np.clip(exact, -_MOST, _MOST).astype(np.int64)
     return (q.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
 
 
@@ -181,7 +182,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, factor: int = 256,
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     reach, n_queries = asked.agg(F.max(norm), F.count(F.lit(1))).first()
     other = taking_part(candidates).agg(F.max(norm)).first()[0]
-    bound = int(min((reach or 0.0) * (other or 0.0) * 1.0001 + 1, 2**62))
+    bound = int(min((reach or 0.0) * (other or 0.0) * 1.0001 + 1, _MOST))
     state = cut(asked.withColumn("low", F.lit(-bound).cast("long")).withColumn("need", F.lit(k).cast("long")))
     n_queries = max(1, n_queries)
     span = 2 * bound + 1
