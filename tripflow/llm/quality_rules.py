@@ -1,10 +1,11 @@
 """Quality rules: shape counts of a text and the perplexity its language gives it.
 
-A modified Kneser-Ney model over the characters of words is counted by Spark
-over all texts, one model per language. It is stored as sorted hash arrays of a
-size that is bounded by their slots, whatever the corpus, and so may be
-broadcast. Each language then has a lower and an upper perplexity band, and
-documents outside of it are rejected.
+Two models are counted by Spark over all texts, each per language: a modified
+Kneser-Ney model over the characters of single words, and one over longer grams
+that run across words, in which an occurrence is judged by all others. Both are
+looked up by their full 64-bit hashes: the most frequent grams in a broadcast
+table of fixed size, all others by a join. Each language then has a lower and an
+upper band of the first perplexity; documents outside of it are rejected.
 
 Null text: no words, all counts 0. Null language: a language of its own.
 Documents without words have no perplexity. A language of which fewer than
@@ -20,16 +21,25 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tripflow.llm.common import cut, text_or_empty
 
 ORDER = 4
-# Slots of each length's array. At most 2**22 * (ORDER + 1) entries of 12 bytes exist.
-SLOT_BITS = 22
+# Grams of the running text, and the shorter ones they are drawn toward.
+RUN_ORDER = 6
+RUN_WIDTHS = (2, 4, RUN_ORDER)
+PULL = 5.0
+# Slots of the table of frequent grams that spares most lookups: 16 bytes each.
+SLOT_BITS = 20
+# Log-probabilities are summed as whole numbers, so no order of adding shows.
+UNIT = 1_000_000_000
+# Characters of a window, and those a worker gathers before it counts.
+WINDOW = 200
+RUNNING = 4_000_000
 # Entries a worker gathers before it hands them on; sums do not depend on it.
 GATHERED = 200_000
 MIN_DOCS = 50
@@ -46,6 +56,7 @@ _TOGETHER = 256
 
 _WHITE = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
+_FAR = pa.list_(pa.struct([("part", pa.int32()), ("hash", pa.int64()), ("n", pa.int32())]))
 
 
 def _grams(words: Counter) -> Counter:
@@ -155,68 +166,158 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     )
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang))
+def _running(words: list[bytes]) -> str:
+    """The words in their order with single gaps, padded as each word of the other model is."""
+    return " " * (RUN_ORDER - 1) + b" ".join(words).decode() + " " if words else ""
 
 
-def _slots(codes: np.ndarray, width: int, seed: np.uint64) -> np.ndarray:
-    """The slot of the ``width`` codes that end at each position."""
-    slot = np.full(len(codes), seed, dtype=np.uint64)
+def _distinct(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of one of each hash, and how often it stands there.
+
+    Each round settles the hashes that own a slot; the others go on to the next.
+    """
+    left, mixed = np.arange(len(hashes)), hashes
+    while len(left):
+        slot = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        owner = np.zeros(2**SLOT_BITS, dtype=np.int64)
+        owner[slot] = left
+        mine = hashes[owner[slot]] == hashes[left]
+        n = np.bincount(slot[mine], minlength=2**SLOT_BITS)
+        used = np.flatnonzero(n)
+        yield owner[used], n[used]
+        left = left[~mine]
+        mixed = mixed[~mine] * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(31)
+
+
+def running_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n): how often each gram of ``RUN_ORDER`` characters stands in the running texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[str]] = {}
+        sizes: Counter = Counter()
+
+        def out(name: str) -> Iterator[pa.RecordBatch]:
+            # Padding between texts is left out again where a gram would end in it.
+            joined = "".join(held.pop(name))
+            inside = np.ones(len(joined), dtype=bool)
+            starts = np.cumsum([0, *lengths.pop(name)[:-1]])
+            for back in range(RUN_ORDER - 1):
+                inside[starts + back] = False
+            ends = np.flatnonzero(inside)
+            del sizes[name]
+            for first, n in _distinct(_hashes(_codes(joined), RUN_ORDER, name)[ends]):
+                grams = [joined[i - RUN_ORDER + 1 : i + 1] for i in ends[first].tolist()]
+                for at in range(0, len(grams), 50_000):
+                    some = grams[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(n[at : at + 50_000], pa.int64())],
+                        names=["lang", "gram", "n"],
+                    )
+
+        lengths: dict[str, list[int]] = {}
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not (one := _running(body.as_py().encode().split())):
+                    continue
+                held.setdefault(name, []).append(one)
+                lengths.setdefault(name, []).append(len(one))
+                sizes[name] += len(one)
+                if sizes.total() > RUNNING:
+                    yield from out(max(sizes, key=sizes.get))
+        for name in list(held):
+            yield from out(name)
+
+    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")), text_or_empty(text))
+    counted = source.mapInArrow(run, "lang string, gram string, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def left_out(counts: DataFrame) -> DataFrame:
+    """(lang, gram, n, log_p) of grams across words, each occurrence judged by all others.
+
+    Counts of a gram and its context less one are drawn toward the next shorter
+    gram. So an occurrence does not vouch for itself, as it would in long grams
+    of text that stands nowhere else.
+    """
+    letters = counts.groupBy("lang", F.expr("right(gram, 1)").alias("gram")).agg(F.sum("n").alias("n"))
+    below = letters.groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("p")).withColumn("tail", F.lit(""))
+    width = 0
+    for wide in RUN_WIDTHS:
+        own = counts.groupBy("lang", F.expr(f"right(gram, {wide})").alias("gram")).agg(F.sum("n").alias("n")) if wide < RUN_ORDER else counts
+        own = own.withColumn("context", F.expr(f"left(gram, {wide - 1})")).withColumn("tail", F.expr(f"right(gram, {width})"))
+        total = own.groupBy("lang", "context").agg(F.sum("n").alias("total"))
+        p = (F.col("n") - 1 + PULL * F.col("p")) / (F.col("total") - 1 + PULL)
+        found = own.join(total, ["lang", "context"]).join(below.drop("n"), ["lang", "tail"]).select("lang", "gram", "n", p.alias("p"))
+        below, width = cut(found).select("lang", F.col("gram").alias("tail"), "n", "p"), wide
+    return below.select("lang", F.col("tail").alias("gram"), "n", F.log("p").alias("log_p"))
+
+
+def _seed(lang: str, width: int) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(f"{width} {lang}"))
+
+
+def _hashes(codes: np.ndarray, width: int, lang: str) -> np.ndarray:
+    """64-bit hashes of the ``width`` codes that end at each position."""
+    mixed = np.full(len(codes), _seed(lang, width), dtype=np.uint64)
     for back in range(width - 1, -1, -1):
-        moved = np.zeros(len(codes), dtype=np.uint64)
-        moved[back:] = codes[: len(codes) - back]
-        slot = (slot ^ moved) * np.uint64(0x9E3779B97F4A7C15)
-        slot ^= slot >> np.uint64(29)
-    return (slot * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        mixed[back:] ^= codes[: len(codes) - back]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
 
 
-def hash_arrays(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 0 to the order: sorted slots, log_p and log_backoff.
+def hashed(model: DataFrame) -> DataFrame:
+    """(hash, n, value): 64-bit hashes of (lang, gram), and log_p in units of 1 / ``UNIT``."""
 
-    Strings that share a slot share the larger values, so no array outgrows its slots.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, grams = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
+            sizes, hashes = np.array(list(map(len, grams)), dtype=int), np.zeros(len(grams), dtype=np.uint64)
+            for name, width in {(n, int(w)) for n, w in zip(names, sizes, strict=True)}:
+                own = np.flatnonzero((names == name) & (sizes == width))
+                hashes[own] = _hashes(_codes("".join(grams[i] for i in own)), width, name)[width - 1 :: width]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *batch.columns[2:]], names=["hash", "n", "value"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            slots = [int(_slots(_codes(g), len(g), _seed(n))[-1]) if g else _empty(n) for n, g in zip(frame.lang, frame.gram, strict=True)]
-            yield frame.assign(width=frame.gram.str.len(), slot=slots)[["width", "slot", "log_p", "log_backoff"]]
+    value = F.round(F.col("log_p") * UNIT).cast("long").alias("value")
+    return model.select("lang", "gram", F.col("n").cast("long").alias("n"), value).mapInArrow(run, "hash long, n long, value long")
 
-    slotted = model.mapInPandas(run, "width int, slot long, log_p double, log_backoff double")
-    bounded = slotted.groupBy("width", "slot").agg(F.max("log_p").cast("float").alias("log_p"), F.max("log_backoff").cast("float").alias("log_backoff"))
-    frame = bounded.toPandas().sort_values(["width", "slot"])
-    arrays = []
-    for width in range(ORDER + 1):
-        own = frame[frame.width == width]
-        arrays.append((own.slot.to_numpy(np.uint32), own.log_p.to_numpy(np.float32), own.log_backoff.fillna(0).to_numpy(np.float32)))
-    return arrays
 
+def near_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and values of the most frequent gram of each slot.
 
-def _empty(lang: str) -> int:
-    return int(_slots(np.zeros(1, dtype=np.uint64), 0, _seed(lang))[0])
+    It only spares the join: what is not in it is looked up in ``model``.
+    """
+    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS).alias("slot")
+    best = model.groupBy(slot).agg(F.max(F.struct("n", "hash", "value")).alias("best")).select("slot", "best.hash", "best.value")
+    frame = best.toPandas()
+    at = frame["slot"].to_numpy(np.int64)
+    # An empty slot holds a hash that belongs to another slot.
+    keys = (~np.arange(2**SLOT_BITS, dtype=np.uint64)) << np.uint64(64 - SLOT_BITS)
+    values = np.zeros(2**SLOT_BITS, dtype=np.int64)
+    keys[at], values[at] = frame["hash"].to_numpy(np.int64).view(np.uint64), frame["value"].to_numpy(np.int64)
+    return keys, values
 
 
 class Scorer:
-    """Log-probability of words, remembered per language."""
+    """Sums of log-probabilities, and the hashes of grams that have to be joined."""
 
-    def __init__(self, arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.arrays = arrays
-        self.known: dict[str, dict[bytes, float]] = {}
+    def __init__(self, near: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.values = near
+        self.known: dict[str, dict[bytes, tuple[int, tuple[int, ...]]]] = {}
 
-    def _find(self, width: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, log_p, log_backoff = self.arrays[width]
-        at = np.searchsorted(keys, slots)
-        at[at == len(keys)] = 0
-        hit = keys[at] == slots if len(keys) else np.zeros(len(slots), dtype=bool)
-        if not len(keys):
-            return hit, np.full(len(slots), np.nan), np.zeros(len(slots))
-        return hit, np.where(hit, log_p[at], np.nan), np.where(hit, log_backoff[at], 0.0)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where not at hand, and whether they are at hand."""
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        hit = self.keys[slots] == hashes
+        return np.where(hit, self.values[slots], 0), hit
 
     def learn(self, lang: str, words: list[bytes]) -> None:
-        known, seed = self.known.setdefault(lang, {}), _seed(lang)
+        known = self.known.setdefault(lang, {})
         if len(known) > GATHERED:
             known.clear()
         new = [w.decode() for w in words if w not in known]
@@ -226,26 +327,46 @@ class Scorer:
         sizes = np.array([len(w) + 1 for w in new])
         ends = np.cumsum(sizes + ORDER - 1)
         at = np.arange(len(codes))
-        scored = at - np.repeat(ends - sizes, sizes + ORDER - 1) >= 0
-        total, open_ = np.zeros(len(codes)), scored.copy()
-        for width in range(ORDER, -1, -1):
-            slots = _slots(codes, width, seed) if width else np.full(len(codes), _empty(lang), dtype=np.uint32)
-            index = np.flatnonzero(open_)
-            _, log_p, _ = self._find(width, slots[index])
-            seen = ~np.isnan(log_p)
-            total[index[seen]] += log_p[seen]
-            open_[index[seen]] = False
-            rest = index[~seen]
-            if not len(rest) or not width:
-                break
-            # An unseen gram backs off from its context, the string one shorter and one earlier.
-            before = _slots(codes, width - 1, seed)[rest - 1] if width > 1 else np.full(len(rest), _empty(lang), dtype=np.uint32)
-            total[rest] += self._find(width - 1, before)[2]
-        sums = np.add.reduceat(np.where(scored, total, 0.0), ends - sizes - (ORDER - 1))
-        known.update(zip([w.encode() for w in new], sums.tolist(), strict=True))
-
-    def __call__(self, lang: str, words: list[bytes]) -> float:
-        return sum(map(self.known[lang].__getitem__, words))
+        scored = np.flatnonzero(at - np.repeat(ends - sizes, sizes + ORDER - 1) >= 0)
+        hashes = _hashes(codes, ORDER, lang)[scored]
+        values, hit = self.find(hashes)
+        sums = np.add.reduceat(values, np.cumsum(sizes) - sizes)
+        far: dict[int, list[int]] = {}
+        which = np.repeat(np.arange(len(new)), sizes)
+        for i in np.flatnonzero(~hit).tolist():
+            far.setdefault(int(which[i]), []).append(int(hashes[i].view(np.int64)))
+        known.update((w.encode(), (total, tuple(far.get(i, ())))) for i, (w, total) in enumerate(zip(new, sums.tolist(), strict=True)))
+
+    def __call__(self, lang: str, words: list[bytes]) -> tuple[int, Counter]:
+        known, total, far = self.known[lang], 0, Counter()
+        for word in words:
+            value, missing = known[word]
+            total += value
+            if missing:
+                far.update(missing)
+        return total, far
+
+    def windows(self, lang: str, texts: list[list[bytes]]) -> list[tuple[list[int], list[int], list[tuple[int, int, int]]]]:
+        """For each text: characters and sums of its windows, and (window, hash, n) of the grams to join."""
+        runs = [_running(words) for words in texts]
+        codes = _codes("".join(runs))
+        hashes = _hashes(codes, RUN_ORDER, lang)
+        values, hit = self.find(hashes)
+        found, end = [], 0
+        for run in runs:
+            start, end = end + RUN_ORDER - 1, end + len(run)
+            if not run:
+                found.append(([], [], []))
+                continue
+            size = end - start
+            cuts = np.arange(n := max(1, round(size / WINDOW))) * size // n
+            lengths = np.diff(cuts, append=size)
+            sums = np.add.reduceat(values[start:end], cuts)
+            missed = np.flatnonzero(~hit[start:end])
+            window = np.searchsorted(cuts, missed, side="right") - 1
+            far = Counter(zip(window.tolist(), hashes[start:end][missed].view(np.int64).tolist(), strict=True))
+            found.append((lengths.tolist(), sums.tolist(), [(w, h, n) for (w, h), n in far.items()]))
+        return found
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -287,9 +408,13 @@ def shape(text: str) -> tuple[list[bytes], int, int, int, int]:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, arrays: list, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, counts, log_ppl): the mean negative log-probability of a character."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, counts, log_ppl, run_ppl) by a hashed model.
+
+    ``log_ppl`` is the mean negative log-probability of a character of the
+    words, ``run_ppl`` the median over windows of the running text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(near_table(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -297,22 +422,60 @@ def scored(docs: DataFrame, arrays: list, key: str = "doc_id", text: str = "text
             for start in range(0, whole.num_rows, _TOGETHER):
                 batch = whole.slice(start, _TOGETHER)
                 names = batch.column(1).to_pylist()
-                shapes = [shape(body.as_py()) for body in batch.column(2)]
+                shapes = [shape(body.as_py()) for body in batch.column(3)]
+                parts: list = [None] * len(names)
                 for name in set(names):
-                    own = (s[0] for n, s in zip(names, shapes, strict=True) if n == name)
-                    scorer.learn(name, list(dict.fromkeys(w for words in own for w in words)))
+                    own = [i for i, n in enumerate(names) if n == name]
+                    scorer.learn(name, list(dict.fromkeys(w for i in own for w in shapes[i][0])))
+                    for i, found in zip(own, scorer.windows(name, [shapes[i][0] for i in own]), strict=True):
+                        parts[i] = found
                 counts = [[len(s[0]) for s in shapes], *[[s[i] for s in shapes] for i in (1, 2, 3, 4)]]
-                mean = [-scorer(n, s[0]) / (s[1] + len(s[0])) if s[0] else None for n, s in zip(names, shapes, strict=True)]
+                sums = [scorer(n, s[0]) for n, s in zip(names, shapes, strict=True)]
+                far = [[*[(-1, h, n) for h, n in x.items()], *p[2]] for (_, x), p in zip(sums, parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in counts], pa.array(mean, pa.float64())],
-                    names=[key, "lang", *_COUNTS, "log_ppl"],
+                    [
+                        *batch.columns[:3],
+                        *[pa.array(c, pa.int64()) for c in counts],
+                        pa.array([x for x, _ in sums], pa.int64()),
+                        pa.array([p[0] for p in parts], pa.list_(pa.int32())),
+                        pa.array([p[1] for p in parts], pa.list_(pa.int64())),
+                        pa.array([[{"part": w, "hash": h, "n": n} for w, h, n in x] for x in far], _FAR),
+                    ],
+                    names=[key, "lang", "__row", *_COUNTS, "__sum", "__sizes", "__sums", "__far"],
                 )
 
-    source = docs.select(key, F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), text_or_empty(text).alias("text"))
+    source = docs.select(
+        key,
+        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
+        F.monotonically_increasing_id().alias("__row"),
+        text_or_empty(text).alias("text"),
+    )
     schema = source.drop("text").schema
-    for name in _COUNTS:
+    for name in (*_COUNTS, "__sum"):
         schema = schema.add(name, "long")
-    return source.mapInArrow(run, schema.add("log_ppl", "double"))
+    for name, kind in (("__sizes", "array<int>"), ("__sums", "array<bigint>"), ("__far", "array<struct<part:int,hash:bigint,n:int>>")):
+        schema = schema.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
+    # Cut, so that row numbers are told once.
+    rows = cut(source.mapInArrow(run, schema))
+    far = rows.select("__row", F.explode("__far").alias("far")).select("__row", "far.*")
+    joined = (
+        far.join(model.select("hash", "value"), "hash")
+        .groupBy("__row", "part")
+        .agg(F.sum(F.col("n") * F.col("value")).alias("more"))
+        .groupBy("__row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("part", "more"))).alias("__more"))
+    )
+    means = F.expr(f"transform(__sums, (x, i) -> -(x + coalesce(__more[i], 0L)) / ({UNIT}D * __sizes[i]))")
+    middle = F.expr("(__means[(size(__means) - 1) div 2] + __means[size(__means) div 2]) / 2")
+    total = F.col("__sum") + F.coalesce(F.expr("__more[-1]"), F.lit(0))
+    return (
+        rows.drop("__far")
+        .join(joined, "__row", "left")
+        .withColumn("log_ppl", F.when(F.col("n_words") > 0, -total / (UNIT * (F.col("word_chars") + F.col("n_words")).cast("double"))))
+        .withColumn("__means", F.sort_array(means))
+        .withColumn("run_ppl", F.when(F.col("n_words") > 0, middle))
+        .select(key, "lang", *_COUNTS, "log_ppl", "run_ppl")
+    )
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -339,9 +502,11 @@ def bands(rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, log-perplexity, band and verdict of every document."""
-    arrays = hash_arrays(kneser_ney(cut(gram_counts(docs, text, lang))))
+    counts = cut(gram_counts(docs, text, lang))
+    words = kneser_ney(counts).filter(f"length(gram) = {ORDER} AND log_p IS NOT NULL").join(counts, ["lang", "gram"])
+    model = cut(hashed(words.select("lang", "gram", "n", "log_p").unionByName(left_out(cut(running_counts(docs, text, lang))))))
     few = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = cut(scored(docs, arrays, key, text, lang).withColumn("base_failed", few))
+    rows = cut(scored(docs, model, key, text, lang).withColumn("base_failed", few))
     wider = F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     return (
         rows.join(bands(rows.filter("NOT base_failed")), "lang", "left")

@@ -141,6 +141,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "lang",
         "log_ppl",
+        "run_ppl",
         "lower",
         "upper",
     )
