@@ -58,3 +58,25 @@ def judged(spark, texts):
 def test_running_perplexity_equals_plain_counts(spark, texts, want):
     got = judged(spark, texts)
     assert all(abs(got[i].run_ppl - w) < 1e-7 for i, w in enumerate(want))
+
+
+def test_word_perplexity_has_no_shared_slots(spark, texts):
+    got, prob = judged(spark, texts), brute.kneser_ney(texts, rules.ORDER)
+    for i, text in list(enumerate(texts))[:8]:
+        logs = []
+        for word in brute.WORD.findall(text):
+            padded = " " * (rules.ORDER - 1) + word + " "
+            logs += [math.log(prob(padded[e - 1], padded[e - rules.ORDER : e - 1])) for e in range(rules.ORDER, len(padded) + 1)]
+        assert abs(got[i].log_ppl + sum(logs) / len(logs)) < 1e-7
+
+
+def test_grams_outside_the_near_table_give_the_same(spark, texts, monkeypatch):
+    whole, near = judged(spark, texts), rules.near_table
+
+    def emptied(model):
+        keys, values = near(model)
+        unused = (~np.arange(len(keys), dtype=np.uint64)) << np.uint64(64 - rules.SLOT_BITS)
+        return unused, np.zeros_like(values)
+
+    monkeypatch.setattr(rules, "near_table", emptied)
+    assert judged(spark, texts) == whole
