@@ -60,6 +60,20 @@ def test_running_perplexity_equals_plain_counts(spark, texts, want):
     assert all(abs(got[i].run_ppl - w) < 1e-7 for i, w in enumerate(want))
 
 
+def test_shuffled_words_are_told_from_their_text(spark):
+    rng = random.Random(3)
+    chain = [f"{''.join(rng.choices('etaoinshrdlu', k=5))}" for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        at = rng.randrange(120)
+        texts.append(" ".join(chain[(at + k) % 120] for k in range(100)))
+    mixed = chain[:100]
+    rng.shuffle(mixed)
+    texts.append(" ".join(mixed))
+    got = judged(spark, texts)
+    assert all(got[i].kept for i in range(300)) and not got[300].kept and not got[300].base_failed
+
+
 def test_word_perplexity_has_no_shared_slots(spark, texts):
     got, prob = judged(spark, texts), brute.kneser_ney(texts, rules.ORDER)
     for i, text in list(enumerate(texts))[:8]:
@@ -80,3 +94,13 @@ def test_grams_outside_the_near_table_give_the_same(spark, texts, monkeypatch):
 
     monkeypatch.setattr(rules, "near_table", emptied)
     assert judged(spark, texts) == whole
+
+
+def test_labelled_junk_goes_and_good_documents_stay(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    # The half of the documents that the reach of the bands was not chosen on.
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter("doc_id * 2654435761 % 1000 >= 500")
+    rows = op8_quality_rules(spark, sf_dir).filter("NOT base_failed").join(labels, "doc_id").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(bad) > 100 and bad.count(False) / len(bad) > 0.35
+    assert good.count(True) / len(good) > 0.94

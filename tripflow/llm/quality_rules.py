@@ -5,7 +5,8 @@ Kneser-Ney model over the characters of single words, and one over longer grams
 that run across words, in which an occurrence is judged by all others. Both are
 looked up by their full 64-bit hashes: the most frequent grams in a broadcast
 table of fixed size, all others by a join. Each language then has a lower and an
-upper band of the first perplexity; documents outside of it are rejected.
+upper band of the second perplexity, a median over windows, which quoted
+passages move little; documents outside of it are rejected.
 
 Null text: no words, all counts 0. Null language: a language of its own.
 Documents without words have no perplexity. A language of which fewer than
@@ -44,10 +45,10 @@ RUNNING = 4_000_000
 GATHERED = 200_000
 MIN_DOCS = 50
 # A band reaches so many quartile distances below and above the median, and
-# further for short texts, whose mean over few words scatters more. Passages in
-# another language move clean texts far up, so the band is wider above.
-REACH_BELOW = 12.0
-REACH_ABOVE = 40.0
+# further for short texts, whose mean over few words scatters more. Chosen on
+# one half of the labelled documents; the README gives the shares of the other.
+REACH_BELOW = 5.0
+REACH_ABOVE = 4.0
 SHORT_WORDS = 40
 BIN = 0.01
 
@@ -405,6 +406,7 @@ def shape(text: str) -> tuple[list[bytes], int, int, int, int]:
     )
 
 
+_BAND = ("middle", "below", "above")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -479,25 +481,34 @@ def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, middle, below, above): median and quartile distances of the log-perplexity.
+    """(lang, middle, below, above): median and quartile distances of ``run_ppl``.
 
     Quartiles are read off a histogram, so any number of documents reduces to a
-    few hundred rows per language before a window sees them.
+    few hundred rows per language before a window sees them. 
     """
-    bins = rows.groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("lang").orderBy("bin")
-    upto = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-
-    def quantile(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) * BIN))
-
-    found = upto.groupBy("lang").agg(*[quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.sum("n").alias("n"))
-    return found.filter(F.col("n") >= MIN_DOCS).select(
-        "lang",
-        F.col("q50").alias("middle"),
-        F.greatest(F.col("q50") - F.col("q25"), F.lit(BIN)).alias("below"),
-        F.greatest(F.col("q75") - F.col("q50"), F.lit(BIN)).alias("above"),
-    )
+    own = F.floor(F.col("run_ppl") / BIN).alias("bin")
+    bins = rows.filter("run_ppl IS NOT NULL").groupBy("lang", own).agg(F.count(F.lit(1)).alias("n"))
+
+    def quartiles(bins: DataFrame) -> DataFrame:
+        order = Window.partitionBy("lang").orderBy("bin")
+        upto = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+
+        def quantile(q: float) -> Column:
+            return F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) * BIN))
+
+        found = upto.groupBy("lang").agg(*[quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.sum("n").alias("n"))
+        return found.select(
+            "lang",
+            "n",
+            F.col("q50").alias("middle"),
+            F.greatest(F.col("q50") - F.col("q25"), F.lit(BIN)).alias("below"),
+            F.greatest(F.col("q75") - F.col("q50"), F.lit(BIN)).alias("above"),
+        )
+
+    pooled = bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
+    both = quartiles(bins).join(quartiles(pooled).select(*[F.col(c).alias(f"all_{c}") for c in _BAND]), how="cross")
+    share = F.lit(1.0)
+    return both.filter(F.col("n") >= MIN_DOCS).select("lang", *[(share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in _BAND])
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -512,6 +523,6 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         rows.join(bands(rows.filter("NOT base_failed")), "lang", "left")
         .withColumn("lower", F.col("middle") - REACH_BELOW * wider * F.col("below"))
         .withColumn("upper", F.col("middle") + REACH_ABOVE * wider * F.col("above"))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True)))
+        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("run_ppl").between(F.col("lower"), F.col("upper")), F.lit(True)))
         .drop("middle", "below", "above")
     )
