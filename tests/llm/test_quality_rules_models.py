@@ -96,6 +96,16 @@ def test_grams_outside_the_near_table_give_the_same(spark, texts, monkeypatch):
     assert judged(spark, texts) == whole
 
 
+def test_a_small_language_has_a_band(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinsh", k=rng.randrange(2, 8))) for _ in range(200)]
+    docs = [(i, " ".join(rng.choices(words, k=300)), "aa" if i < 200 else "bb") for i in range(212)]
+    docs.append((999, " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5)) for _ in range(200)), "bb"))
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert all(r.lower is not None and r.upper is not None for r in got.values())
+    assert not got[999].base_failed and not got[999].kept
+
+
 def test_labelled_junk_goes_and_good_documents_stay(spark):
     sf_dir = "/root/testdata/sf0.1"
     # The half of the documents that the reach of the bands was not chosen on.

@@ -9,8 +9,8 @@ upper band of the second perplexity, a median over windows, which quoted
 passages move little; documents outside of it are rejected.
 
 Null text: no words, all counts 0. Null language: a language of its own.
-Documents without words have no perplexity. A language of which fewer than
-``MIN_DOCS`` documents pass the base rules has no band, so it rejects none.
+Documents without words have no perplexity. Bands of languages with few
+documents are drawn toward the band of all languages.
 Equal rows get equal results, an empty table an empty one; of the columns only
 the named ones are read.
 """
@@ -43,7 +43,8 @@ WINDOW = 200
 RUNNING = 4_000_000
 # Entries a worker gathers before it hands them on; sums do not depend on it.
 GATHERED = 200_000
-MIN_DOCS = 50
+# Documents that the bands of all languages count for in the band of each.
+PRIOR_DOCS = 50
 # A band reaches so many quartile distances below and above the median, and
 # further for short texts, whose mean over few words scatters more. Chosen on
 # one half of the labelled documents; the README gives the shares of the other.
@@ -484,7 +485,8 @@ def bands(rows: DataFrame) -> DataFrame:
     """(lang, middle, below, above): median and quartile distances of ``run_ppl``.
 
     Quartiles are read off a histogram, so any number of documents reduces to a
-    few hundred rows per language before a window sees them. 
+    few hundred rows per language before a window sees them. They are drawn
+    toward those of all languages as if ``PRIOR_DOCS`` documents more were known.
     """
     own = F.floor(F.col("run_ppl") / BIN).alias("bin")
     bins = rows.filter("run_ppl IS NOT NULL").groupBy("lang", own).agg(F.count(F.lit(1)).alias("n"))
@@ -507,8 +509,8 @@ def bands(rows: DataFrame) -> DataFrame:
 
     pooled = bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
     both = quartiles(bins).join(quartiles(pooled).select(*[F.col(c).alias(f"all_{c}") for c in _BAND]), how="cross")
-    share = F.lit(1.0)
-    return both.filter(F.col("n") >= MIN_DOCS).select("lang", *[(share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in _BAND])
+    share = F.col("n") / (F.col("n") + PRIOR_DOCS)
+    return both.select("lang", *[(share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in _BAND])
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
