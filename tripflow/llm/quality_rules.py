@@ -40,7 +40,7 @@ SLOT_BITS = 20
 UNIT = 1_000_000_000
 # Characters of a window, and those a worker gathers before it counts.
 WINDOW = 200
-RUNNING = 4_000_000
+RUNNING = 8_000_000
 # Entries a worker gathers before it hands them on; sums do not depend on it.
 GATHERED = 200_000
 # Documents that the bands of all languages count for in the band of each.
@@ -295,13 +295,15 @@ def near_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     It only spares the join: what is not in it is looked up in ``model``.
     """
     slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS).alias("slot")
-    best = model.groupBy(slot).agg(F.max(F.struct("n", "hash", "value")).alias("best")).select("slot", "best.hash", "best.value")
-    frame = best.toPandas()
-    at = frame["slot"].to_numpy(np.int64)
+    best = model.groupBy(slot).agg(F.max(F.struct("n", "hash", "value")).alias("best")).select("best.hash", "best.value")
+    # As Arrow, since a million rows as Python objects fill a small driver.
+    found = best.toArrow()
+    hashes = found["hash"].to_numpy().view(np.uint64)
+    at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     # An empty slot holds a hash that belongs to another slot.
     keys = (~np.arange(2**SLOT_BITS, dtype=np.uint64)) << np.uint64(64 - SLOT_BITS)
     values = np.zeros(2**SLOT_BITS, dtype=np.int64)
-    keys[at], values[at] = frame["hash"].to_numpy(np.int64).view(np.uint64), frame["value"].to_numpy(np.int64)
+    keys[at], values[at] = hashes, found["value"].to_numpy()
     return keys, values
 
 
