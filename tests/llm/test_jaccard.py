@@ -80,3 +80,10 @@ def test_components_of_a_long_path(spark):
     rng.shuffle(edges)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_rounds_do_not_inflate_estimates(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    roots = components(path)
+    assert roots.filter("root <> 0").isEmpty()
+    assert int(str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**63

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tripflow.llm.common import cut
+from tripflow.llm.common import cut, discard
 from tripflow.operators.skew import join_on_hot_keys
 
 
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label around it, then the label of its
     label. Labels only fall; the rounds end when none falls any more. Each
-    round's labels are written, so a lost executor costs one round at most.
+    round's labels are written, so a lost executor costs one round at most, and
+    the labels before them are deleted.
     Edges that repeat, loop or have a null end change nothing.
     """
     links = edges.filter("a <> b").select("a", "b")
@@ -32,6 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", F.least("next", "top").alias("new"), (F.least("next", "top") < F.col("root")).alias("fell")
             )
         )
-        labels = moved.select("node", F.col("new").alias("root"))
+        discard(labels)
+        labels = moved.withColumnsRenamed({"new": "root"}).drop("fell")
+        labels.cut_folder = moved.cut_folder
         if moved.filter("fell").isEmpty():
+            discard(both)
             return labels

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripflow.llm.common import cut, partitions
+from tripflow.llm.common import cut, discard, partitions
 from tripflow.operators.topn import top_per_group
 
 BINS = 1024
@@ -189,7 +189,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, factor: int = 256,
     while span > 1:
         width = -(-span // BINS)
         counted = _histograms(_meetings(blocks, state, n_queries, cells), width, span)
-        state = cut(_narrowed(state, counted, width))
+        before, state = state, cut(_narrowed(state, counted, width))
+        discard(before)
         span = width
     winners = _selected(_meetings(blocks, state, n_queries, cells))
     ranked = top_per_group(winners, ["query_id", "tag"], [F.desc("score"), F.asc("vec_id")], k)
