@@ -50,15 +50,14 @@ def suffixes(log):
     return out[::-1]
 
 
-@pytest.mark.parametrize("chunk_rows", [7, 100_000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_sums_and_budget_equal_brute_force(spark, seed, chunk_rows):
+def test_suffix_sums_and_budget_equal_brute_force(spark, seed):
     rows = random_log(seed)
     log = frame(spark, rows)
     want = {(a, *s) for a, l in plain_logs(rows).items() for s in suffixes(l)}
-    got = context.token_suffix_sum(log, chunk_rows).select("agent_id", "idx", "tokens", "suffix_tokens")
+    got = context.token_suffix_sum(log).select("agent_id", "idx", "tokens", "suffix_tokens")
     assert {tuple(r) for r in got.collect()} == want
-    kept = context.token_budget(log, 300, 2, chunk_rows).select("agent_id", "idx").collect()
+    kept = context.token_budget(log, 300, 2).select("agent_id", "idx").collect()
     assert {tuple(r) for r in kept} == {(a, i) for a, i, t, s in want if s <= 300 and t > 2}
 
 
@@ -71,7 +70,7 @@ def test_adaptive_tail_equals_brute_force(spark, seed, budget):
         fit = sum(s <= budget and t > 5 for _, t, s in suffixes(log))
         keep = sorted([fit, 10, int(len(log) * 0.1)])[1]
         want |= {(agent, i) for i, _ in [x for x in log if x[1] > 5][-keep:]}
-    got = context.adaptive_tail(frame(spark, rows), budget=budget, chunk_rows=7)
+    got = context.adaptive_tail(frame(spark, rows), budget=budget)
     assert {tuple(r) for r in got.select("agent_id", "idx").collect()} == want
 
 
@@ -126,9 +125,9 @@ def test_tags_may_be_text(spark):
 def test_a_log_that_one_agent_dominates(spark):
     rows = [entry(1, i, "x" * 40) for i in range(3000)] + [entry(a, 0, "x" * 40) for a in range(2, 900)]
     log = frame(spark, rows)
-    kept = context.token_budget(log, 250, 2, chunk_rows=50)
+    kept = context.token_budget(log, 250, 2)
     assert kept.filter("agent_id = 1").count() == 25 and kept.count() == 25 + 898
-    tail = context.adaptive_tail(log, 250, chunk_rows=50)
+    tail = context.adaptive_tail(log, 250)
     assert tail.filter("agent_id = 1").count() == 25
 
 

@@ -1,15 +1,14 @@
 """Token-bounded context from large message logs, for all agents at once.
 
-A log has agent_id, idx (position in the agent's log, unique), time, tags
-(array) and text. Positions count rows, with gaps at most: chunks are ranges of
-positions, so positions like epoch seconds have to be ranked first.
+A log has agent_id, idx (position in the agent's log, unique, any spacing),
+time, tags (array) and text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from tripflow.functions.text import (
@@ -23,6 +22,8 @@ from tripflow.functions.text import (
     token_estimate,
 )
 from tripflow.functions.times import interval_label, stamp
+from tripflow.operators import prefix
+from tripflow.operators.skew import join_on_hot_keys
 from tripflow.operators.topn import top_per_group
 
 # Tags of derived records, each with the marker its text must hold.
@@ -42,7 +43,6 @@ SECTIONS = (
 )
 RECENT_TITLE = "# Most Recent Observations"
 NO_ENDOWMENT = "No information provided"
-CHUNK_ROWS = 100_000
 
 
 def tagged(log: DataFrame) -> DataFrame:
@@ -63,121 +63,68 @@ def messages(log: DataFrame) -> DataFrame:
     return tagged(log).filter(~F.coalesce("tag", F.lit("")).isin(*MARKERS))
 
 
-def _chunked(log: DataFrame, chunk_rows: int) -> DataFrame:
-    """Messages with the number of their chunk of consecutive positions."""
-    return messages(log).withColumn("chunk", F.floor(F.col("idx") / chunk_rows))
+def _dealt(log: DataFrame) -> DataFrame:
+    """Positions and token counts of all messages, in ranges of (agent, position)."""
+    return prefix.dealt(messages(log).select("agent_id", "idx", "tokens"), ["agent_id"], ["idx"])
 
 
-def _chunk_table(rows: DataFrame, **amounts: Column) -> DataFrame:
-    """Per agent and chunk: each amount over all later chunks, and over the whole log.
+def token_suffix_sum(log: DataFrame) -> DataFrame:
+    """Tokens of each message and all later ones of its agent.
 
-    The windows run over one row per chunk.
+    A log is summed in ranges of its own positions, whatever their spacing:
+    totals per range first, then the running sum inside a range on top of the
+    totals after it. A single agent may own most rows.
     """
-    log = Window.partitionBy("agent_id")
-    after = log.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.groupBy("agent_id", "chunk")
-        .agg(*[F.sum(amount).alias(name) for name, amount in amounts.items()])
-        .select(
-            "agent_id",
-            "chunk",
-            *[F.coalesce(F.sum(n).over(after), F.lit(0)).alias(f"later_{n}") for n in amounts],
-            *[F.sum(n).over(log).alias(f"all_{n}") for n in amounts],
-        )
+    return prefix.suffix_sums(_dealt(log), ["agent_id"], {"suffix_tokens": F.col("tokens")}).select(
+        "agent_id", "idx", "tokens", "suffix_tokens"
     )
 
 
-def _with_suffix(rows: DataFrame, later: DataFrame) -> DataFrame:
-    """Rows of the given chunks with the tokens of themselves and all later messages."""
-    inside = (
-        Window.partitionBy("agent_id", "chunk")
-        .orderBy(F.desc("idx"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return rows.join(later, ["agent_id", "chunk"]).withColumn(
-        "suffix_tokens", F.sum("tokens").over(inside) + F.col("later_tokens")
-    )
-
+def _from_position(log: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Messages from their agent's position ``from_idx`` on; all where it is null.
 
-def token_suffix_sum(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Tokens of each message and all later ones of its agent.
-
-    A log is summed in chunks of consecutive positions: totals per chunk first,
-    then the running sum inside a chunk on top of the totals after it. One task
-    handles a chunk, never a whole log, so a single agent may own most rows.
+    One position per agent decides, so texts need no window: they stay where
+    they are if the positions are few, and a hot agent's rows are split if not.
     """
-    rows = _chunked(log, chunk_rows).select("agent_id", "idx", "tokens", "chunk")
-    later = _chunk_table(rows, tokens=F.col("tokens")).drop("all_tokens")
-    return _with_suffix(rows, later).select("agent_id", "idx", "tokens", "suffix_tokens")
-
+    near = F.col("from_idx").isNull() | (F.col("idx") >= F.col("from_idx"))
+    return join_on_hot_keys(messages(log), cutoffs, ["agent_id"]).filter(near).drop("from_idx")
 
-def _within_budget(rows: DataFrame, budget: int) -> DataFrame:
-    """Chunks of which the newest message may still fit the budget."""
-    chunks = _chunk_table(rows, tokens=F.col("tokens")).drop("all_tokens")
-    return chunks.filter(F.col("later_tokens") <= budget)
 
-
-def token_budget(
-    log: DataFrame, budget: int = 2500, min_tokens: int = 2, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def token_budget(log: DataFrame, budget: int = 2500, min_tokens: int = 2) -> DataFrame:
     """The newest messages that fit the budget together; short ones count but are left out.
 
-    Chunks that lie wholly beyond the budget drop out before their rows are
-    summed. Texts are shuffled once, by agent and chunk.
+    The sums run over positions and token counts alone.
     """
-    rows = _chunked(log, chunk_rows)
-    return (
-        _with_suffix(rows, _within_budget(rows, budget))
-        .filter((F.col("suffix_tokens") <= budget) & (F.col("tokens") > min_tokens))
-        .drop("chunk", "later_tokens", "suffix_tokens")
-    )
+    fitting = token_suffix_sum(log).filter(F.col("suffix_tokens") <= budget)
+    cutoffs = fitting.groupBy("agent_id").agg(F.min("idx").alias("from_idx"))
+    return _from_position(log, cutoffs).filter(F.col("tokens") > min_tokens).select(*tagged(log).columns)
 
 
 def adaptive_tail(
-    log: DataFrame,
-    budget: int = 600,
-    cap: int = 10,
-    share: float = 0.1,
-    min_tokens: int = 5,
-    chunk_rows: int = CHUNK_ROWS,
+    log: DataFrame, budget: int = 600, cap: int = 10, share: float = 0.1, min_tokens: int = 5
 ) -> DataFrame:
     """The newest long messages, as many as the median of three numbers.
 
     The numbers are: long messages fitting the budget, ``cap``, and ``share``
     of all messages rounded down. A median of 0 keeps every long message.
 
-    Lengths are found on positions and token counts of the newest chunks alone.
-    Texts are then joined by chunk with those chunks that can hold one of the
-    messages kept.
+    Which messages those are is found on positions and token counts alone.
     """
-    long_row = F.col("tokens") > min_tokens
-    rows = _chunked(log, chunk_rows)
-    narrow = rows.select("agent_id", "idx", "tokens", "chunk")
-    fitting = (
-        _with_suffix(narrow, _within_budget(narrow, budget))
-        .filter((F.col("suffix_tokens") <= budget) & long_row)
-        .groupBy("agent_id")
-        .agg(F.count(F.lit(1)).alias("fitting"))
+    is_long = F.col("tokens") > min_tokens
+    sums = {"suffix_tokens": F.col("tokens"), "back": is_long.cast("long")}
+    numbered = prefix.suffix_sums(_dealt(log), ["agent_id"], sums)
+    counts = numbered.groupBy("agent_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("suffix_tokens") <= budget) & is_long).alias("fit")
     )
-    fit = F.coalesce("fitting", F.lit(0))
-    part = F.floor(F.col("all_n") * F.lit(share))
+    fit, part = F.col("fit"), F.floor(F.col("n") * F.lit(share))
     middle = fit + cap + part - F.greatest(fit, F.lit(cap), part) - F.least(fit, F.lit(cap), part)
-    all_kept = F.col("keep") == 0
-    near = (
-        _chunk_table(narrow, n=F.lit(1), long=long_row.cast("long"))
-        .join(fitting, "agent_id", "left")
-        .withColumn("keep", middle)
-        .filter(all_kept | (F.col("later_long") < F.col("keep")))
-        .select("agent_id", "chunk", "later_long", "keep")
-    )
-    inside = Window.partitionBy("agent_id", "chunk").orderBy(F.desc("idx"))
-    return (
-        rows.filter(long_row)
-        .join(near, ["agent_id", "chunk"])
-        .withColumn("back", F.row_number().over(inside) + F.col("later_long"))
-        .filter(all_kept | (F.col("back") <= F.col("keep")))
-        .drop("chunk", "later_long", "keep", "back")
+    kept = counts.select("agent_id", middle.alias("keep"))
+    cutoffs = (
+        join_on_hot_keys(numbered.filter(is_long), kept, ["agent_id"])
+        .groupBy("agent_id")
+        .agg(F.min(F.when((F.col("keep") > 0) & (F.col("back") <= F.col("keep")), F.col("idx"))).alias("from_idx"))
     )
+    return _from_position(log, cutoffs).filter(is_long).select(*tagged(log).columns)
 
 
 def context_line() -> Column:
@@ -233,7 +180,6 @@ def understanding_context(
     log: DataFrame,
     tags: Sequence[str] = UNDERSTANDINGS,
     budget: int = 2500,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Per agent and kind of record: the newest such record, the messages within budget, their span.
 
@@ -243,7 +189,7 @@ def understanding_context(
     previous = latest_by_tag(log, {tag: MARKERS[tag] for tag in tags}).select(
         "agent_id", "tag", F.col("text").alias("previous")
     )
-    recent = context_text(token_budget(log, budget, chunk_rows=chunk_rows))
+    recent = context_text(token_budget(log, budget))
     kinds = F.explode(F.array(*[F.lit(tag) for tag in tags])).alias("tag")
     return recent.select("*", kinds).join(previous, ["agent_id", "tag"], "left")
 
@@ -254,7 +200,6 @@ def agent_context(
     now: Column,
     window: str = "4 hours",
     budget: int = 600,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One context per agent: latest records, recent messages and configuration.
 
@@ -267,7 +212,7 @@ def agent_context(
         .groupBy("agent_id")
         .agg(*[F.max(F.when(F.col("tag") == tag, F.col("text"))).alias(tag) for tag in MARKERS])
     )
-    recent = context_text(adaptive_tail(log, budget=budget, chunk_rows=chunk_rows))
+    recent = context_text(adaptive_tail(log, budget=budget))
     start = now - F.expr(f"INTERVAL {window}")
     known = [*[split_record(F.col(tag)) for tag in UNDERSTANDINGS], F.col("ThoughtProcessForAction")]
     body = F.concat_ws(

@@ -15,8 +15,6 @@ from tripflow.sources.trips import stack_datasets
 Query = Callable[[SparkSession, str], DataFrame]
 
 AGENCIES = (inputs.RAIL, inputs.BUS)
-# Small enough that the test logs span several chunks.
-LOG_CHUNK = 4000
 REGION_LABEL = "East to Bay"
 
 
@@ -198,7 +196,6 @@ def agent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.memory_log(spark, sf_dir),
         inputs.agent_config(spark, sf_dir),
         F.expr("timestampadd(HOUR, CAST(agent_id % 24 AS int), TIMESTAMP_NTZ '2024-01-20 00:30:00')"),
-        chunk_rows=LOG_CHUNK,
     )
 
 
@@ -277,20 +274,14 @@ QUERIES: dict[str, Query] = {
     "offers_union": offers_union,
     "best_offer": best_offer,
     # Message logs
-    "token_suffix_sum": _log_query(lambda log: context.token_suffix_sum(log, LOG_CHUNK)),
-    "token_budget_context": _log_query(
-        lambda log: _with_tag_columns(context.token_budget(log, chunk_rows=LOG_CHUNK))
-    ),
-    "adaptive_tail_context": _log_query(
-        lambda log: _with_tag_columns(context.adaptive_tail(log, chunk_rows=LOG_CHUNK))
-    ),
+    "token_suffix_sum": _log_query(context.token_suffix_sum),
+    "token_budget_context": _log_query(lambda log: _with_tag_columns(context.token_budget(log))),
+    "adaptive_tail_context": _log_query(lambda log: _with_tag_columns(context.adaptive_tail(log))),
     "context_span": _log_query(lambda log: context.context_span(context.token_budget(log))),
     "context_text": _log_query(
         lambda log: context.context_text(context.token_budget(log)).select("agent_id", "context")
     ),
-    "understanding_context": _log_query(
-        lambda log: context.understanding_context(log, chunk_rows=LOG_CHUNK)
-    ),
+    "understanding_context": _log_query(context.understanding_context),
     "latest_by_tag": _log_query(context.latest_by_tag),
     "latest_by_text_tag": _log_query(
         lambda log: context.latest_by_tag(log.withColumn("tags", _tags_as_text()))
