@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tripflow.sources.shared import cut, discard, shared_folder, written  # noqa: F401
+
 # Fixed by the contracts: the ASCII white space that ends a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,48 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``. A folder of this machine serves only where
-    that is unset and everything runs on this machine, as in tests.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and go on from its files.
-
-    Later jobs read the files, so neither a lost executor nor a second use
-    computes it again. A plan that starts from files also takes its size from
-    them: an estimate handed on from plan to plan would multiply with every join
-    of a loop. `discard` deletes the files.
-    """
-    folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    out = written(df, folder)
-    out.cut_folder = folder
-    return out
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Delete the files of cuts that no later job reads."""
-    for df in cuts:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, folder: str) -> DataFrame:
-    """``df`` as Parquet in ``folder``, read again."""
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {name.lower() for name in names}
