@@ -72,3 +72,51 @@ kept AS (
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
   (coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0))::BIGINT AS n_dropped, sha256(coalesce(k.text, '')) AS text_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text: a byte at a time, bit by bit."""
+    bit = "list_reduce([xor(acc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, n: xor(x >> 1, 3988292384 * (x & 1)))"
+    given = f"[4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce({given}, lambda acc, byte: {bit}), 4294967295)"
+
+
+def _fields(n_chars: str) -> str:
+    """The digest of a row; a part of || that is NULL makes a field a dash."""
+    parts = [f"({p})::VARCHAR" for p in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + "))"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_fields("n_chars")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_fields("n_chars + 1")} END AS changed FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS branch FROM leaves),
+tree AS (
+  SELECT branch, 0 AS level, place, leaf AS digest, n FROM placed
+  UNION ALL SELECT branch, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value((n + 1) // 2)
+  FROM tree WHERE n > 1 GROUP BY branch, level, place // 2),
+subroots AS (SELECT branch AS place, digest, level AS height, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, place, digest, n FROM subroots
+  UNION ALL SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value((n + 1) // 2)
+  FROM crown WHERE n > 1 GROUP BY level, place // 2),
+steps AS (
+  SELECT p.branch, p.place, t.level, s.digest AS sibling, s.place < t.place AS is_left
+  FROM placed p JOIN tree t ON t.branch = p.branch AND t.place = p.place >> t.level AND t.n > 1
+  LEFT JOIN tree s ON s.branch = t.branch AND s.level = t.level AND s.place = xor(t.place, 1)
+  UNION ALL SELECT p.branch, p.place, r.height + t.level, s.digest, s.place < t.place
+  FROM placed p JOIN subroots r ON r.place = p.branch JOIN crown t ON t.place = p.branch >> t.level AND t.n > 1
+  LEFT JOIN crown s ON s.level = t.level AND s.place = xor(t.place, 1)),
+folds AS (
+  SELECT branch, place, 0 AS level, coalesce(changed, leaf) AS digest FROM placed
+  UNION ALL SELECT branch, place, level + 1, sha256(CASE WHEN is_left THEN sibling || digest ELSE digest || coalesce(sibling, '') END)
+  FROM folds JOIN steps USING (branch, place, level)),
+proofs AS (SELECT branch, place, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY branch, place)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, c.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = c.digest AS verified
+FROM placed p JOIN subroots r ON r.place = p.branch JOIN crown c ON c.n = 1
+LEFT JOIN proofs q ON q.branch = p.branch AND q.place = p.place
+JOIN (SELECT branch, place, arg_max(digest, level) AS digest FROM folds GROUP BY branch, place) f ON f.branch = p.branch AND f.place = p.place"""

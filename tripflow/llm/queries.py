@@ -13,6 +13,7 @@ from tripflow.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    merkle,
     mixing,
     quality_classifier,
     quality_rules,
@@ -161,6 +162,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1)
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+
+    rows = docs.select(
+        "doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(more.isNotNull(), F.unhex(leaf(more))).alias("tampered")
+    )
+    claimed = F.coalesce(F.lower(F.hex("tampered")), "leaf")
+    return (
+        merkle.manifest(rows)
+        .withColumn("folded_root", merkle.folded(claimed, F.col("proof")))
+        .select(
+            "doc_id",
+            "leaf",
+            "subroot",
+            "root",
+            F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+            "folded_root",
+            (F.col("folded_root") == F.col("root")).alias("verified"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -172,5 +199,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-
