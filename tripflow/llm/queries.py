@@ -15,9 +15,11 @@ from tripflow.llm import (
     line_dedup,
     merkle,
     mixing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
+    sentence_pieces,
     topk,
 )
 from tripflow.llm.common import table
@@ -28,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MAX_REPEATS = 2.0
 # The tokenizer of the corpus; a file of fixed size that ships with its package.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def ranks() -> bytes:
@@ -52,8 +55,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, ranks()).select(
+    encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN, keep=["doc_id"], decoded=True)
+    return encoded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -162,6 +165,51 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentence_pieces.checked_model(public_tokenizers.path(PIECE_FILE))
+    encoded = sentence_pieces.encode(docs, model, keep=["doc_id"], decoded=True)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _made_periodic(doc_id: Column, text: Column) -> Column:
+    """Fixed by the contract: a tenth of the texts repeat a stretch of words to their end.
+
+    ``words`` has to be a column of the rows: the words of those texts, else null.
+    """
+    g, n = F.floor(F.crc32(doc_id.cast("string")) / 10), F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    repeated = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get(F.col("words"), (a + (i - a) % p).cast("int"))))
+    return F.when(n > 0, F.array_join(repeated, " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumn("words", F.when(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, split))
+    given = chosen.select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = periodic_runs.periodic_runs(given).withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.p")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1)
@@ -199,5 +247,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
