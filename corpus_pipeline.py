@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripflow.llm import bpe, jaccard_join, line_dedup, mixing, quality_classifier
-from tripflow.llm.common import shared_folder, table, text_or_empty, written
+from tripflow.llm.common import shared_folder, table, written
 from tripflow.llm.queries import MAX_REPEATS, ranks
 
 # Near copies: word shingles of five, four fifths or more in common.
@@ -71,10 +71,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks())
-    same = F.col("decoded") == text_or_empty().cast("binary")
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    encoded = bpe.encode(docs, ranks(), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], checked=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
