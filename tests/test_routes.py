@@ -1,5 +1,8 @@
 """Trajectories, patterns and stitched lines on hand-made rows."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from tests.test_trips import frame, trip
@@ -93,6 +96,55 @@ def test_a_single_point_line_keeps_the_point_before_it(spark):
     assert points(spark, text) == [(1, 1), (2, 2), (2, 2.0008), (5, 5)]
 
 
+def test_stitching_equals_walking_through_random_lines(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(400):
+        at, lines = 0.0, []
+        for _ in range(rng.randrange(7)):
+            size, at = rng.choice([0, 1, 1, 2, 3]), at + rng.choice([0, 0, 0.0004, -0.0003, 1])
+            inner = []
+            for _ in range(size):
+                inner.append(f"{at:.4f} 5")
+                at += rng.choice([0.0001, 1])
+            at -= 1
+            lines.append(f"LINESTRING({', '.join(inner)})")
+        texts.append("|".join(lines))
+
+    def plain(text):
+        done = []
+        for line in text.split("|"):
+            line = [(5.0, float(p.split()[0])) for p in line[11:-1].split(", ") if p]
+            if done and line and abs(done[-1][1] - line[0][1]) < 0.0005:
+                line = line[1:]
+            done += line
+        return done
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", stitch(trajectory_lines(F.col("t"))).alias("p"))
+    for row in df.collect():
+        assert [(p.lat, p.lng) for p in row.p] == plain(row.t), row.t
+
+
+def test_a_line_of_many_segments_is_stitched_in_linear_time(spark):
+    def seconds(n):
+        text = "|".join(f"LINESTRING({i} 0, {i + 0.5} 0, {i + 1} 0)" for i in range(n))
+        df = spark.createDataFrame([(text,)], "t string").select(F.size(stitch(trajectory_lines(F.col("t")))))
+        start = time.perf_counter()
+        assert df.first()[0] == 2 * n + 1
+        return time.perf_counter() - start
+
+    seconds(100)
+    small, large = seconds(5_000), seconds(50_000)
+    assert large < 30 * small + 1
+
+
+def test_texts_travel_once_per_trajectory(spark):
+    patterns = routes.route_patterns(frame(spark, [trip()]), segments(spark, SEGMENTS))
+    plan = patterns._jdf.queryExecution().executedPlan().toString().splitlines()
+    groups = [line for line in plan if "HashAggregate(keys=[dataset" in line and "drawn" in line]
+    assert groups and not any("trajectory_segments" in line for line in groups)
+
+
 def test_point_text(spark):
     df = spark.createDataFrame([("POINT(-121.7 38)",), ("POINT (1 2)",), ("LINE",), (None,)], "w string")
     got = [tuple(r) for r in df.select(*point_xy(F.col("w"))).collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
@@ -76,21 +77,59 @@ def trajectory_lines(trajectory: Column) -> Column:
     return F.coalesce(F.transform(parts, _line_points), F.array().cast(f"array<{LINE_POINTS}>"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _touch(last: Column, first: Column, eps: float) -> Column:
+    near = (F.abs(last.lat - first.lat) < eps) & (F.abs(last.lng - first.lng) < eps)
+    return F.coalesce(near, F.lit(False))
+
+
+def _last(line: Column) -> Column:
+    return F.get(line, F.size(line) - 1)
+
+
+def _rest_if(drop: Column, line: Column) -> Column:
+    return F.when(drop, F.slice(line, F.lit(2), F.size(line) - 1)).otherwise(line)
+
+
 def stitch(lines: Column, eps: float = 0.0005) -> Column:
     """One line from many, dropping a first vertex that repeats the last one kept.
 
-    The loop runs over the segments of a single trajectory, so its state is
-    bounded by that row.
+    A line of two vertices or more ends with its own last one whatever is
+    dropped, so each line needs only the one before it and all are joined in one
+    go. A line of one vertex may shrink to nothing and pass on the vertex before
+    it; rows with such lines are walked through with one flag per line. Either
+    way a vertex is copied once.
     """
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        first = F.get(line, F.lit(0))
-        touches = (F.abs(last.lat - first.lat) < eps) & (F.abs(last.lng - first.lng) < eps)
-        rest = F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0)))
-        return F.concat(done, F.when(F.coalesce(touches, F.lit(False)), rest).otherwise(line))
-
-    return F.aggregate(lines, F.array().cast(LINE_POINTS), add)
+    def at_once(kept: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                kept,
+                lambda line, i: _rest_if(_touch(_last(F.get(kept, i - 1)), F.get(line, F.lit(0)), eps), line),
+            )
+        )
+
+    def walked(kept: Column) -> Column:
+        def step(state: Column, line: Column) -> Column:
+            drop = _touch(state.last, F.get(line, F.lit(0)), eps)
+            last = F.when(drop & (F.size(line) == 1), state.last).otherwise(_last(line))
+            return F.struct(last.alias("last"), F.concat(state.drops, F.array(drop)).alias("drops"))
+
+        start = F.struct(
+            F.lit(None).cast("struct<lat:double,lng:double>").alias("last"),
+            F.array().cast("array<boolean>").alias("drops"),
+        )
+        drops = F.aggregate(kept, start, step, lambda state: state.drops)
+        return F.flatten(F.zip_with(kept, drops, lambda line, drop: _rest_if(drop, line)))
+
+    def joined(kept: Column) -> Column:
+        return F.when(F.exists(kept, lambda line: F.size(line) == 1), walked(kept)).otherwise(at_once(kept))
+
+    return _bound(F.filter(lines, lambda line: F.size(line) > 0), joined)
 
 
 def points_text(points: Column) -> Column:

@@ -96,7 +96,8 @@ def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0
 
     Trips are summed per link list, then per trajectory, because different
     lists can give the same one. Each list is looked up once, whoever took it,
-    by a second and narrow scan; only lists are exploded.
+    by a second and narrow scan; only lists are exploded. Patterns are grouped by
+    the 128-bit digest of their trajectory, and its text is joined last.
     """
     sums = [
         f(c).alias(f"{name}_{c}")
@@ -105,14 +106,15 @@ def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0
     ]
     lists = trips.filter(has_links()).select(season_of().alias("season"), "network_link_ids").distinct()
     known = link_trajectories(lists, segments).filter(well_matched(min_matched))
+    # Many lists and many ends share a trajectory: a digest stands for its text until the end.
+    known = known.withColumn("drawn", F.unhex(F.md5("trajectory_segments")))
+    texts = known.groupBy("drawn").agg(F.first("trajectory_segments").alias("trajectory_segments"))
     counted = _trips_per_list(trips, *sums).withColumn("route", route_key(F.col("network_link_ids")))
-    return (
+    patterns = (
         join_on_hot_keys(
-            counted.drop("network_link_ids"),
-            known.select("season", "route", "trajectory_segments"),
-            ["season", "route"],
+            counted.drop("network_link_ids"), known.select("season", "route", "drawn"), ["season", "route"]
         )
-        .groupBy("dataset", "mode", *OD_COLUMNS, "trajectory_segments")
+        .groupBy("dataset", "mode", *OD_COLUMNS, "drawn")
         .agg(
             F.sum("n").alias("trip_count"),
             round_places(
@@ -123,6 +125,10 @@ def route_patterns(trips: DataFrame, segments: DataFrame, min_matched: float = 0
             ).alias("avg_duration_min"),
         )
     )
+    averages = ["trip_count", "avg_distance_miles", "avg_duration_min"]
+    return join_on_hot_keys(patterns, texts, ["drawn"]).select(
+        "dataset", "mode", *OD_COLUMNS, "trajectory_segments", *averages
+    )
 
 
 def missing_trajectory(trips: DataFrame, segments: DataFrame) -> DataFrame:
