@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, valid_od
 from tripflow.functions.style import known_mode
@@ -62,6 +62,14 @@ def largest_first(by: Sequence[str] = ("mode",)):
     return [F.desc("trip_count"), *in_order([*by, *OD_COLUMNS])]
 
 
+def _size_keys() -> list[Column]:
+    """The order of the largest flows as numbers.
+
+    On a logarithm small counts, which most flows share, have bins of their own.
+    """
+    return [-F.log2("trip_count"), *[F.col(c) for c in OD_COLUMNS]]
+
+
 def top_flows(
     trips: DataFrame,
     n: int = 1000,
@@ -71,14 +79,14 @@ def top_flows(
 ) -> DataFrame:
     """The n largest valid flows of each group, ranked."""
     flows = od_flows(valid_coords(trips), by, population)
-    top = top_per_group(flows, by, largest_first(()), n)
+    top = top_per_group(flows, by, largest_first(()), n, keys=_size_keys())
     return top.orderBy(*in_order(by), "rank") if ordered else top
 
 
 def top_od(trips: DataFrame, n: int = 500, population: DataFrame | None = None) -> DataFrame:
     """The n largest flows of each dataset over all modes; coordinates unchecked."""
     return top_per_group(
-        od_flows(trips, BY, population), ["dataset"], largest_first(("mode",)), n
+        od_flows(trips, BY, population), ["dataset"], largest_first(("mode",)), n, keys=_size_keys()[:1]
     )
 
 

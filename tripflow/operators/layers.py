@@ -71,7 +71,10 @@ def sampling_order(columns: Sequence[str], seed: int) -> list[Column]:
 def origin_sample(flows: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     """At most n flows per dataset and mode, the same ones for the same seed."""
     labelled = flows.withColumn("mode", known_mode(F.col("mode"))).drop("rank")
-    return top_per_group(labelled, ["dataset", "mode"], sampling_order(OD_COLUMNS, seed), n, "pick")
+    order = sampling_order(OD_COLUMNS, seed)
+    # The first 48 bits of the digest, as a number in the same order.
+    key = F.conv(F.substring(order[0], 1, 12), 16, 10).cast("long")
+    return top_per_group(labelled, ["dataset", "mode"], order, n, "pick", keys=[key])
 
 
 def mode_colours(ranked_modes: DataFrame) -> DataFrame:
