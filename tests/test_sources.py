@@ -92,6 +92,44 @@ def test_feed_zips(spark, tmp_path):
     }
 
 
+def test_feeds_with_the_same_columns_are_one_scan_and_need_no_job(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"a b{k}").mkdir()
+        (tmp_path / f"a b{k}" / "stop_times.txt").write_text(FEED if k % 2 else OTHER_ORDER, encoding="utf-8")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    feeds = gtfs.read_feed_folders(spark, {f"agency {k}": str(tmp_path / f"a b{k}") for k in range(12)})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert feeds._jdf.queryExecution().executedPlan().toString().count("Scan csv") == 2
+    got = {r.agency: r["count"] for r in feeds.groupBy("agency").count().collect()}
+    assert got == {f"agency {k}": 2 if k % 2 else 1 for k in range(12)}
+
+
+def test_a_zip_is_one_partition_and_leaves_in_batches(spark, tmp_path, monkeypatch):
+    text = "stop_id,trip_id\n" + "".join(f'"S, {i}",t{i}\n' for i in range(50_000)) + "\nshort\n"
+    for name in ("x", "y"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as feed:
+            feed.writestr("stop_times.txt", text)
+    reader = gtfs.FeedZipReader(str(tmp_path), "stop_times")
+    parts = reader.partitions()
+    assert len(parts) == 2
+    assert [b.num_rows for b in reader.read(parts[0])] == [20_000, 20_000, 10_001]
+    rows = gtfs.read_feed_zips(spark, f"file:{tmp_path}")
+    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 100_002
+    assert rows.filter("trip_id IS NULL").count() == 2 and rows.filter("stop_id = 'S, 7'").count() == 2
+
+
+def test_zips_written_and_read_are_the_same_rows(spark, tmp_path):
+    rows = [("rail", f"t{i}", "08:00:00", None if i % 7 else "09:0", f'stop "{i}", x', i) for i in range(300)]
+    rows += [("bus", "t", None, None, "é", None)]
+    feed = spark.createDataFrame(rows, f"agency string, {gtfs.FEED_SCHEMAS['stop_times']}").repartition(4)
+    written = gtfs.write_feed_zips(feed, str(tmp_path / "zips"), rows_per_zip=100).collect()
+    assert sum(r.n_rows for r in written) == 301 and len([r for r in written if r.agency == "rail"]) > 1
+    back = gtfs.read_feed_zips(spark, str(tmp_path / "zips")).withColumn("agency", F.substring_index("agency", ".", 1))
+    assert sorted(map(str, back.collect())) == sorted(map(str, feed.collect()))
+    (tmp_path / "none").mkdir()
+    assert gtfs.read_feed_zips(spark, str(tmp_path / "none")).count() == 0
+
+
 FEATURES = (
     "dataset string, mode string, rank long, kind string, coords array<struct<lat:double,lng:double>>, "
     "colour string, size double, opacity double, dash string, tooltip string, popup string"
@@ -115,6 +153,15 @@ def test_layers_are_written_by_dataset_and_mode(spark, tmp_path):
     assert (tmp_path / "layers" / "dataset=Q2" / "mode=WALKING").is_dir()
 
 
+def test_a_rerun_replaces_only_the_datasets_it_computed(spark, tmp_path):
+    path = str(tmp_path / "layers")
+    both = features(spark).unionByName(features(spark).withColumn("dataset", F.lit("Q4")))
+    sinks.write_layers(both, path)
+    sinks.write_layers(features(spark).withColumn("colour", F.lit("blue")), path)
+    got = {(r.dataset, r.colour) for r in sinks.read_layers(spark, path, both).collect()}
+    assert got == {("Q2", "blue"), ("Q4", "red")}
+
+
 def test_geojson_text(spark):
     got = {r.mode: json.loads(r.feature) for r in sinks.to_geojson(features(spark)).collect()}
     assert got["WALKING"]["geometry"] == {"type": "LineString", "coordinates": [[2.0, 1.0], [4.0, 3.0]]}

@@ -476,6 +476,14 @@ LEFT JOIN (FROM frequent WHERE rank = 1) f USING (dataset)""",
 }
 
 
+for _same in ("gtfs_feed_folders", "gtfs_feed_zips"):
+    BODIES[_same] = BODIES["gtfs_stop_times"]
+BODIES["layer_files"] = BODIES["layer_features"]
+BODIES["layer_geojson"] = f"""SELECT dataset, mode, 'Feature' AS type,
+  CASE WHEN contains(coords, ';') THEN 'LineString' ELSE 'Point' END AS geometry, coords, kind, colour, dash, tooltip, popup, size, opacity
+FROM ({BODIES["layer_features"]}) f"""
+
+
 def _needed(sql: str, found: set[str]) -> None:
     words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
     for name in VIEWS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tripflow.functions.geo import OD_COLUMNS, points_text
 from tripflow.operators import context, flows, layers, modes, regions, reports, routes, schedule
 from tripflow.plans import inputs
-from tripflow.sources import catalog
+from tripflow.sources import catalog, gtfs, sinks
+from tripflow.sources.shared import shared_folder
 from tripflow.sources.trips import stack_datasets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,16 +61,35 @@ def datasets_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gtfs_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.schedule_seconds(inputs.stop_times(spark, sf_dir)).select(
-        "agency",
-        "trip_id",
-        "stop_id",
-        "stop_sequence",
-        F.col("dep_secs").cast("long").alias("dep_secs"),
+    return _scheduled(inputs.stop_times(spark, sf_dir))
+
+
+def _scheduled(stop_times: DataFrame) -> DataFrame:
+    return schedule.schedule_seconds(stop_times).select(
+        "agency", "trip_id", "stop_id", "stop_sequence", F.col("dep_secs").cast("long").alias("dep_secs"),
         F.col("arr_secs").cast("long").alias("arr_secs"),
     )
 
 
+def gtfs_feed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop times written as feeds whose columns differ in order, and read back."""
+    folder = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+    given = inputs.stop_times(spark, sf_dir)
+    columns = list(gtfs.feed_columns("stop_times"))
+    for agency, order in (("rail", columns), ("bus", columns[::-1])):
+        gtfs.write_feed_folders(given.filter(F.col("agency") == agency), f"{folder}/{agency}", order)
+    feeds = {agency: f"{folder}/{agency}/agency={agency}" for agency in ("rail", "bus")}
+    return _scheduled(gtfs.read_feed_folders(spark, feeds, pattern="*.csv"))
+
+
+def gtfs_feed_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop times packed into feed zips, several per agency, and read back."""
+    folder = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+    gtfs.write_feed_zips(inputs.stop_times(spark, sf_dir), folder, rows_per_zip=20_000).count()
+    read = gtfs.read_feed_zips(spark, folder)
+    return _scheduled(read.withColumn("agency", F.substring_index("agency", ".", 1)))
+
+
 def trips_with_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = inputs.trips(spark, sf_dir).select("dataset", "person_id", "mode", *OD_COLUMNS)
     return flows.trips_with_population(trips, inputs.population(spark, sf_dir))
@@ -200,9 +221,45 @@ def agent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_features(trips: DataFrame) -> DataFrame:
+    return _features(_drawn(trips))
+
+
+def _drawn(trips: DataFrame) -> DataFrame:
     drawn = layers.flow_features(flows.top_flows(trips, 20), sample=5)
-    return _features(
-        drawn.unionByName(layers.top_route_features(modes.frequent_trips(trips, 20)))
+    return drawn.unionByName(layers.top_route_features(modes.frequent_trips(trips, 20)))
+
+
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers written to files, one dataset replaced later by its own run, and read back."""
+    trips = inputs.trips(spark, sf_dir)
+    path = f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}"
+    drawn = _drawn(trips)
+    weekend = F.col("dataset").endswith("Saturday")
+    # A first draft of the weekend's layers, in grey; the rest is final.
+    sinks.write_layers(drawn.withColumn("colour", F.when(weekend, "draft").otherwise(F.col("colour"))), path)
+    sinks.write_layers(_drawn(trips.filter(weekend)), path)
+    return _features(sinks.read_layers(spark, path, drawn))
+
+
+def layer_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers as GeoJSON text, parsed again."""
+    given = _drawn(inputs.trips(spark, sf_dir))
+    feature = F.col("feature")
+    style = ("kind", "colour", "dash", "tooltip", "popup")
+    kind = F.get_json_object(feature, "$.geometry.type")
+    place = F.get_json_object(feature, "$.geometry.coordinates")
+    pairs = F.when(kind == "Point", F.array(F.from_json(place, "array<double>"))).otherwise(
+        F.from_json(place, "array<array<double>>")
+    )
+    points = F.transform(pairs, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))
+    return sinks.to_geojson(given).select(
+        "dataset",
+        "mode",
+        F.get_json_object(feature, "$.type").alias("type"),
+        kind.alias("geometry"),
+        points_text(points).alias("coords"),
+        *[F.get_json_object(feature, f"$.properties.{c}").alias(c) for c in style],
+        *[F.get_json_object(feature, f"$.properties.{c}").cast("double").alias(c) for c in ("size", "opacity")],
     )
 
 
@@ -229,6 +286,8 @@ QUERIES: dict[str, Query] = {
     "datasets_union": datasets_union,
     "companion_tables": companion_tables,
     "gtfs_stop_times": gtfs_stop_times,
+    "gtfs_feed_folders": gtfs_feed_folders,
+    "gtfs_feed_zips": gtfs_feed_zips,
     # Filters
     "valid_coords": _trip_query(
         lambda t: flows.valid_coords(t).select("dataset", "person_id", "mode", *OD_COLUMNS)
@@ -296,6 +355,8 @@ QUERIES: dict[str, Query] = {
     "mode_colours_by_size": lambda spark, sf_dir: layers.colours_by_size(_patterns(spark, sf_dir)),
     "origin_sample": _trip_query(lambda t: layers.origin_sample(flows.top_flows(t), 5)),
     "layer_features": _trip_query(layer_features),
+    "layer_files": layer_files,
+    "layer_geojson": layer_geojson,
     "network_features": network_features,
     "od_line_features": od_line_features,
     "origin_features": origin_features,

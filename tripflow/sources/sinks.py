@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_layers(features: DataFrame, path: str, partition_by=("dataset", "mode")) -> None:
-    """One folder per dataset and mode, written by as many tasks as hold its rows."""
-    features.write.mode("overwrite").partitionBy(*partition_by).json(path)
+    """One folder per dataset and mode, written by as many tasks as hold its rows.
+
+    Only the folders that ``features`` have rows for are replaced; others stay as they are.
+    """
+    writer = features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).json(path)
+
+
+def read_layers(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Layers written by `write_layers`, with the columns and types of ``like``."""
+    return spark.read.schema(like.schema).json(path).select(*like.columns)
 
 
 def to_geojson(features: DataFrame) -> DataFrame:
