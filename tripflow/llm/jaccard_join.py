@@ -11,7 +11,8 @@ verified once per pair on the whole sets.
 A shingle that many classes share is not turned into all its pairs. Its classes
 are first compared with the one among them that has the fewest rarer shingles;
 those that are similar to it are linked through it. Only classes that links do not
-join yet can still need a comparison of their own, if they pass the filters.
+join yet can still need a comparison of their own, if they pass the filters; the
+sketch is one of the conditions under which they are joined. No pair is compared twice.
 
 Null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Texts shorter than a shingle are one shingle of all their words.
@@ -104,31 +105,34 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(key, n, cls, prefix, sketch): set size, set digest, rarest shingles and parity sketch."""
+    """(key, n, own, cls, prefix, sketch): set size, shingles no other text has, set digest, rarest shingles, parity sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(width), shared.value
         for part, texts in _texts(batches):
-            sizes, classes, prefixes, sketches = [], [], [], []
+            sizes, own, classes, prefixes, sketches = [], [], [], [], []
             for shingles in map(shingler, texts):
                 n = len(shingles)
                 sizes.append(n)
+                # A bucket that one text alone fills holds a shingle that no other text has.
+                held = counts[_bucket(shingles)]
+                own.append(int(np.count_nonzero(held == 1)))
                 classes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 # Shingles come sorted, so a stable sort by count settles ties by hash.
-                order = np.argsort(counts[_bucket(shingles)], kind="stable")
+                order = np.argsort(held, kind="stable")
                 prefixes.append(shingles[order[: n - _least_overlap(n, percent) + 1 if n else 0]].view(np.int64))
                 size = max(SKETCH_BITS, 1 << (n - 1).bit_length()) if n else SKETCH_BITS
                 bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(own, pa.int64()), pa.array(classes, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["key", "n", "cls", "prefix", "sketch"],
+                names=["key", "n", "own", "cls", "prefix", "sketch"],
             )
 
     source = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    return source.mapInArrow(run, "key long, n long, cls binary, prefix array<long>, sketch array<long>")
+    return source.mapInArrow(run, "key long, n long, own long, cls binary, prefix array<long>, sketch array<long>")
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -187,13 +191,22 @@ def _sketched(n: Column, s: Column, m: Column, t: Column, percent: int) -> Colum
 
     bits = F.zip_with(folded(s), folded(t), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-    return apart <= n + m - 2 * _wanted(n, m, percent)
+    return apart <= _apart(n, m, percent)
+
+
+def _apart(n: Column, m: Column, percent: int) -> Column:
+    """The most shingles in which sets of n and m may differ."""
+    return n + m - 2 * _wanted(n, m, percent)
 
 
 def _passes(percent: int) -> Column:
-    """The length and positional filters on (n_a, at_a, n_b, at_b)."""
+    """The filters on (n, at, own) of both sides: length, position, and shingles no other text has.
+
+    The latter stand in one set of a pair alone, so they add up to a difference.
+    """
     n, i, m, j = (F.col(c) for c in ("n_a", "at_a", "n_b", "at_b"))
-    return _fits(n, m, percent) & _placed(n, i, m, j, percent)
+    own = F.col("own_a") + F.col("own_b") <= _apart(n, m, percent)
+    return _fits(n, m, percent) & own & _placed(n, i, m, j, percent)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -223,42 +236,58 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     return cut(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    """(shingle, node, at, n): the index, less the shingles that one class alone has in its prefix."""
-    index = classes.select(F.posexplode("prefix").alias("at", "shingle"), "node", F.col("n").cast("int").alias("n"))
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, at, n, own): the index, less the shingles that one class alone has in its prefix.
+
+    A class whose own shingles leave too few for any partner is not in it.
+    """
+    able = classes.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    sizes = [F.col(c).cast("int").alias(c) for c in ("n", "own")]
+    index = able.select(F.posexplode("prefix").alias("at", "shingle"), "node", *sizes)
     shared = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     # A shingle hashed anew is as good a name, and its rows come straight from a shuffle.
     again = F.xxhash64("shingle").alias("shingle")
-    return cut(index.select(again, "node", "at", "n").join(shared.select(again), "shingle"))
+    return cut(index.select(again, "node", "at", "n", "own").join(shared.select(again), "shingle"))
+
+
+def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
+    return entries.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "own", *more)])
 
 
 def _links(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(node, root): components of the classes that have links."""
-    verify = lambda pairs: _verified(cut(_likely(pairs.distinct(), classes, percent)), classes, docs, key, text, width, percent)
-    entries = _entries(classes)
-    stars = entries.groupBy("shingle").agg(F.min_by("node", "at").alias("a"), F.min("at").alias("at_a"), F.min_by("n", "at").alias("n_a"))
-    met = join_on_hot_keys(entries.select("shingle", F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b")), stars, ["shingle"])
-    # a is the star.
-    by_star = verify(met.filter("a <> b").filter(_passes(percent)).select("a", "b"))
+    verify = lambda pairs: _verified(pairs, classes, docs, key, text, width, percent)
+    entries = _entries(classes, percent)
+    ordered = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    stars = entries.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "at", "own"), "at").alias("star"))
+    stars = stars.select("shingle", *[F.col(f"star.{c}").alias(f"{c}_a") for c in ("node", "n", "at", "own")])
+    met = join_on_hot_keys(_side(entries, "b"), stars, ["shingle"]).filter("node_a <> node_b").filter(_passes(percent))
+    compared = cut(met.select(*ordered).distinct())
+    by_star = verify(cut(_likely(compared, classes, percent)))
+    # Sketches go along with what is still open, so that the join itself tells most pairs apart.
     open_ = _open_entries(entries, components(by_star))
-    one, two = [open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab"]
-    rest = one.join(two, "shingle").filter("root_a < root_b").filter(_passes(percent))
-    pairs = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return components(by_star.union(verify(pairs)))
+    open_ = cut(join_on_hot_keys(open_, classes.select("node", "sketch"), ["node"]))
+    one, two = _side(open_, "a", "root", "sketch"), _side(open_, "b", "root", "sketch")
+    likely = _sketched(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), percent)
+    meets = (one["shingle"] == two["shingle"]) & (F.col("root_a") < F.col("root_b")) & _passes(percent) & likely
+    pairs = one.join(two, meets).select(*ordered).distinct()
+    # Pairs that were compared with a star have their answer.
+    rest = verify(cut(pairs.join(compared, ["a", "b"], "left_anti")))
+    return components(by_star.union(rest))
 
 
 def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Index entries with their class's root, where a shingle still meets several roots."""
     known = join_on_hot_keys(entries, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("shingle")
-    return cut(join_on_hot_keys(known, several, ["shingle"]))
+    return join_on_hot_keys(known, several, ["shingle"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
     counts = bucket_counts(docs, text, width)
     rows = cut(signatures(docs, counts, key, text, width, percent))
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "sketch")]
+    firsts = [F.first(c).alias(c) for c in ("n", "own", "prefix", "sketch")]
     classes = cut(
         rows.filter("n > 0").groupBy("cls").agg(F.min("key").alias("key"), *firsts)
         .withColumn("node", F.monotonically_increasing_id())
