@@ -1,5 +1,6 @@
 """Temperature mixing: weights against a plain bisection, and what the permutations must keep."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -89,6 +90,61 @@ def test_odd_rows(spark):
     assert sum(r.tokens * r.rows for r in small.collect()) <= 2000
 
 
+def plain_drawn(units, shares, seed=mixing.SEED):
+    """(name, epoch, token_start) of all units drawn, by loops; units: (key, source, name, tokens, rows)."""
+    md5 = lambda *parts: hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    out = []
+    for source, (n, epochs, rest) in shares.items():
+        own = [u for u in units if u[1] == source]
+        blocks = math.ceil(math.sqrt(n))
+        for epoch in range(epochs + (rest > 0)):
+            def place(u):
+                block = int(md5(seed, source, u[2])[:8], 16) % blocks
+                return (md5(seed, epoch, source, block), block, md5(seed, epoch, u[2]), u[3], u[0])
+
+            start = 0
+            for u in sorted(own, key=place):
+                size = u[3] * u[4]
+                if epoch < epochs or start + size <= rest:
+                    out.append((u[2], u[3], epoch, start))
+                start += size
+    return sorted(out)
+
+
+def test_permutations_equal_loops_with_ties(spark):
+    rng = random.Random(12)
+    docs = [(i, "x" * rng.randrange(300), rng.choice("aab")) for i in range(150)]
+    # Ties: units of one id that differ in tokens alone, and rows that repeat.
+    docs += [(5000, "y" * n, "a") for n in (4, 40, 400)] + [(5001, "z" * 9, "b")] * 5
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    units = Counter((i, s, str(i), -(-len(t) // 4)) for i, t, s in docs)
+    units = [(*u, n) for u, n in units.items()]
+    total = sum(u[3] * u[4] for u in units)
+    sizes = mixing.source_sizes(mixing.units(df, "doc_id", "source", mixing.text_tokens()))
+    e = mixing.solve_exponent(sizes, total, total, 1.5)
+    shares = {r.source: (r.units, r.epochs, r.rest) for r in mixing.allotted(sizes, total, total, e).collect()}
+    drawn = mixing.mixture(df, max_repeats=1.5).collect()
+    assert sorted((r.name, r.tokens, r.epoch, r.token_start) for r in drawn) == plain_drawn(units, shares)
+
+
+def test_a_covering_budget_leaves_nothing_out(spark):
+    rng = random.Random(3)
+    docs = [(i, "x" * rng.randrange(200), "big" if i % 9 else rng.choice(["s", "t"])) for i in range(400)]
+    docs += [(9000, None, "void"), (9001, "", None), (None, "no id", None)]
+    df = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, source string, n long")
+    drawn = mixing.mixture(df, max_repeats=2.0, tokens="n", cover=True).collect()
+    assert {r.key for r in drawn} == {d[0] for d in docs}
+    size, spent = Counter(), Counter()
+    for _, text, source in docs:
+        size[source or ""] += len(text or "")
+    for r in drawn:
+        spent[r.source] += r.tokens * r.rows
+    repeats = {s: spent[s] / size[s] for s in size if size[s]}
+    assert min(repeats.values()) == 1.0 and max(repeats.values()) <= 2.0
+    with pytest.raises(ValueError):
+        mixing.mixture(df, budget=5, cover=True)
+
+
 def test_empty_table_and_no_tokens(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mixture(spark.createDataFrame([], schema)).count() == 0

@@ -144,15 +144,17 @@ def encode(
     keep: Sequence[str] | None = None,
     decoded: bool = False,
     checked: bool = False,
+    ids: bool = True,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``n_tokens`` and ``ids``.
 
     ``ids`` is binary: little-endian unsigned 32-bit integers, one per token.
     Special tokens are ordinary text. On request come ``char_starts``, packed
     alike; ``decoded``, the bytes of the ids; and ``round_trip``, whether those
-    are the text's. One pass does it all, so a core holds one vocabulary.
+    are the text's. One pass does it all, so a core holds one vocabulary. Without
+    ``ids`` texts are only counted.
     """
-    added = {"n_tokens": "long", "ids": "binary"}
+    added = {"n_tokens": "long"} | ({"ids": "binary"} if ids else {})
     asked = {"char_starts": ("binary", offsets), "decoded": ("binary", decoded), "round_trip": ("boolean", checked)}
     added |= {name: kind for name, (kind, wanted) in asked.items() if wanted}
     kept = [c for c in without(docs, list(added)).columns if keep is None or c in keep]
@@ -162,15 +164,15 @@ def encode(
         encoder = Encoder(shared.value, pattern)
         for part in byte_slices(batches):
             texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-            ids, counts = encoder.on_end(texts)
-            new = [pa.array(counts, pa.int64()), binaries(ids.astype("<u4"), counts)]
+            found, counts = encoder.on_end(texts)
+            new = [pa.array(counts, pa.int64()), *([binaries(found.astype("<u4"), counts)] if ids else [])]
             if offsets:
                 sizes = _byte_table(shared.value)[2]
-                parts = np.split(ids, np.cumsum(counts)[:-1])
+                parts = np.split(found, np.cumsum(counts)[:-1])
                 starts = [character_starts(t, i.astype("<u4").tobytes(), sizes) for t, i in zip(texts, parts, strict=True)]
                 new.append(pa.array(starts, pa.binary()))
             if decoded or checked:
-                data = binaries(*_decoded(ids, counts, shared.value))
+                data = binaries(*_decoded(found, counts, shared.value))
                 same = pc.equal(data, pa.array(texts, pa.string()).cast(pa.binary()))
                 new += [data] * decoded + [same] * checked
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *added])

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tripflow.llm.common import cut, text_or_empty
 from tripflow.llm.graph import components
@@ -131,8 +132,10 @@ def signatures(docs: DataFrame, counts: np.ndarray, key: str, text: str, width:
                 names=["key", "n", "own", "cls", "prefix", "sketch"],
             )
 
-    source = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    return source.mapInArrow(run, "key long, n long, own long, cls binary, prefix array<long>, sketch array<long>")
+    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    longs = ArrayType(LongType())
+    schema = source.select("key").schema.add("n", "long").add("own", "long").add("cls", "binary")
+    return source.mapInArrow(run, schema.add("prefix", longs).add("sketch", longs))
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -171,7 +174,7 @@ def _sets(needed: DataFrame, docs: DataFrame, key: str, text: str, width: int) -
             classes = [xxhash.xxh3_128_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    source = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).select(bucket("key"), "text")
+    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).select(bucket("key"), "text")
     made = source.mapInArrow(run, "cls binary, shingles binary")
     # Copies make the same set many times; one of each class stays.
     return cut(join_on_hot_keys(made, needed.select("node", "cls"), ["cls"]).groupBy("node").agg(F.first("shingles").alias("shingles")))

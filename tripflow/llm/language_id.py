@@ -5,7 +5,7 @@
 - The language the markup declares, and the address's suffix: how often pages
   of a language carry them, smoothed, counted over all pages.
 - The host: a prior per host, shrunk toward its registered domain's, which is
-  shrunk toward the prior of all pages, by grouped sums.
+  shrunk toward the prior of all pages, by grouped sums that leave the page itself out.
 
 The trigram model is counted from texts of known language, at most
 ``MAX_TEXTS`` of each, those with the smallest hash of their id. It is a table
@@ -14,8 +14,9 @@ of fixed size per language. All statistics of pages cover all pages.
 Null or empty markup has no text and no declaration, a null address no host and
 no suffix; each is missing evidence and moves nothing, and a page without any
 gets the prior of all pages. Repeated rows count each. Equal posteriors go to the
-language first in order. Without any text of known language nothing can be told
-and an error says so. An empty table gives no rows. Other columns are not read.
+language first in order. Without any text of known language nothing can be told:
+languages and confidence are null. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripflow.llm.common import cut, text_or_empty
 from tripflow.operators.skew import join_on_hot_keys
+from tripflow.operators.topn import in_order, top_per_group
 
 MAX_TEXTS = 2000
 BUCKET_BITS = 16
@@ -62,10 +64,10 @@ def trigrams(text: str) -> np.ndarray:
 
 def trigram_model(texts: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = MAX_TEXTS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and for each the log-probability of every bucket."""
-    first = Window.partitionBy("lang").orderBy("mixed", "key")
     known = texts.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     brief = known.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("mixed"))
-    chosen = brief.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= limit).select("key", "lang").distinct()
+    first = top_per_group(brief, ["lang"], [F.asc("mixed"), *in_order(["key"])], limit, keys=[F.col("mixed")])
+    chosen = first.select("key", "lang").distinct()
     sample = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, ["key", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +85,6 @@ def trigram_model(texts: DataFrame, key: str = "doc_id", text: str = "text", lan
     counted = sample.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")
     frame = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**16 rows a language at most
     langs = sorted(frame["lang"].unique())
-    if not langs:
-        raise ValueError("no text of known language to count trigrams from")
     table = np.full((len(langs), 2**BUCKET_BITS), 0.1)
     for i, name in enumerate(langs):
         own = frame[frame["lang"] == name]
@@ -169,31 +169,40 @@ def _given(rows: DataFrame, column: str, prior: Column, n_langs: int) -> DataFra
 def languages(pages: DataFrame, model: tuple[list[str], np.ndarray], key: str = "page_id", markup: str = "html", url: str = "url") -> DataFrame:
     """(key, lang, confidence, text_lang, declared, suffix, host) of every page."""
     langs, n = model[0], len(model[0])
+    evidence = text_evidence(pages, key, markup, url, model)
+    if not langs:
+        unknown = F.lit(None).cast("string")
+        return evidence.select(
+            F.col("key").alias(key), unknown.alias("lang"), F.lit(None).cast("double").alias("confidence"),
+            unknown.alias("text_lang"), "declared", "suffix", "host",
+        )
     even = F.array(*[F.lit(1.0 / n)] * n)
-    rows = cut(
-        text_evidence(pages, key, markup, url, model).withColumn("weights", F.when(F.col("n_grams") > 0, _softmax(F.col("likelihood"))).otherwise(even))
-    )
+    rows = cut(evidence.withColumn("weights", F.when(F.col("n_grams") > 0, _softmax(F.col("likelihood"))).otherwise(even)))
     told = rows.filter("n_grams > 0")
     overall = told.agg(_sums(n).alias("sums")).first()["sums"]
     counts = [x or 0.0 for x in overall]
     prior = F.array(*[F.lit((c + 1.0) / (sum(counts) + n)) for c in counts])
-    domains = told.filter("domain IS NOT NULL").groupBy("domain").agg(_sums(n).alias("sums")).select(
-        "domain", _shrunk(F.col("sums"), prior, DOMAIN_PAGES).alias("domain_prior")
+    domains, hosts = (
+        told.filter(F.col(c).isNotNull()).groupBy(c).agg(_sums(n).alias(f"{c}_sums")) for c in ("domain", "host")
     )
-    hosts = told.filter("host IS NOT NULL").groupBy("host", "domain").agg(_sums(n).alias("sums"))
-    host_prior = hosts.join(domains, "domain", "left").select(
-        "host", _shrunk(F.col("sums"), F.coalesce("domain_prior", prior), HOST_PAGES).alias("host_prior")
-    )
-    joined = rows.withColumn("grams", F.col("n_grams"))
+    joined = rows
     for column, frame in (
-        ("host", host_prior),
+        ("host", hosts),
         ("domain", domains),
         ("declared", _given(told, "declared", prior, n)),
         ("suffix", _given(told, "suffix", prior, n)),
     ):
         joined = join_on_hot_keys(joined, frame, [column], "left")
     none = F.array(*[F.lit(0.0)] * n)
-    logged = F.transform(F.coalesce("host_prior", "domain_prior", prior), lambda x: F.log(x))
+    # A page is no evidence for its own prior: its part is taken out of the sums.
+    own = F.when(F.col("n_grams") > 0, F.transform("weights", lambda x: F.round(x, 6))).otherwise(none)
+
+    def others(column: str) -> Column:
+        return F.zip_with(F.coalesce(column, own), own, lambda s, x: F.greatest(s - x, F.lit(0.0)))
+
+    joined = joined.withColumn("domain_prior", _shrunk(others("domain_sums"), prior, DOMAIN_PAGES))
+    joined = joined.withColumn("host_prior", _shrunk(others("host_sums"), F.col("domain_prior"), HOST_PAGES))
+    logged = F.transform("host_prior", lambda x: F.log(x))
     fused = _softmax(_added(
         F.col("likelihood"), logged, F.coalesce("declared_says", none), F.coalesce("suffix_says", none)
     ))

@@ -152,7 +152,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
                     shorter = sums.size - extra
                     begin = np.arange(0, max(shorter, 1), BLOCK)
                     end = np.minimum(begin + BLOCK, shorter)
-                    mixed = (np.uint64(shorter) * _ODD + begin.astype(np.uint64)) * _ODD ^ sums.first[begin]
+                    mixed = (np.full(len(begin), shorter, dtype=np.uint64) * _ODD + begin.astype(np.uint64)) * _ODD ^ sums.first[begin]
                     mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD + sums.last[shorter - end]
                     rows = len(begin)
                     yield pa.RecordBatch.from_arrays(

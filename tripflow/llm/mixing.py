@@ -52,23 +52,27 @@ def source_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.sum(F.col("tokens") * F.col("rows")).alias("source_tokens"))
 
 
-def _measured(sizes: DataFrame, total: int, budget: int, exponents: list[float]) -> list[tuple[float, float, float]]:
-    """(sum of powers, entropy, most repeats) of each exponent, by one aggregation over the sources."""
+def _measured(sizes: DataFrame, total: int, budget: int | None, exponents: list[float]) -> list[tuple[float, float, float, float]]:
+    """(sum of powers, entropy, most repeats, budget) of each exponent, by one aggregation over the sources.
+
+    Without a budget it is the least that reads every source once.
+    """
     share = F.col("source_tokens") / F.lit(float(total))
     columns = []
     for e in exponents:
         power = F.pow(share, F.lit(e))
-        columns += [F.sum(power), F.sum(power * F.log(power)), F.max(power / share)]
+        columns += [F.sum(power), F.sum(power * F.log(power)), F.max(power / share), F.min(power / share)]
     row: Row = sizes.filter("source_tokens > 0").agg(*columns).first()
     found = []
     for i in range(len(exponents)):
-        z, inner, most = row[3 * i : 3 * i + 3]
+        z, inner, most, least = row[4 * i : 4 * i + 4]
+        spent = total * z / least if budget is None else budget
         # H = ln Z - sum(u ln u) / Z; a source repeats weight * budget / tokens times.
-        found.append((z, math.log(z) - inner / z, most / z * budget / total))
+        found.append((z, math.log(z) - inner / z, most / z * spent / total, spent))
     return found
 
 
-def solve_exponent(sizes: DataFrame, total: int, budget: int, max_repeats: float | None = None, entropy: float | None = None) -> float:
+def solve_exponent(sizes: DataFrame, total: int, budget: int | None, max_repeats: float | None = None, entropy: float | None = None) -> float:
     """The flattest exponent that keeps to both limits; 0 where none is given.
 
     ``entropy`` (in nats) is met from above: the weights have at least it, as
@@ -93,17 +97,26 @@ def solve_exponent(sizes: DataFrame, total: int, budget: int, max_repeats: float
     return steps / 2**STEPS
 
 
-def allotted(sizes: DataFrame, total: int, budget: int, exponent: float) -> DataFrame:
-    """(source, units, weight, source_budget, epochs, rest) per source with tokens."""
-    z = _measured(sizes, total, budget, [exponent])[0][0]
+def allotted(sizes: DataFrame, total: int, budget: int | None, exponent: float) -> DataFrame:
+    """(source, units, weight, source_budget, epochs, rest) per source with tokens.
+
+    Without a budget a source gets an epoch at least, also one without tokens.
+    """
+    z, _, _, spent = _measured(sizes, total, budget, [exponent])[0]
     weight = F.pow(F.col("source_tokens") / F.lit(float(total)), F.lit(exponent)) / F.lit(z)
-    return (
+    own = F.round(F.col("weight") * spent).cast("long")
+    if budget is None:
+        whole = {"weight": F.lit(0.0), "source_budget": F.lit(0).cast("long"), "epochs": F.lit(1).cast("long"), "rest": F.lit(0).cast("long")}
+        without_tokens = sizes.filter("source_tokens = 0").withColumns(whole)
+        own = F.greatest(own, F.col("source_tokens"))
+    given = (
         sizes.filter("source_tokens > 0")
         .withColumn("weight", weight)
-        .withColumn("source_budget", F.round(F.col("weight") * budget).cast("long"))
+        .withColumn("source_budget", own)
         .withColumn("epochs", F.expr("source_budget DIV source_tokens"))
         .withColumn("rest", F.expr("source_budget % source_tokens"))
     )
+    return given.unionByName(without_tokens) if budget is None else given
 
 
 def _order(*parts) -> Column:
@@ -147,14 +160,25 @@ def mixture(
     max_repeats: float | None = 2.0,
     entropy: float | None = None,
     seed: int = SEED,
+    tokens: str | None = None,
+    cover: bool = False,
 ) -> DataFrame:
-    """The units of the mixture; ``budget`` in tokens is the corpus's own size where not given."""
-    parts = cut(units(docs, key, source, text_tokens(text), text))
+    """The units of the mixture; ``budget`` in tokens is the corpus's own size where not given.
+
+    With ``cover`` the budget is the least at which every source is read once in
+    full, so no unit is left out and the others repeat.
+    ``tokens`` names a column of token counts (null: none); without it they are
+    estimated from bytes by `text_tokens`.
+    """
+    counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")) if tokens else text_tokens(text)
+    parts = cut(units(docs, key, source, counted, text))
     sizes = cut(source_sizes(parts))
     total = sizes.agg(F.sum("source_tokens")).first()[0] or 0
     if not total:
         empty = parts.withColumn("epoch", F.lit(0)).withColumn("token_start", F.lit(0).cast("long"))
-        return empty.filter("false")
-    budget = total if budget is None else budget
+        return empty if cover else empty.filter("false")
+    if cover and budget is not None:
+        raise ValueError("give a budget or cover, not both")
+    budget = None if cover else total if budget is None else budget
     exponent = solve_exponent(sizes, total, budget, max_repeats, entropy)
     return permuted(parts, allotted(sizes, total, budget, exponent), seed)

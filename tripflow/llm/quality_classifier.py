@@ -34,7 +34,7 @@ MAX_LABELLED = 50_000
 KEEP = 0.5
 # Prior strength, in documents, where sites show no spread beyond chance, and its least.
 STRENGTHS = (1.0, 1000.0)
-_EVIDENCE = 12.0
+_BIN_BITS = 12
 _RIDGE = 1e-3
 
 _CLASSES = {
@@ -81,8 +81,13 @@ def shapes(docs: DataFrame, key: str, host: Column, path: Column, text: str) ->
 
 def fit(shaped: DataFrame, limit: int = MAX_LABELLED) -> np.ndarray | None:
     """Weights (intercept first) of a ridge-penalised logistic model, by Newton steps on a bounded sample."""
-    labelled = shaped.filter("label IS NOT NULL AND size(shape) > 0").select("key", "shape", "label")
-    sample = labelled.orderBy(F.xxhash64("key"), "key", "shape").limit(limit).toPandas()
+    labelled = shaped.filter("label IS NOT NULL AND size(shape) > 0").select("key", "shape", "label").distinct()
+    # Rows by the leading bits of their hash; as many whole bins as the limit allows.
+    bin_ = F.shiftrightunsigned(F.xxhash64("key"), 64 - _BIN_BITS)
+    counts = {row["bin"]: row["count"] for row in labelled.groupBy(bin_.alias("bin")).count().collect()}
+    upto = np.cumsum([counts.get(i, 0) for i in range(2**_BIN_BITS)])
+    sample = labelled.filter(bin_ < int(np.searchsorted(upto, limit, side="right"))).toPandas()
+    sample = sample.sort_values(["key", "label"], kind="stable")
     if sample["label"].nunique() < 2:
         return None
     x = np.column_stack([np.ones(len(sample)), np.array(sample["shape"].tolist())])
@@ -142,7 +147,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key:
         terms = [F.col("shape")[i] * float(w) for i, w in enumerate(weights[1:])]
         logit = F.when(seen, sum(terms, F.lit(float(weights[0]))))
         base = _base_logit(shaped)
-    evidence = F.coalesce(F.least(F.greatest(logit - base, F.lit(-_EVIDENCE)), F.lit(_EVIDENCE)), F.lit(0.0))
+    evidence = F.coalesce(logit - base, F.lit(0.0))
     # Rounded, so that sums per site do not depend on their order.
     alone = F.round(1 / (1 + F.exp(-(evidence + base))), 6).cast("decimal(9,6)")
     judged = shaped.select("key", "host", "path", evidence.alias("evidence"), F.coalesce(F.col("label").cast("decimal(9,6)"), alone).alias("good"))
