@@ -2,8 +2,7 @@
 
 The stages, in order: the quality classifier drops what it rejects, line dedup
 takes out repeated lines, the Jaccard join keeps one document of each group of
-near copies, mixing repeats or leaves out documents so that sources meet their
-weights, and byte-level BPE turns texts into ids, checked by decoding them.
+near copies, mixing repeats documents so that sources meet their weights, and byte-level BPE turns texts into ids, checked by decoding them.
 
 Rows are told apart by their id and text together, so missing or repeated ids
 harm no other row. A null text passes all stages as a document without words.
@@ -19,13 +18,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tripflow.llm import bpe, jaccard_join, line_dedup, mixing, quality_classifier
 from tripflow.llm.common import shared_folder, table, written
 from tripflow.llm.queries import MAX_REPEATS, ranks
+from tripflow.operators.skew import join_on_hot_keys
 
 # Near copies: word shingles of five, four fifths or more in common.
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+
+
 def _row() -> Column:
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("__row")
+    """A row's name: 125 bits of hashes of its id and text, as a number that aggregates by hash."""
+    parts = ["doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()]
+    high, low = F.xxhash64(*parts), F.shiftrightunsigned(F.xxhash64(F.lit("~"), *parts), 2)
+    wide = high.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)")
+    return (wide + low.cast("decimal(19,0)")).cast("decimal(38,0)").alias("__row")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,16 +65,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for: a row for every epoch."""
-    drawn = mixing.mixture(docs, max_repeats=MAX_REPEATS)
-    rows = docs.select(
+    """Documents as often as their source's weight asks for: a row for every epoch.
+
+    Tokens are counted by the tokenizer of the last stage. The budget is the least
+    at which the source with the smallest weight for its size is read once in
+    full, so no document is left out; the others repeat, twice at most.
+    """
+    counted = bpe.encode(docs.select(*docs.columns, _row()), ranks(), public_tokenizers.PATTERN, keep=["__row"], ids=False)
+    # Rows that are the same have the same count.
+    tokens = written(counted.groupBy("__row").agg(F.first("n_tokens").alias("__tokens")), _folder(spark))
+    rows = join_on_hot_keys(docs.select("*", _row()), tokens, ["__row"])
+    drawn = mixing.mixture(rows, max_repeats=MAX_REPEATS, tokens="__tokens", cover=True)
+    named = rows.select(
         "*",
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"),
         mixing.unit_name("doc_id", "text").alias("__name"),
-        mixing.text_tokens().alias("__tokens"),
     )
     keys = drawn.select(F.col("source").alias("__source"), F.col("name").alias("__name"), F.col("tokens").alias("__tokens"))
-    return rows.join(keys, ["__source", "__name", "__tokens"]).select(*docs.columns)
+    return named.join(keys, ["__source", "__name", "__tokens"]).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +106,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; the folders of the stages lie in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
     return docs
