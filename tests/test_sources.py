@@ -6,9 +6,10 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tests.test_trips import frame, trip
-from tripflow.operators import flows
+from tripflow.functions.geo import OD_COLUMNS
+from tripflow.operators import flows, regions
 from tripflow.sources import catalog, gtfs, sinks
-from tripflow.sources.trips import read_population, read_segments, read_trips, stack_datasets
+from tripflow.sources.trips import read_population, read_segments, read_trips, stack_datasets, write_trips
 
 FEED = "﻿trip_id,stop_id,arrival_time,departure_time,stop_sequence,extra\na,A,08:00:00,08:00:10,1,x\na,B,25:10:00,,two,\n"
 OTHER_ORDER = "stop_sequence,departure_time,trip_id,stop_id,arrival_time\n3,09:00:00,b,C,09:00:00\n"
@@ -30,6 +31,33 @@ def test_trips_are_read_by_partition_with_filters_at_the_scan(spark, tmp_path):
     assert "mode" in scanned and "distance_miles" not in scanned and "network" not in scanned
 
 
+def scanned_rows(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_box_reads_few_rows_of_trips_clustered_by_both_ends(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    ids = spark.range(200_000)
+    spread = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(10_000)) / 10_000
+    wide = ids.select(
+        F.lit("Q2 Thursday").alias("dataset"), F.col("id").alias("person_id"), F.lit("WALKING").alias("mode"),
+        (36.8 + 1.8 * spread(1)).alias("start_lat"), (-122.8 + 1.8 * spread(2)).alias("start_lng"),
+        (36.8 + 1.8 * spread(3)).alias("end_lat"), (-122.8 + 1.8 * spread(4)).alias("end_lng"),
+    )
+    odd = spark.createDataFrame([("Q2 Thursday", -1, None, None, float("nan"), 999.0, 38.0)],
+                                "dataset string, person_id long, mode string, start_lat double, start_lng double, end_lat double, end_lng double")
+    trips = wide.unionByName(odd)
+    write_trips(trips, str(tmp_path / "near"), rows_per_page=1000)
+    trips.write.partitionBy("dataset").option("parquet.page.row.count.limit", 1000).parquet(str(tmp_path / "far"))
+    near, far = (regions.od_bbox(read_trips(spark, str(tmp_path / x)).select("dataset", "person_id", "mode", *OD_COLUMNS)) for x in ("near", "far"))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    assert read_trips(spark, str(tmp_path / "near")).count() == 200_001
+    assert scanned_rows(far) > 150_000 and scanned_rows(near) < 0.15 * scanned_rows(far)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_population_and_segments_by_season(spark, tmp_path):
     spark.createDataFrame([("Q2", 1)], "season string, person_id long").write.partitionBy(
         "season").parquet(str(tmp_path / "p"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripflow.functions import style
 from tripflow.functions.numbers import round_places
-from tripflow.operators import flows, layers, modes, regions
+from tripflow.operators import flows, layers, modes, prefilter, regions
 from tripflow.operators.topn import in_order, top_per_group
 from tripflow.sources.trips import TRIPS
 
@@ -195,3 +195,40 @@ def test_statistics_count_more_flows_than_are_drawn(spark):
     (report,) = reports.dataset_report(trips).collect()
     for row in (stats, report):
         assert (row.total_route_instances, row.max_route_frequency, row.avg_route_frequency) == (3000, 1, 1.0)
+
+
+def test_people_are_filtered_at_the_scan_and_the_rows_stay_the_same(spark):
+    rng = random.Random(4)
+    rows = [trip(person_id=rng.randrange(20_000), dataset=rng.choice(["Q2 Thursday", "Q4 Saturday"])) for _ in range(4000)]
+    trips = frame(spark, rows)
+    people = spark.createDataFrame([(s, p) for s in ("Q2", "Q4") for p in range(0, 20_000, 40)] + [(None, 1), ("Q2", None)],
+                                   "season string, person_id long")
+    want = sum(1 for r in rows if r["person_id"] % 40 == 0)
+    found = flows.with_population(trips, people)
+    assert found.count() == want == flows.trips_with_population(trips, people).count()
+    cells = prefilter.key_filter(people, ["season", "person_id"])
+    passed = trips.filter(prefilter.may_have_key(cells, [flows.season_of(), F.col("person_id")])).count()
+    assert want <= passed < want + 0.12 * len(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "substring(0x" in plan[plan.index("Filter"):].split("Exchange")[0] or "substring(" in plan
+
+
+def test_a_population_beyond_the_filter_is_joined_without_one(spark, monkeypatch):
+    monkeypatch.setattr(prefilter, "MAX_CELLS", 1024)
+    people = spark.range(3000).selectExpr("'Q2' AS season", "id AS person_id")
+    assert prefilter.key_filter(people, ["season", "person_id"]) is None
+    assert flows.with_population(frame(spark, [trip(person_id=5), trip(person_id=5000)]), people).count() == 1
+
+
+def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
+    rng = random.Random(5)
+    rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))
+            for _ in range(20_000)]
+    trips = frame(spark, rows).repartition(6)
+    sketches = modes.duration_sketches(trips)
+    assert sketches.count() == 60
+    merged = modes.merged_quantiles(sketches)
+    assert {r.mode: r.trips for r in merged.collect()} == Counter(r["mode"] for r in rows)
+    assert all(r.rank_error <= 0.01 for r in modes.rank_errors(trips, merged).collect())
+    tail = modes.merged_quantiles(sketches, share=0.9, name="p90")
+    assert all(r.rank_error <= 0.01 for r in modes.rank_errors(trips, tail, share=0.9, name="p90").collect())

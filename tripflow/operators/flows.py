@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS, valid_od
 from tripflow.functions.style import known_mode
+from tripflow.operators.prefilter import key_filter, may_have_key
 from tripflow.operators.skew import join_on_hot_keys
 from tripflow.operators.topn import in_order, top_per_group
 
@@ -29,11 +30,14 @@ def with_population(trips: DataFrame, population: DataFrame) -> DataFrame:
 
     The inner join repeats a trip once per population row of its person, so
     counting with ``copies`` as weight equals counting after that join while
-    no person meets its copies pair by pair.
+    no person meets its copies pair by pair. Where a filter can hold the
+    population, trips of other people drop at the scan, before they are shuffled.
     """
     people = population.groupBy("season", "person_id").agg(F.count(F.lit(1)).alias("copies"))
+    cells = key_filter(population.select("season", F.col("person_id").cast("long").alias("person_id")), ["season", "person_id"])
+    known = may_have_key(cells, [season_of(), F.col("person_id").cast("long")])
     return join_on_hot_keys(
-        trips.withColumn("season", season_of()), people, ["season", "person_id"]
+        trips.filter(known).withColumn("season", season_of()), people, ["season", "person_id"]
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripflow.functions.geo import OD_COLUMNS
@@ -126,3 +128,49 @@ def mode_statistics(trips: DataFrame, accuracy: int = 10_000) -> DataFrame:
         .drop("r_dataset", "r_mode")
         .fillna(0, ["unique_routes"])
     )
+
+
+# Items a quantile sketch keeps per level: ranks are within half a percent or so.
+SKETCH_ITEMS = 1024
+
+
+def duration_sketches(trips: DataFrame, by: Sequence[str] = ("dataset", "mode", "day_type", "quarter")) -> DataFrame:
+    """A mergeable quantile sketch of the durations of each group, with its bounds.
+
+    A sketch has a size that hardly grows with the trips. Stored, it stands for
+    them: new days add sketches, and no old trip is read again.
+    """
+    return trips.filter(usable()).groupBy(*by).agg(
+        F.kll_sketch_agg_double("duration_minutes", F.lit(SKETCH_ITEMS)).alias("sketch"),
+        F.count(F.lit(1)).alias("trips"),
+        F.min("duration_minutes").alias("shortest"),
+        F.max("duration_minutes").alias("longest"),
+    )
+
+
+def merged_quantiles(
+    sketches: DataFrame, by: Sequence[str] = ("dataset", "mode"), share: float = 0.5, name: str = "median_duration_min"
+) -> DataFrame:
+    """Trips and a quantile of the durations of each group, from its sketches alone."""
+    merged = sketches.groupBy(*by).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+        F.sum("trips").alias("trips"),
+        F.min("shortest").alias("shortest"),
+        F.max("longest").alias("longest"),
+    )
+    quantile = F.kll_sketch_get_quantile_double("sketch", F.lit(share))
+    return merged.select(*by, "trips", "shortest", "longest", quantile.alias(name))
+
+
+def rank_errors(
+    trips: DataFrame, quantiles: DataFrame, by: Sequence[str] = ("dataset", "mode"), share: float = 0.5,
+    name: str = "median_duration_min",
+) -> DataFrame:
+    """How far the rank of each quantile lies from ``share`` among the trips themselves."""
+    renamed = quantiles.select(*[F.col(c).alias(f"q_{c}") for c in by], F.col(name).alias("quantile"))
+    same = [F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in by]
+    ranks = trips.filter(usable()).join(renamed, same).groupBy(*by).agg(
+        (F.count_if(F.col("duration_minutes") < F.col("quantile")) / F.count(F.lit(1))).alias("below"),
+        (F.count_if(F.col("duration_minutes") <= F.col("quantile")) / F.count(F.lit(1))).alias("upto"),
+    )
+    return ranks.select(*by, F.greatest(F.col("below") - share, share - F.col("upto"), F.lit(0.0)).alias("rank_error"))

@@ -476,6 +476,9 @@ LEFT JOIN (FROM frequent WHERE rank = 1) f USING (dataset)""",
 }
 
 
+BODIES["stored_od_box"] = BODIES["od_bbox_trips"]
+BODIES["mode_medians_merged"] = """SELECT dataset, mode, count(*) AS trips, min(duration_minutes) AS shortest,
+  max(duration_minutes) AS longest, true AS within FROM usable GROUP BY ALL"""
 for _same in ("gtfs_feed_folders", "gtfs_feed_zips"):
     BODIES[_same] = BODIES["gtfs_stop_times"]
 BODIES["layer_files"] = BODIES["layer_features"]

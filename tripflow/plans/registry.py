@@ -11,13 +11,15 @@ from tripflow.functions.geo import OD_COLUMNS, points_text
 from tripflow.operators import context, flows, layers, modes, regions, reports, routes, schedule
 from tripflow.plans import inputs
 from tripflow.sources import catalog, gtfs, sinks
-from tripflow.sources.shared import shared_folder
-from tripflow.sources.trips import stack_datasets
+from tripflow.sources.shared import partition_folders, shared_folder, written
+from tripflow.sources.trips import TRIPS, read_parquet, read_trips, stack_datasets, write_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AGENCIES = (inputs.RAIL, inputs.BUS)
 REGION_LABEL = "East to Bay"
+# Ranks of merged medians may be off by so much.
+MEDIAN_RANK_ERROR = 0.01
 
 
 def _trip_query(job: Callable[[DataFrame], DataFrame]) -> Query:
@@ -51,15 +53,38 @@ def companion_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datasets_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trips = inputs.trips(spark, sf_dir)
-    # As many names as there are trip tables.
-    labels = [row[0] for row in trips.select("dataset").distinct().collect()]
-    apart = {x: trips.filter(F.col("dataset") == x).drop("dataset") for x in labels}
+    """Tables stored apart, one per dataset, stacked under their labels."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    inputs.trips(spark, sf_dir).write.partitionBy("dataset").parquet(folder)
+    apart = {label: read_parquet(spark, path, TRIPS) for label, path in partition_folders(spark, folder, "dataset").items()}
     return stack_datasets(apart).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("trip_count"), F.sum("distance_miles").alias("distance_miles")
     )
 
 
+def _box_trips(trips: DataFrame) -> DataFrame:
+    return regions.od_bbox(trips).select("dataset", "person_id", "mode", *OD_COLUMNS)
+
+
+def stored_od_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips between two boxes, out of a table clustered by both ends."""
+    folder = f"{shared_folder(spark)}/trips-{uuid.uuid4().hex}"
+    write_trips(inputs.trips(spark, sf_dir), folder)
+    return _box_trips(read_trips(spark, folder))
+
+
+def mode_medians_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians from stored sketches of each day type, held against the trips."""
+    trips = inputs.trips(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches = written(modes.duration_sketches(trips), folder)
+    merged = modes.merged_quantiles(sketches)
+    errors = modes.rank_errors(trips, merged).withColumn("within", F.col("rank_error") <= MEDIAN_RANK_ERROR)
+    named = errors.select(F.col("dataset").alias("d"), F.col("mode").alias("m"), "within")
+    same = F.col("dataset").eqNullSafe(F.col("d")) & F.col("mode").eqNullSafe(F.col("m"))
+    return merged.join(named, same).select("dataset", "mode", "trips", "shortest", "longest", "within")
+
+
 def gtfs_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(inputs.stop_times(spark, sf_dir))
 
@@ -292,9 +317,8 @@ QUERIES: dict[str, Query] = {
     "valid_coords": _trip_query(
         lambda t: flows.valid_coords(t).select("dataset", "person_id", "mode", *OD_COLUMNS)
     ),
-    "od_bbox_trips": _trip_query(
-        lambda t: regions.od_bbox(t).select("dataset", "person_id", "mode", *OD_COLUMNS)
-    ),
+    "od_bbox_trips": _trip_query(_box_trips),
+    "stored_od_box": stored_od_box,
     "quarter_daytype": _trip_query(regions.quarter_daytype),
     # Flows
     "od_flows": _trip_query(lambda t: flows.od_flows(flows.valid_coords(t))),
@@ -308,6 +332,7 @@ QUERIES: dict[str, Query] = {
     "mode_summary": _trip_query(modes.mode_summary),
     "mode_ranking": _trip_query(modes.mode_ranking),
     "mode_popularity": _trip_query(modes.mode_popularity),
+    "mode_medians_merged": mode_medians_merged,
     "mode_statistics": _trip_query(modes.mode_statistics),
     "route_frequency": _trip_query(modes.route_frequency),
     "frequent_trips": _trip_query(modes.frequent_trips),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,10 @@ def discard(*cuts: DataFrame) -> None:
     """Delete the files of cuts that no later job reads."""
     for df in cuts:
         delete_folder(df.sparkSession, df.cut_folder)
+
+
+def partition_folders(spark: SparkSession, folder: str, column: str) -> dict[str, str]:
+    """The folders of a table partitioned by a text column, by value."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{column}=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return {unquote(s.getPath().getName().split("=", 1)[1]): s.getPath().toString() for s in found}
