@@ -114,13 +114,18 @@ def rules(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover))
 
 
+def running(text, order):
+    """The words of a text with single gaps, padded; nothing without words."""
+    words = WORD.findall(text or "")
+    return " " * (order - 1) + " ".join(words) + " " if words else ""
+
+
 def kneser_ney(texts, order):
-    """prob(char, context) of an interpolated modified Kneser-Ney model over padded words."""
+    """prob(char, context) of an interpolated modified Kneser-Ney model over running texts."""
     counts = Counter()
     for text in texts:
-        for word in WORD.findall(text or ""):
-            padded = " " * (order - 1) + word + " "
-            counts.update(padded[e - order : e] for e in range(order, len(padded) + 1))
+        padded = running(text, order)
+        counts.update(padded[e - order : e] for e in range(order, len(padded) + 1))
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])

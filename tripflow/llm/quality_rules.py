@@ -1,16 +1,20 @@
 """Quality rules: shape counts of a text and the perplexity its language gives it.
 
-Two models are counted by Spark over all texts, each per language: a modified
-Kneser-Ney model over the characters of single words, and one over longer grams
-that run across words, in which an occurrence is judged by all others. Both are
-looked up by their full 64-bit hashes: the most frequent grams in a broadcast
-table of fixed size, all others by a join. Each language then has a lower and an
-upper band of the second perplexity, a median over windows, which quoted
-passages move little; documents outside of it are rejected.
+A modified Kneser-Ney model per language is counted by Spark over all texts:
+grams of ``ORDER`` characters that run across words. Texts fall into two folds
+by hash, so that copies share one; a text is judged by the model of the other
+fold and does not vouch for itself. Each language then has a lower and an upper
+band of perplexity, a median over windows, which quoted passages move little;
+documents outside of it are rejected.
+
+Probabilities are looked up by the full 64-bit hash of (fold, language, gram):
+the most frequent grams in a sorted array of bounded size that is broadcast, with
+an index over its hash ranges, all others by a join.
 
 Null text: no words, all counts 0. Null language: a language of its own.
-Documents without words have no perplexity. Bands of languages with few
-documents are drawn toward the band of all languages.
+Documents without words have no perplexity, nor have those whose language has
+no text in the other fold; the base rules alone judge them. Widths of the bands of
+languages with few documents are drawn toward those of all languages.
 Equal rows get equal results, an empty table an empty one; of the columns only
 the named ones are read.
 """
@@ -19,7 +23,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,150 +30,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from tripflow.llm.common import cut, text_or_empty
+from tripflow.llm.common import byte_slices, cut, discard, text_or_empty
 
-ORDER = 4
-# Grams of the running text, and the shorter ones they are drawn toward.
-RUN_ORDER = 6
-RUN_WIDTHS = (2, 4, RUN_ORDER)
-PULL = 5.0
-# Slots of the table of frequent grams that spares most lookups: 16 bytes each.
+ORDER = 5
+# Entries of the broadcast array of frequent grams, 16 bytes each, and the bits of its index.
+NEAR, INDEX_BITS = 2**20, 20
 SLOT_BITS = 20
 # Log-probabilities are summed as whole numbers, so no order of adding shows.
 UNIT = 1_000_000_000
 # Characters of a window, and those a worker gathers before it counts.
 WINDOW = 200
 RUNNING = 8_000_000
-# Entries a worker gathers before it hands them on; sums do not depend on it.
-GATHERED = 200_000
-# Documents that the bands of all languages count for in the band of each.
+# Documents that the widths of all languages count for in the band of each.
 PRIOR_DOCS = 50
 # A band reaches so many quartile distances below and above the median, and
-# further for short texts, whose mean over few words scatters more. Chosen on
+# further for short texts, whose median over few windows scatters more. Chosen on
 # one half of the labelled documents; the README gives the shares of the other.
 REACH_BELOW = 5.0
 REACH_ABOVE = 4.0
 SHORT_WORDS = 40
-BIN = 0.01
-
-# Documents whose words are looked up together.
-_TOGETHER = 256
+# Width of a histogram bin, and the least quartile distance.
+BIN, LEAST = 0.001, 0.005
 
 _WHITE = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
 _FAR = pa.list_(pa.struct([("part", pa.int32()), ("hash", pa.int64()), ("n", pa.int32())]))
 
 
-def _grams(words: Counter) -> Counter:
-    found: Counter = Counter()
-    for word, n in words.items():
-        padded = " " * (ORDER - 1) + word.decode() + " "
-        for end in range(ORDER, len(padded) + 1):
-            found[padded[end - ORDER : end]] += n
-    return found
-
-
-def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): how often each character gram of full order stands in all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        grams: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for name, counted in grams.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(counted), pa.string()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())],
-                    names=["lang", "gram", "n"],
-                )
-            grams.clear()
-
-        def spell() -> None:
-            for name, counted in words.items():
-                grams.setdefault(name, Counter()).update(_grams(counted))
-            words.clear()
-
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words.setdefault(name, Counter()).update(body.as_py().encode().split())
-                if sum(map(len, words.values())) > GATHERED:
-                    spell()
-                    if sum(map(len, grams.values())) > GATHERED:
-                        yield from out()
-        spell()
-        yield from out()
-
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")), text_or_empty(text))
-    counted = source.mapInArrow(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, gram, log_p, log_backoff) of an interpolated modified Kneser-Ney model.
-
-    ``log_p`` is null for strings seen as contexts only, ``log_backoff`` for
-    strings that are no context. The empty string holds the uniform base.
-    Lower orders count the distinct characters that stand before a gram.
-    """
-    size = F.length("gram")
-    tails = counts.select("lang", F.explode(F.expr(f"transform(sequence(1, {ORDER - 1}), k -> right(gram, k + 1))")).alias("wide"))
-    lower = tails.distinct().groupBy("lang", F.expr("substring(wide, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    grams = cut(counts.unionByName(lower).withColumn("k", size))
-
-    levels = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    met = grams.groupBy("lang", "k").agg(*levels, F.count(F.lit(1)).alias("types"))
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-
-    def discount(i: int) -> Column:
-        # Where too few grams were seen i times the middle of the allowed range serves.
-        value = F.lit(i) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        return F.coalesce(F.when((value > 0) & (value < i), value), F.lit(i / 2)).alias(f"d{i}")
+def _fold_name(text: Column, lang: str) -> Column:
+    """The fold of a text, 0 or 1, before the name of its language; equal texts share a fold."""
+    fold = F.pmod(F.xxhash64(text), F.lit(2)).cast("string")
+    return F.concat(fold, F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("name")
 
-    discounts = met.select("lang", "k", *[discount(i) for i in (1, 2, 3)])
-    base = met.filter("k = 1").select("lang", (1.0 / (F.col("types") + 1)).alias("uniform"))
 
-    context = F.expr("left(gram, k - 1)").alias("context")
-    spread = grams.groupBy("lang", "k", context).agg(
-        F.sum("n").alias("total"),
-        *[F.count(F.when(F.col("n") == i, 1)).alias(f"t{i}") for i in (1, 2)],
-        F.count(F.when(F.col("n") > 2, 1)).alias("t3"),
-    )
-    backoff = spread.join(discounts, ["lang", "k"]).withColumn(
-        "b", sum(F.col(f"d{i}") * F.col(f"t{i}") for i in (1, 2, 3)) / F.col("total")
-    )
-    own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    shares = cut(
-        grams.withColumn("context", context)
-        .join(backoff, ["lang", "k", "context"])
-        .select("lang", "k", "gram", "b", (F.greatest(F.col("n") - own, F.lit(0.0)) / F.col("total")).alias("a"))
-    )
-    # p(gram) = a_k + b_k (a_k-1 + b_k-1 (... + b_1 * uniform)), over the gram's tails.
-    tail = F.explode(F.expr("transform(sequence(1, k), j -> right(gram, j))")).alias("tail")
-    parts = (
-        shares.select("lang", "gram", tail)
-        .join(shares.select("lang", F.col("gram").alias("tail"), "k", "a", "b"), ["lang", "tail"])
-        .groupBy("lang", "gram")
-        .agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, ORDER + 1) for c in "ab"])
-        .join(base, "lang")
-    )
-    p = reduce(
-        lambda below, k: F.when(F.col(f"a{k}").isNull(), below).otherwise(F.col(f"a{k}") + F.col(f"b{k}") * below),
-        range(1, ORDER + 1),
-        F.col("uniform"),
-    )
-    nothing = F.lit(None).cast("double")
-    return (
-        parts.select("lang", "gram", F.log(p).alias("log_p"), nothing.alias("log_backoff"))
-        .unionByName(backoff.select("lang", F.col("context").alias("gram"), nothing.alias("log_p"), F.log("b").alias("log_backoff")))
-        .unionByName(base.select("lang", F.lit("").alias("gram"), F.log("uniform").alias("log_p"), nothing.alias("log_backoff")))
-        .groupBy("lang", "gram")
-        .agg(F.max("log_p").alias("log_p"), F.max("log_backoff").alias("log_backoff"))
-    )
+def _other(name: str = "name") -> Column:
+    """The same language in the other fold."""
+    return F.concat(F.translate(F.substring(name, 1, 1), "01", "10"), F.expr(f"substring({name}, 2)"))
 
 
 def _running(words: list[bytes]) -> str:
-    """The words in their order with single gaps, padded as each word of the other model is."""
-    return " " * (RUN_ORDER - 1) + b" ".join(words).decode() + " " if words else ""
+    """The words in their order with single gaps, padded before and closed by a gap."""
+    return " " * (ORDER - 1) + b" ".join(words).decode() + " " if words else ""
 
 
 def _distinct(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,67 +92,122 @@ def _distinct(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         mixed ^= mixed >> np.uint64(31)
 
 
-def running_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): how often each gram of ``RUN_ORDER`` characters stands in the running texts."""
+def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(name, gram, n): how often each gram of ``ORDER`` characters stands in the texts of a fold and language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = {}
         sizes: Counter = Counter()
 
         def out(name: str) -> Iterator[pa.RecordBatch]:
-            # Padding between texts is left out again where a gram would end in it.
-            joined = "".join(held.pop(name))
+            runs = held.pop(name)
+            del sizes[name]
+            joined = "".join(runs)
+            # Grams that would end in the padding of a text are left out.
             inside = np.ones(len(joined), dtype=bool)
-            starts = np.cumsum([0, *lengths.pop(name)[:-1]])
-            for back in range(RUN_ORDER - 1):
+            starts = np.cumsum([0, *map(len, runs)])[:-1]
+            for back in range(ORDER - 1):
                 inside[starts + back] = False
             ends = np.flatnonzero(inside)
-            del sizes[name]
-            for first, n in _distinct(_hashes(_codes(joined), RUN_ORDER, name)[ends]):
-                grams = [joined[i - RUN_ORDER + 1 : i + 1] for i in ends[first].tolist()]
+            for first, n in _distinct(_hashes(_codes(joined), ORDER, name)[ends]):
+                grams = [joined[i - ORDER + 1 : i + 1] for i in ends[first].tolist()]
                 for at in range(0, len(grams), 50_000):
                     some = grams[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(n[at : at + 50_000], pa.int64())],
-                        names=["lang", "gram", "n"],
+                        names=["name", "gram", "n"],
                     )
 
-        lengths: dict[str, list[int]] = {}
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not (one := _running(body.as_py().encode().split())):
+        for batch in byte_slices(batches):
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not (one := _running(body.encode().split())):
                     continue
                 held.setdefault(name, []).append(one)
-                lengths.setdefault(name, []).append(len(one))
                 sizes[name] += len(one)
                 if sizes.total() > RUNNING:
                     yield from out(max(sizes, key=sizes.get))
         for name in list(held):
             yield from out(name)
 
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")), text_or_empty(text))
-    counted = source.mapInArrow(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    body = text_or_empty(text)
+    counted = docs.select(_fold_name(body, lang), body.alias("text")).mapInArrow(run, "name string, gram string, n long")
+    return counted.groupBy("name", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(levels: list[DataFrame]) -> DataFrame:
+    """(name, k, d1, d2, d3, uniform) from the counts of counts of each order."""
+    met = None
+    for k, grams in enumerate(levels, 1):
+        times = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        one = grams.groupBy("name").agg(*times, F.count(F.lit(1)).alias("types")).withColumn("k", F.lit(k))
+        met = one if met is None else met.unionByName(one)
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+
+    def discount(i: int) -> Column:
+        # Where too few grams were seen i times the middle of the allowed range serves.
+        value = F.lit(i) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        return F.coalesce(F.when((value > 0) & (value < i), value), F.lit(i / 2)).alias(f"d{i}")
+
+    return cut(met.select(F.col("name").alias("d_name"), "k", *[discount(i) for i in (1, 2, 3)], (1.0 / (F.col("types") + 1)).alias("uniform")))
 
 
-def left_out(counts: DataFrame) -> DataFrame:
-    """(lang, gram, n, log_p) of grams across words, each occurrence judged by all others.
+def kneser_ney(counts: DataFrame) -> list[DataFrame]:
+    """(name, gram, p, b) per order from 1 on: an interpolated modified Kneser-Ney model.
 
-    Counts of a gram and its context less one are drawn toward the next shorter
-    gram. So an occurrence does not vouch for itself, as it would in long grams
-    of text that stands nowhere else.
+    ``b`` is what the gram's context leaves to the next lower order. Lower orders
+    count the distinct characters that stand before a gram. A context's grams are
+    at most as many as there are characters, so its window is bounded.
     """
-    letters = counts.groupBy("lang", F.expr("right(gram, 1)").alias("gram")).agg(F.sum("n").alias("n"))
-    below = letters.groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("p")).withColumn("tail", F.lit(""))
-    width = 0
-    for wide in RUN_WIDTHS:
-        own = counts.groupBy("lang", F.expr(f"right(gram, {wide})").alias("gram")).agg(F.sum("n").alias("n")) if wide < RUN_ORDER else counts
-        own = own.withColumn("context", F.expr(f"left(gram, {wide - 1})")).withColumn("tail", F.expr(f"right(gram, {width})"))
-        total = own.groupBy("lang", "context").agg(F.sum("n").alias("total"))
-        p = (F.col("n") - 1 + PULL * F.col("p")) / (F.col("total") - 1 + PULL)
-        found = own.join(total, ["lang", "context"]).join(below.drop("n"), ["lang", "tail"]).select("lang", "gram", "n", p.alias("p"))
-        below, width = cut(found).select("lang", F.col("gram").alias("tail"), "n", "p"), wide
-    return below.select("lang", F.col("tail").alias("gram"), "n", F.log("p").alias("log_p"))
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        below = levels[0].groupBy("name", F.expr(f"right(gram, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.insert(0, cut(below))
+    discounts = _discounts(levels)
+    found: list[DataFrame] = []
+    for k, grams in enumerate(levels, 1):
+        own = discounts.filter(F.col("k") == k).drop("k")
+        rows = grams.join(own, F.col("name") == F.col("d_name")).withColumn("context", F.expr(f"left(gram, {k - 1})"))
+        context = Window.partitionBy("name", "context")
+        left = sum(
+            F.col(f"d{i}") * F.sum(F.when((F.col("n") == i) if i < 3 else (F.col("n") > 2), 1).otherwise(0)).over(context) for i in (1, 2, 3)
+        )
+        total = F.sum("n").over(context)
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        shares = rows.select(
+            "name", "gram", "uniform", (F.greatest(F.col("n") - less, F.lit(0.0)) / total).alias("a"), (left / total).alias("b")
+        )
+        if k == 1:
+            with_below = shares.withColumn("below", F.col("uniform"))
+        else:
+            tails = found[-1].select(F.col("name").alias("t_name"), F.col("gram").alias("tail"), F.col("p").alias("below"))
+            with_below = shares.join(tails, (F.col("name") == F.col("t_name")) & (F.expr(f"right(gram, {k - 1})") == F.col("tail")))
+        found.append(cut(with_below.select("name", "gram", (F.col("a") + F.col("b") * F.col("below")).alias("p"), "b")))
+    discard(*levels[:-1])
+    return found
+
+
+def cross_fitted(counts: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """(name, gram, n, log_p): every counted gram by the model of the other fold.
+
+    A gram that the other fold does not have backs off: the weight its context
+    leaves, if there is such a context, times the probability of its tail.
+    """
+    uniform = model[0].groupBy("name").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("uniform"))
+    state = counts.select("name", "gram", "n", _other().alias("other"), F.col("gram").alias("rest"), F.lit(0.0).alias("log_b"))
+    done = None
+    for k in range(ORDER, 0, -1):
+        grams = model[k - 1].select(F.col("name").alias("m_name"), F.col("gram").alias("m_gram"), "p")
+        met = cut(state.join(grams, (F.col("other") == F.col("m_name")) & (F.col("rest") == F.col("m_gram")), "left").drop("m_name", "m_gram"))
+        some = met.filter("p IS NOT NULL").select("name", "gram", "n", (F.col("log_b") + F.log("p")).alias("log_p"))
+        done = some if done is None else done.unionByName(some)
+        contexts = model[k - 1].groupBy(F.col("name").alias("c_name"), F.expr(f"left(gram, {k - 1})").alias("context")).agg(F.first("b").alias("b"))
+        missing = met.filter("p IS NULL").withColumn("front", F.expr(f"left(rest, {k - 1})"))
+        state = missing.join(contexts, (F.col("other") == F.col("c_name")) & (F.col("front") == F.col("context")), "left").select(
+            "name", "gram", "n", "other", F.expr(f"right(rest, {k - 1})").alias("rest"), (F.col("log_b") + F.coalesce(F.log("b"), F.lit(0.0))).alias("log_b")
+        )
+    # Without any text in the other fold there is no model and no value.
+    last = state.join(uniform.withColumnRenamed("name", "u_name"), F.col("other") == F.col("u_name"))
+    return done.unionByName(last.select("name", "gram", "n", (F.col("log_b") + F.log("uniform")).alias("log_p")))
 
 
 def _seed(lang: str, width: int) -> np.uint64:
@@ -274,7 +229,7 @@ def _codes(text: str) -> np.ndarray:
 
 
 def hashed(model: DataFrame) -> DataFrame:
-    """(hash, n, value): 64-bit hashes of (lang, gram), and log_p in units of 1 / ``UNIT``."""
+    """(hash, n, value): 64-bit hashes of (name, gram), and log_p in units of 1 / ``UNIT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,80 +241,62 @@ def hashed(model: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *batch.columns[2:]], names=["hash", "n", "value"])
 
     value = F.round(F.col("log_p") * UNIT).cast("long").alias("value")
-    return model.select("lang", "gram", F.col("n").cast("long").alias("n"), value).mapInArrow(run, "hash long, n long, value long")
+    return model.select("name", "gram", F.col("n").cast("long").alias("n"), value).mapInArrow(run, "hash long, n long, value long")
 
 
-def near_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and values of the most frequent gram of each slot.
+def near_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent grams, ``NEAR`` at most, and their values.
 
-    It only spares the join: what is not in it is looked up in ``model``.
+    They only spare the join: what is not among them is looked up in ``model``.
     """
-    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS).alias("slot")
-    best = model.groupBy(slot).agg(F.max(F.struct("n", "hash", "value")).alias("best")).select("best.hash", "best.value")
+    size = F.floor(F.log2("n") * 16).cast("int")
+    held = {row["size"]: row["count"] for row in model.groupBy(size.alias("size")).count().collect()}
+    least, taken = None, 0
+    for step in sorted(held, reverse=True):
+        taken += held[step]
+        if taken > NEAR:
+            break
+        least = step
+    chosen = model.filter(size >= least if least is not None else F.lit(False)).select("hash", "value")
     # As Arrow, since a million rows as Python objects fill a small driver.
-    found = best.toArrow()
+    found = chosen.toArrow()
     hashes = found["hash"].to_numpy().view(np.uint64)
-    at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    # An empty slot holds a hash that belongs to another slot.
-    keys = (~np.arange(2**SLOT_BITS, dtype=np.uint64)) << np.uint64(64 - SLOT_BITS)
-    values = np.zeros(2**SLOT_BITS, dtype=np.int64)
-    keys[at], values[at] = hashes, found["value"].to_numpy()
-    return keys, values
+    order = np.argsort(hashes)
+    return hashes[order], found["value"].to_numpy()[order]
 
 
 class Scorer:
-    """Sums of log-probabilities, and the hashes of grams that have to be joined."""
+    """Log-probabilities at hand, and the hashes of grams that have to be joined."""
 
     def __init__(self, near: tuple[np.ndarray, np.ndarray]):
         self.keys, self.values = near
-        self.known: dict[str, dict[bytes, tuple[int, tuple[int, ...]]]] = {}
+        ranges = np.arange(2**INDEX_BITS, dtype=np.uint64) << np.uint64(64 - INDEX_BITS)
+        self.starts = np.append(np.searchsorted(self.keys, ranges), len(self.keys)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, 0 where not at hand, and whether they are at hand."""
-        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        hit = self.keys[slots] == hashes
-        return np.where(hit, self.values[slots], 0), hit
-
-    def learn(self, lang: str, words: list[bytes]) -> None:
-        known = self.known.setdefault(lang, {})
-        if len(known) > GATHERED:
-            known.clear()
-        new = [w.decode() for w in words if w not in known]
-        if not new:
-            return
-        codes = _codes("".join([" " * (ORDER - 1) + w + " " for w in new]))
-        sizes = np.array([len(w) + 1 for w in new])
-        ends = np.cumsum(sizes + ORDER - 1)
-        at = np.arange(len(codes))
-        scored = np.flatnonzero(at - np.repeat(ends - sizes, sizes + ORDER - 1) >= 0)
-        hashes = _hashes(codes, ORDER, lang)[scored]
-        values, hit = self.find(hashes)
-        sums = np.add.reduceat(values, np.cumsum(sizes) - sizes)
-        far: dict[int, list[int]] = {}
-        which = np.repeat(np.arange(len(new)), sizes)
-        for i in np.flatnonzero(~hit).tolist():
-            far.setdefault(int(which[i]), []).append(int(hashes[i].view(np.int64)))
-        known.update((w.encode(), (total, tuple(far.get(i, ())))) for i, (w, total) in enumerate(zip(new, sums.tolist(), strict=True)))
-
-    def __call__(self, lang: str, words: list[bytes]) -> tuple[int, Counter]:
-        known, total, far = self.known[lang], 0, Counter()
-        for word in words:
-            value, missing = known[word]
-            total += value
-            if missing:
-                far.update(missing)
-        return total, far
-
-    def windows(self, lang: str, texts: list[list[bytes]]) -> list[tuple[list[int], list[int], list[tuple[int, int, int]]]]:
-        """For each text: characters and sums of its windows, and (window, hash, n) of the grams to join."""
+        ranges = (hashes >> np.uint64(64 - INDEX_BITS)).astype(np.int64)
+        values, hit = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        at, stop, left = self.starts[ranges], self.starts[ranges + 1], np.arange(len(hashes))
+        while True:
+            open_ = at < stop
+            at, stop, left = at[open_], stop[open_], left[open_]
+            if not len(left):
+                return values, hit
+            same = self.keys[at] == hashes[left]
+            values[left[same]], hit[left[same]] = self.values[at[same]], True
+            at, stop, left = at[~same] + 1, stop[~same], left[~same]
+
+    def windows(self, name: str, texts: list[list[bytes]]) -> list[tuple[list[int], list[int], list[dict]]]:
+        """For each text: characters and sums of its windows, and the grams to join, per window."""
         runs = [_running(words) for words in texts]
-        codes = _codes("".join(runs))
-        hashes = _hashes(codes, RUN_ORDER, lang)
+        hashes = _hashes(_codes("".join(runs)), ORDER, name)
         values, hit = self.find(hashes)
         found, end = [], 0
         for run in runs:
-            start, end = end + RUN_ORDER - 1, end + len(run)
+            start, end = end + ORDER - 1, end + len(run)
             if not run:
+                end = start - ORDER + 1
                 found.append(([], [], []))
                 continue
             size = end - start
@@ -369,7 +306,7 @@ class Scorer:
             missed = np.flatnonzero(~hit[start:end])
             window = np.searchsorted(cuts, missed, side="right") - 1
             far = Counter(zip(window.tolist(), hashes[start:end][missed].view(np.int64).tolist(), strict=True))
-            found.append((lengths.tolist(), sums.tolist(), [(w, h, n) for (w, h), n in far.items()]))
+            found.append((lengths.tolist(), sums.tolist(), [{"part": w, "hash": h, "n": n} for (w, h), n in far.items()]))
         return found
 
 
@@ -409,54 +346,43 @@ def shape(text: str) -> tuple[list[bytes], int, int, int, int]:
     )
 
 
-_BAND = ("middle", "below", "above")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, counts, log_ppl, run_ppl) by a hashed model.
+def scored(docs: DataFrame, model: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, counts, log_ppl, run_ppl) by a hashed model and the (name) it has texts of.
 
-    ``log_ppl`` is the mean negative log-probability of a character of the
-    words, ``run_ppl`` the median over windows of the running text.
+    ``log_ppl`` is the mean negative log-probability of a character, ``run_ppl``
+    the median over windows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(near_table(model))
+    shared = docs.sparkSession.sparkContext.broadcast(near_arrays(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, _TOGETHER):
-                batch = whole.slice(start, _TOGETHER)
-                names = batch.column(1).to_pylist()
-                shapes = [shape(body.as_py()) for body in batch.column(3)]
-                parts: list = [None] * len(names)
-                for name in set(names):
-                    own = [i for i, n in enumerate(names) if n == name]
-                    scorer.learn(name, list(dict.fromkeys(w for i in own for w in shapes[i][0])))
-                    for i, found in zip(own, scorer.windows(name, [shapes[i][0] for i in own]), strict=True):
-                        parts[i] = found
-                counts = [[len(s[0]) for s in shapes], *[[s[i] for s in shapes] for i in (1, 2, 3, 4)]]
-                sums = [scorer(n, s[0]) for n, s in zip(names, shapes, strict=True)]
-                far = [[*[(-1, h, n) for h, n in x.items()], *p[2]] for (_, x), p in zip(sums, parts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns[:3],
-                        *[pa.array(c, pa.int64()) for c in counts],
-                        pa.array([x for x, _ in sums], pa.int64()),
-                        pa.array([p[0] for p in parts], pa.list_(pa.int32())),
-                        pa.array([p[1] for p in parts], pa.list_(pa.int64())),
-                        pa.array([[{"part": w, "hash": h, "n": n} for w, h, n in x] for x in far], _FAR),
-                    ],
-                    names=[key, "lang", "__row", *_COUNTS, "__sum", "__sizes", "__sums", "__far"],
-                )
-
-    source = docs.select(
-        key,
-        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
-        F.monotonically_increasing_id().alias("__row"),
-        text_or_empty(text).alias("text"),
-    )
+        for batch in byte_slices(batches):
+            names = batch.column(1).to_pylist()
+            shapes = [shape(body) for body in batch.column(3).to_pylist()]
+            parts: list = [None] * len(names)
+            for name in set(names):
+                own = [i for i, n in enumerate(names) if n == name]
+                for i, found in zip(own, scorer.windows(name, [shapes[i][0] for i in own]), strict=True):
+                    parts[i] = found
+            counts = [[len(s[0]) for s in shapes], *[[s[i] for s in shapes] for i in (1, 2, 3, 4)]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3],
+                    *[pa.array(c, pa.int64()) for c in counts],
+                    pa.array([p[0] for p in parts], pa.list_(pa.int32())),
+                    pa.array([p[1] for p in parts], pa.list_(pa.int64())),
+                    pa.array([p[2] for p in parts], _FAR),
+                ],
+                names=[key, "name", "__row", *_COUNTS, "__sizes", "__sums", "__far"],
+            )
+
+    body = text_or_empty(text)
+    source = docs.select(key, _fold_name(body, lang), F.monotonically_increasing_id().alias("__row"), body.alias("text"))
     schema = source.drop("text").schema
-    for name in (*_COUNTS, "__sum"):
+    for name in _COUNTS:
         schema = schema.add(name, "long")
     for name, kind in (("__sizes", "array<int>"), ("__sums", "array<bigint>"), ("__far", "array<struct<part:int,hash:bigint,n:int>>")):
         schema = schema.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
@@ -470,16 +396,26 @@ def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
         .groupBy("__row")
         .agg(F.map_from_entries(F.collect_list(F.struct("part", "more"))).alias("__more"))
     )
-    means = F.expr(f"transform(__sums, (x, i) -> -(x + coalesce(__more[i], 0L)) / ({UNIT}D * __sizes[i]))")
+    known = names.select(_other().alias("has"))
+    totals = F.expr("transform(__sums, (x, i) -> x + coalesce(__more[i], 0L))")
+    means = F.expr(f"sort_array(transform(__totals, (x, i) -> -x / ({UNIT}D * __sizes[i])))")
     middle = F.expr("(__means[(size(__means) - 1) div 2] + __means[size(__means) div 2]) / 2")
-    total = F.col("__sum") + F.coalesce(F.expr("__more[-1]"), F.lit(0))
+    chars = F.aggregate("__sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = -F.aggregate("__totals", F.lit(0).cast("long"), lambda a, x: a + x) / (UNIT * chars.cast("double"))
+    judged = (F.col("n_words") > 0) & F.col("has").isNotNull()
     return (
         rows.drop("__far")
         .join(joined, "__row", "left")
-        .withColumn("log_ppl", F.when(F.col("n_words") > 0, -total / (UNIT * (F.col("word_chars") + F.col("n_words")).cast("double"))))
-        .withColumn("__means", F.sort_array(means))
-        .withColumn("run_ppl", F.when(F.col("n_words") > 0, middle))
-        .select(key, "lang", *_COUNTS, "log_ppl", "run_ppl")
+        .join(known, F.col("name") == F.col("has"), "left")
+        .withColumn("__totals", totals)
+        .withColumn("__means", means)
+        .select(
+            key,
+            F.expr("substring(name, 2)").alias("lang"),
+            *_COUNTS,
+            F.when(judged, whole).alias("log_ppl"),
+            F.when(judged, middle).alias("run_ppl"),
+        )
     )
 
 
@@ -487,41 +423,40 @@ def bands(rows: DataFrame) -> DataFrame:
     """(lang, middle, below, above): median and quartile distances of ``run_ppl``.
 
     Quartiles are read off a histogram, so any number of documents reduces to a
-    few hundred rows per language before a window sees them. They are drawn
-    toward those of all languages as if ``PRIOR_DOCS`` documents more were known.
+    few hundred rows per language before a window sees them. Distances are drawn
+    toward the mean ones of all documents as if ``PRIOR_DOCS`` documents more were known.
     """
     own = F.floor(F.col("run_ppl") / BIN).alias("bin")
     bins = rows.filter("run_ppl IS NOT NULL").groupBy("lang", own).agg(F.count(F.lit(1)).alias("n"))
-
-    def quartiles(bins: DataFrame) -> DataFrame:
-        order = Window.partitionBy("lang").orderBy("bin")
-        upto = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-
-        def quantile(q: float) -> Column:
-            return F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) * BIN))
-
-        found = upto.groupBy("lang").agg(*[quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.sum("n").alias("n"))
-        return found.select(
-            "lang",
-            "n",
-            F.col("q50").alias("middle"),
-            F.greatest(F.col("q50") - F.col("q25"), F.lit(BIN)).alias("below"),
-            F.greatest(F.col("q75") - F.col("q50"), F.lit(BIN)).alias("above"),
-        )
-
-    pooled = bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
-    both = quartiles(bins).join(quartiles(pooled).select(*[F.col(c).alias(f"all_{c}") for c in _BAND]), how="cross")
+    order = Window.partitionBy("lang").orderBy("bin")
+    upto = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+
+    def quantile(q: float) -> Column:
+        return F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) * BIN))
+
+    found = upto.groupBy("lang").agg(*[quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.sum("n").alias("n")).select(
+        "lang",
+        "n",
+        F.col("q50").alias("middle"),
+        F.greatest(F.col("q50") - F.col("q25"), F.lit(LEAST)).alias("below"),
+        F.greatest(F.col("q75") - F.col("q50"), F.lit(LEAST)).alias("above"),
+    )
+    found = cut(found)
+    mean = found.agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("below", "above")]).first()
     share = F.col("n") / (F.col("n") + PRIOR_DOCS)
-    return both.select("lang", *[(share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in _BAND])
+    drawn = [(share * F.col(c) + (1 - share) * F.lit(mean[c] or LEAST)).alias(c) for c in ("below", "above")]
+    return found.select("lang", "middle", *drawn)
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, log-perplexity, band and verdict of every document."""
     counts = cut(gram_counts(docs, text, lang))
-    words = kneser_ney(counts).filter(f"length(gram) = {ORDER} AND log_p IS NOT NULL").join(counts, ["lang", "gram"])
-    model = cut(hashed(words.select("lang", "gram", "n", "log_p").unionByName(left_out(cut(running_counts(docs, text, lang))))))
+    orders = kneser_ney(counts)
+    table = cut(hashed(cross_fitted(counts, orders)))
+    names = cut(orders[0].select("name").distinct())
+    discard(counts, *orders)
     few = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = cut(scored(docs, model, key, text, lang).withColumn("base_failed", few))
+    rows = cut(scored(docs, table, names, key, text, lang).withColumn("base_failed", few))
     wider = F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     return (
         rows.join(bands(rows.filter("NOT base_failed")), "lang", "left")
