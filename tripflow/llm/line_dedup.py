@@ -28,10 +28,11 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripflow.llm.common import cut, without
+from tripflow.llm.common import cut, discard, without
 from tripflow.operators.skew import join_on_hot_keys
 
 MIN_CHARS = 10
@@ -137,6 +138,16 @@ class _Sums:
         return self.first[at] + (self.moved[self.size - 1] - self.moved[at])
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch in slices of about ``most`` bytes of a text column, a row at least."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """(block, h1, begin, end): a key for each block of a line, made of all but the block.
 
@@ -146,20 +157,23 @@ def _blocks(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h1, line in zip(batch.column(0), batch.column(1), strict=True):
-                sums = _Sums(line.as_py())
-                for extra in (0, 1):
-                    shorter = sums.size - extra
-                    begin = np.arange(0, max(shorter, 1), BLOCK)
-                    end = np.minimum(begin + BLOCK, shorter)
-                    mixed = (np.full(len(begin), shorter, dtype=np.uint64) * _ODD + begin.astype(np.uint64)) * _ODD ^ sums.first[begin]
-                    mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD + sums.last[shorter - end]
-                    rows = len(begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mixed.view(np.int64)), pa.array([h1.as_py()] * rows, pa.int64()),
-                         pa.array(begin.astype(np.int32)), pa.array((end + extra).astype(np.int32))],
-                        names=["block", "h1", "begin", "end"],
-                    )
+            for part in _slices(batch, 1):
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                for h1, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    sums = _Sums(line)
+                    for extra in (0, 1):
+                        shorter = sums.size - extra
+                        begin = np.arange(0, max(shorter, 1), BLOCK)
+                        end = np.minimum(begin + BLOCK, shorter)
+                        mixed = (np.full(len(begin), shorter, dtype=np.uint64) * _ODD + begin.astype(np.uint64)) * _ODD ^ sums.first[begin]
+                        mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD + sums.last[shorter - end]
+                        for values, own in zip(found, (mixed.view(np.int64), np.full(len(begin), h1), begin, end + extra), strict=True):
+                            values.append(own)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(v), pa.int64()).cast(k) for v, k in zip(found, kinds, strict=True)],
+                    names=["block", "h1", "begin", "end"],
+                )
 
     return lines.select("h1", "line").mapInArrow(run, "block long, h1 long, begin int, end int")
 
@@ -181,18 +195,22 @@ def _variants(lines: DataFrame, spots: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                sums = _Sums(batch.column(3)[i].as_py())
-                marks = np.zeros(sums.size, dtype=bool)
-                for spot in batch.column(5)[i].as_py():
-                    marks[spot["begin"] : spot["end"]] = True
-                at = np.flatnonzero(marks)
-                hashes = np.concatenate([sums.first[-1:], sums.less(at)]).view(np.int64)
-                left = np.full(len(hashes), sums.size - 1, dtype=np.int32)
-                left[0] += 1
-                same = [pa.array([batch.column(c)[i].as_py()] * len(hashes), batch.schema.field(c).type) for c in (0, 1, 2, 4)]
+            for part in _slices(batch, 3):
+                found: list[list[np.ndarray]] = [[], [], []]
+                for line, spots in zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    sums = _Sums(line)
+                    marks = np.zeros(sums.size, dtype=bool)
+                    for spot in spots:
+                        marks[spot["begin"] : spot["end"]] = True
+                    at = np.flatnonzero(marks)
+                    left = np.full(len(at) + 1, sums.size - 1)
+                    left[0] += 1
+                    for values, own in zip(found, (np.concatenate([sums.first[-1:], sums.less(at)]).view(np.int64), left, np.append(-1, at)), strict=True):
+                        values.append(own)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), list(map(len, found[0]))))
+                variants = [pa.array(np.concatenate(v), pa.int64()) for v in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), pa.array(left), pa.array(np.concatenate([[-1], at]).astype(np.int32)), *same],
+                    [variants[0], variants[1].cast(pa.int32()), variants[2].cast(pa.int32()), *[part.column(c).take(rows) for c in (0, 1, 2, 4)]],
                     names=["variant", "left", "deleted", *_LINE, "place"],
                 )
 
@@ -206,7 +224,9 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
     ``lines``: (h1, h2, size, line, place), one row per distinct line.
     """
-    emitted = cut(_variants(lines, _shared(_blocks(lines), "block")))
+    blocks = cut(_blocks(lines))
+    emitted = cut(_variants(lines, _shared(blocks, "block")))
+    discard(blocks)
     deletions, selves = emitted.filter("deleted >= 0"), emitted.filter("deleted < 0").drop("deleted")
     key = ["variant", "left"]
     # A substitution: the same variant by a deletion at the same place.
@@ -271,7 +291,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     gone = repeated_lines(docs, key, text, min_chars).select(F.col(key).alias("__key"), F.col("dropped").alias("__dropped"))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    joined = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # In an array of its own the text is split once, not once for each line kept.
+    joined = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n")), 0)
     columns = [F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns]
     return rows.join(gone, rows[key].eqNullSafe(gone["__key"]), "left").select(
         *columns,
