@@ -152,3 +152,75 @@ kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM words
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
   1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM spoken LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _matches(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """(r, kind, s, e, v) of a kind's passing matches: gaps and matches take turns along the text."""
+    return f"""
+  SELECT r, {place} AS kind, '{kind}' AS name, s + gap_upto AS s, s + gap_upto + size AS e, v FROM (
+    SELECT *, coalesce(sum(size) OVER before, 0) AS s, sum(gap) OVER upto AS gap_upto FROM (
+      SELECT r, unnest(range(len(hits))) AS i, unnest(list_transform(hits, lambda x: length(x))) AS size,
+        unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) AS gap, unnest(vals) AS v
+      FROM (SELECT r, regexp_extract_all(text, $re${pattern}$re$) AS hits, regexp_extract_all(text, $re${pattern}$re$, {group}) AS vals,
+          string_split_regex(text, $re${pattern}$re$) AS gaps FROM texts WHERE regexp_matches(text, $re${pattern}$re$)))
+    WINDOW before AS (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY r ORDER BY i))
+  WHERE length(v) >= {least}"""
+
+
+# The forms of the contract, and those of the long tokens.
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+ORACLES["op5_secret_scan"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+base AS ({_matches("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]{16,}", 0, 20)}
+  UNION ALL {_matches("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
+long AS ({_matches("owned", 3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)}),
+looks AS (
+  SELECT *, regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')
+    AND NOT regexp_matches(v, '(?i)example|sample|dummy|changeme|your[_-]|placeholder|01234|12345|abcdef')
+    AND len(list_filter(range(1, length(v) - 2), lambda i: lower(v[i]) = lower(v[i + 1]) AND lower(v[i]) = lower(v[i + 2]) AND lower(v[i]) = lower(v[i + 3]))) = 0 AS likely
+  FROM (FROM base UNION ALL FROM long)),
+found AS (
+  SELECT * FROM looks c WHERE kind < 3 OR likely AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)),
+owned AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM found JOIN texts USING (r) GROUP BY v),
+judged AS (SELECT f.*, likely AND owners <= 2 AND repos <= 3 AS live FROM found f JOIN owned USING (v)),
+told AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (live) AS n_live,
+    string_agg(concat(name, ':', s, ':', e), ',' ORDER BY s, kind) FILTER (kind < 3) AS base_spans,
+    string_agg(concat(name, ':', s, ':', e), ',' ORDER BY s, kind) AS spans
+  FROM judged WHERE kind < 3 OR live GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (r)"""
+
+# Exponents are multiples of 1/4096; the least that repeats no source more than twice.
+ORACLES["op9_temperature_mixing"] = """
+WITH units AS (
+  SELECT doc_id AS key, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name,
+    (strlen(coalesce(text, '')) + 3) // 4 AS tokens, count(*) AS n_rows FROM documents GROUP BY ALL),
+sizes AS (SELECT source, count(*) AS units, sum(tokens * n_rows)::BIGINT AS held FROM units GROUP BY source),
+total AS (SELECT sum(held)::BIGINT AS total FROM sizes),
+tried AS (
+  SELECT step, max(pow(held / total::DOUBLE, step / 4096.0::DOUBLE - 1)) / sum(pow(held / total::DOUBLE, step / 4096.0::DOUBLE)) AS most
+  FROM range(4097) t(step), sizes, total WHERE held > 0 GROUP BY step),
+chosen AS (SELECT coalesce(min(step) FILTER (most <= 2), 4096) / 4096.0::DOUBLE AS e FROM tried),
+weights AS (
+  SELECT *, round(pow(held / total::DOUBLE, e) / sum(pow(held / total::DOUBLE, e)) OVER () * total)::BIGINT AS budget
+  FROM sizes, total, chosen WHERE held > 0),
+placed AS (
+  SELECT u.*, w.budget // held AS epochs, w.budget % held AS rest, unnest(range(w.budget // held + 1))::INTEGER AS epoch,
+    ('0x' || substr(md5(concat_ws(':', 17, source, name)), 1, 8))::BIGINT % ceil(sqrt(units))::BIGINT AS block
+  FROM units u JOIN weights w USING (source)),
+inside AS (
+  SELECT *, coalesce(sum(tokens * n_rows) OVER (PARTITION BY source, epoch, block
+    ORDER BY md5(concat_ws(':', 17, epoch, name)), tokens, key NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own
+  FROM placed WHERE epoch < epochs OR rest > 0),
+blocks AS (
+  SELECT source, epoch, block, coalesce(sum(sum(tokens * n_rows)) OVER (PARTITION BY source, epoch
+    ORDER BY md5(concat_ws(':', 17, epoch, source, block)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM inside GROUP BY source, epoch, block)
+SELECT key AS doc_id, source, epoch, unnest(range(1, n_rows + 1)) AS copy, (before + own)::BIGINT AS token_start, tokens AS n_tokens
+FROM inside JOIN blocks USING (source, epoch, block) WHERE epoch < epochs OR before + own + tokens * n_rows <= rest"""
