@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -55,6 +56,35 @@ def _feature(
     ).cast(FEATURE)
 
 
+# The wording of tooltips and popups, a line or part each.
+FLOW_TOOLTIP = ("trips: {trips}", "rank: #{rank}")
+ROUTE_TOOLTIP = ("#{rank}: {trips} trips ({mode})",)
+ROUTE_POPUP = (
+    "Rank #{rank} Route",
+    "Dataset: {dataset}",
+    "Mode: {mode}",
+    "Trip Count: {trips}",
+    "Avg Distance: {distance} mi",
+    "Avg Duration: {duration} min",
+    "Distance Range: {least} - {most} mi",
+)
+ROUTE_END = ("{word}: Rank #{rank}",)
+ORIGIN_POPUP = ("Origin: {mode} trips",)
+COUNT_POPUP = ("Mode: {mode}", "Trips: {trips}")
+NETWORK_TOOLTIP = ("{label} | {mode} | trips: {trips} (same route) | ~{distance}mi, {duration}min{form}",)
+ON_ROAD, STRAIGHT = " (Continuous Route)", " (Direct Line - No Network Data)"
+
+
+def _filled(wording: Sequence[str], **values: Column) -> list[Column]:
+    """The parts of a wording with their values; a part without one of its values is NULL."""
+
+    def part(text: str) -> Column:
+        pieces = [(F.lit(fixed) if fixed else None, values[name] if name else None) for fixed, name, _, _ in Formatter().parse(text)]
+        return F.concat(*[piece for pair in pieces for piece in pair if piece is not None])
+
+    return [part(text) for text in wording]
+
+
 def _explode(df: DataFrame, *features: Column) -> DataFrame:
     """One row per feature that is present; ``rank`` keeps the drawing order."""
     present = F.filter(F.array(*features), lambda f: f.isNotNull())
@@ -123,8 +153,7 @@ def flow_features(top: DataFrame, sample: int = 2000, seed: int = 0) -> DataFram
         " | ",
         "dataset",
         "mode",
-        F.concat(F.lit("trips: "), F.col("trip_count").cast("string")),
-        F.concat(F.lit("rank: #"), F.col("rank").cast("string")),
+        *_filled(FLOW_TOOLTIP, trips=F.col("trip_count").cast("string"), rank=F.col("rank").cast("string")),
     )
     line = _feature(
         "flow",
@@ -157,18 +186,16 @@ def top_route_features(frequent: DataFrame, top_n: int = 10) -> DataFrame:
     count = thousands(F.col("trip_count"))
     popup = F.concat_ws(
         "\n",
-        F.concat(F.lit("Rank #"), rank, F.lit(" Route")),
-        F.concat(F.lit("Dataset: "), "dataset"),
-        F.concat(F.lit("Mode: "), "mode"),
-        F.concat(F.lit("Trip Count: "), count),
-        F.concat(F.lit("Avg Distance: "), decimals(F.col("avg_distance_miles"), 1), F.lit(" mi")),
-        F.concat(F.lit("Avg Duration: "), decimals(F.col("avg_duration_min"), 1), F.lit(" min")),
-        F.concat(
-            F.lit("Distance Range: "),
-            decimals(F.col("min_distance_miles"), 1),
-            F.lit(" - "),
-            decimals(F.col("max_distance_miles"), 1),
-            F.lit(" mi"),
+        *_filled(
+            ROUTE_POPUP,
+            rank=rank,
+            dataset=F.col("dataset"),
+            mode=F.col("mode"),
+            trips=count,
+            distance=decimals(F.col("avg_distance_miles"), 1),
+            duration=decimals(F.col("avg_duration_min"), 1),
+            least=decimals(F.col("min_distance_miles"), 1),
+            most=decimals(F.col("max_distance_miles"), 1),
         ),
     )
     start, end = _point("start_lat", "start_lng"), _point("end_lat", "end_lng")
@@ -178,14 +205,12 @@ def top_route_features(frequent: DataFrame, top_n: int = 10) -> DataFrame:
         TOP_ROUTE_COLOUR,
         F.lit(6.0) + (F.lit(top_n) - (F.col("rank") - 1)) * F.lit(0.5),
         0.9,
-        tooltip=F.concat(
-            F.lit("#"), rank, F.lit(": "), count, F.lit(" trips ("), F.col("mode"), F.lit(")")
-        ),
+        tooltip=_filled(ROUTE_TOOLTIP, rank=rank, trips=count, mode=F.col("mode"))[0],
         popup=popup,
     )
 
     def end_marker(kind: str, spot: Column, colour: str, word: str) -> Column:
-        label = F.concat(F.lit(f"{word}: Rank #"), rank)
+        label = _filled(ROUTE_END, word=F.lit(word), rank=rank)[0]
         return _feature(kind, F.array(spot), colour, 8.0, 0.7, popup=label)
 
     return _explode(
@@ -221,25 +246,20 @@ def network_features(
             F.col("colour"),
             3.0,
             0.6,
-            popup=F.concat(F.lit("Origin: "), F.col("mode"), F.lit(" trips")),
+            popup=_filled(ORIGIN_POPUP, mode=F.col("mode"))[0],
         ),
     )
     lines = stitched(labelled, eps).join(colours, ["dataset", "mode"])
     on_road = F.size("points") > 1
-    tooltip = F.concat(
-        F.lit(f"{label} | "),
-        F.col("mode"),
-        F.lit(" | trips: "),
-        F.col("trip_count").cast("string"),
-        F.lit(" (same route) | ~"),
-        decimals(F.col("avg_distance_miles"), 0),
-        F.lit("mi, "),
-        decimals(F.col("avg_duration_min"), 0),
-        F.lit("min"),
-        F.when(on_road, F.lit(" (Continuous Route)")).otherwise(
-            F.lit(" (Direct Line - No Network Data)")
-        ),
-    )
+    tooltip = _filled(
+        NETWORK_TOOLTIP,
+        label=F.lit(label),
+        mode=F.col("mode"),
+        trips=F.col("trip_count").cast("string"),
+        distance=decimals(F.col("avg_distance_miles"), 0),
+        duration=decimals(F.col("avg_duration_min"), 0),
+        form=F.when(on_road, F.lit(ON_ROAD)).otherwise(F.lit(STRAIGHT)),
+    )[0]
     straight = F.array(_point("start_lat", "start_lng"), _point("end_lat", "end_lng"))
     line = _feature(
         "network_route",
@@ -266,8 +286,7 @@ def origin_features(counts: DataFrame, classed: bool = True) -> DataFrame:
             popup=F.concat_ws(
                 "\n",
                 "dataset",
-                F.concat(F.lit("Mode: "), known_mode(F.col("mode"))),
-                F.concat(F.lit("Trips: "), F.col("trip_count").cast("string")),
+                *_filled(COUNT_POPUP, mode=known_mode(F.col("mode")), trips=F.col("trip_count").cast("string")),
             ),
         )
     else:
