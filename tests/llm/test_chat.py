@@ -58,5 +58,18 @@ def test_nulls_ties_and_extra_columns(spark):
     assert got == sorted([(None, 1, ""), (5, 1, "a"), (5, 2, "b"), (5, 3, "b")], key=str)
 
 
+def test_long_texts_and_long_conversations(spark):
+    long = "".join(NASTY) * 2000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)]
+    rows += [(2, i, "assistant" if i % 2 else "user", f"turn {i} {NASTY[i % len(NASTY)]}") for i in range(400)]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = made.select("conv_id", "example", "last", chat.trainable_text().alias("trained"), chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert [r.trained for r in found if r.conv_id == 1] == [long]
+    own = sorted((r.example, r.trained) for r in found if r.conv_id == 2)
+    assert [t for _, t in own] == [x[3] for x in rows if x[0] == 2 and x[2] == "assistant"]
+    (last,) = [r for r in found if r.conv_id == 2 and r.last]
+    assert [t["text"] for t in last.turns] == [x[3] for x in rows if x[0] == 2]
+
+
 def test_empty_table(spark):
     assert chat.examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

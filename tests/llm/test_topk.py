@@ -49,6 +49,13 @@ def test_huge_components_stay_in_range(spark):
     assert got == [(0, 1, 1, min(top, 256 * 256 * 6 * 10**18)), (0, 2, 2, max(low, -256 * 256 * 6 * 10**18))]
 
 
+def test_long_vectors(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-1.5, 0.25, 1.0]) for _ in range(6000)]) for i in range(60)] + [(100 + i, [0.25] * 6000) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert found(topk.top_k(df, df.filter("vec_id % 50 = 0"), k=5)) == brute.top_k(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df, k=5).count() == 0
