@@ -10,6 +10,14 @@ from tripflow.operators import context, prefix
 from tests.test_context import LOG, START, entry
 
 
+@pytest.fixture(autouse=True)
+def several_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def rows_of(seed, n=3000):
     """A third of the rows in one group; keys far apart, with groups of one row and no key."""
     rng = random.Random(seed)
