@@ -213,6 +213,25 @@ def test_people_are_filtered_at_the_scan_and_the_rows_stay_the_same(spark):
     assert "substring(0x" in plan[plan.index("Filter"):].split("Exchange")[0] or "substring(" in plan
 
 
+def test_plans_do_not_grow_with_the_filter_of_people(spark):
+    trips = frame(spark, [trip(person_id=i, dataset="Q2 Thursday") for i in range(50)])
+    for n in (10, 60_000):
+        people = spark.range(0, 2 * n, 2).selectExpr("'Q2' AS season", "id AS person_id")
+        found = flows.with_population(trips, people)
+        assert found.count() == min(n, 25)
+        assert len(found._jdf.queryExecution().toString()) < 100_000
+
+
+def test_cells_of_a_filter_are_those_of_its_keys(spark):
+    for n in (0, 1, 20_000):  # below and beyond one bitmap
+        people = spark.range(n).selectExpr("'Q2' AS season", "id AS person_id")
+        found = prefilter.key_filter(people, ["season", "person_id"])
+        (cells,) = found.cells.first()
+        used = people.select(F.explode(F.array(*prefilter._cells(["season", "person_id"], found.n_cells)))).distinct()
+        assert len(cells) == found.n_cells
+        assert {i for i, byte in enumerate(cells) if byte} == {c for (c,) in used.collect()}
+
+
 def test_a_population_beyond_the_filter_is_joined_without_one(spark, monkeypatch):
     monkeypatch.setattr(prefilter, "MAX_CELLS", 1024)
     people = spark.range(3000).selectExpr("'Q2' AS season", "id AS person_id")
