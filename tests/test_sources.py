@@ -146,6 +146,16 @@ def test_a_zip_is_one_partition_and_leaves_in_batches(spark, tmp_path, monkeypat
     assert rows.filter("trip_id IS NULL").count() == 2 and rows.filter("stop_id = 'S, 7'").count() == 2
 
 
+def test_rows_are_dealt_over_zips_without_a_shuffle_by_agency(spark, tmp_path):
+    feed = spark.range(1000).selectExpr(
+        "'rail' AS agency", "CAST(id AS string) AS trip_id", "'08:00:00' AS arrival_time",
+        "'08:00:00' AS departure_time", "'S' AS stop_id", "CAST(id AS int) AS stop_sequence")
+    packed = gtfs.write_feed_zips(feed, str(tmp_path / "zips"), rows_per_zip=100)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert packed.count() == 10
+
+
 def test_zips_written_and_read_are_the_same_rows(spark, tmp_path):
     rows = [("rail", f"t{i}", "08:00:00", None if i % 7 else "09:0", f'stop "{i}", x', i) for i in range(300)]
     rows += [("bus", "t", None, None, "é", None)]

@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tripflow.operators.skew import join_on_hot_keys
+from tripflow.sources.shared import cut
+
 # Columns read from each feed file.
 FEED_SCHEMAS = {
     "stop_times": (
@@ -183,13 +186,14 @@ def write_feed_zips(feed: DataFrame, path: str, table: str = "stop_times", rows_
     """(agency, part, n_rows) of the zips ``agency.part.zip`` written to the folder ``path``.
 
     A zip is written by one task, so an agency's rows are dealt by hash over as
-    many zips as hold about ``rows_per_zip`` rows. A task that runs again writes
-    the same rows to the same place.
+    many zips as hold about ``rows_per_zip`` rows. The numbers of zips are stored, so
+    that Spark knows how few they are and moves no agency whole into one task to
+    join them. A task that runs again writes the same rows to the same place.
     """
     columns = list(feed_columns(table))
-    counts = feed.groupBy("agency").agg(F.ceil(F.count(F.lit(1)) / rows_per_zip).cast("int").alias("parts"))
+    counts = cut(feed.groupBy("agency").agg(F.ceil(F.count(F.lit(1)) / rows_per_zip).cast("int").alias("parts")))
     text = [F.col(c).cast("string").alias(c) for c in columns]
-    dealt = feed.join(counts, "agency").select(
+    dealt = join_on_hot_keys(feed, counts, ["agency"]).select(
         "agency", F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int").alias("part"), *text
     )
 
