@@ -62,6 +62,37 @@ def test_mixing_repeats_whole_documents(stages):
     assert {r.doc_id for r in drawn} == set(kept)
 
 
+def test_mixing_runs_no_python(spark, stages, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("Python in the tasks")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(stages["jaccard_join"]), name, refused)
+    drawn = pipeline.mixed_sources(spark, stages["jaccard_join"], SF_DIR)
+    assert isinstance(drawn, DataFrame) and drawn.count() == stages["mixing"].count()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_estimated_tokens_are_close_to_counted_ones(spark, stages):
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._vocabulary(ranks()), special_tokens={})
+    rows = stages["jaccard_join"].select("source", "text", pipeline.mixing.text_pieces("text").alias("n")).collect()
+    counted = {}, {}
+    for r in rows:
+        for sums, n in zip(counted, (r.n, len(plain.encode_ordinary(r.text or ""))), strict=True):
+            sums[r.source] = sums.get(r.source, 0) + n
+    shares = [{k: n / sum(sums.values()) for k, n in sums.items()} for sums in counted]
+    assert all(abs(shares[0][k] / share - 1) < 0.05 for k, share in shares[1].items())
+
+
+@pytest.mark.parametrize("text, pieces", [(None, 0), ("", 0), ("abcdefghi", 3), ("ab  12345, \u00e9\u4e2d\n\n", 9), ("\u00a0\u2003a", 2)])
+def test_pieces_cover_every_character(spark, text, pieces):
+    (row,) = spark.createDataFrame([(text,)], "text string").select(pipeline.mixing.text_pieces("text")).collect()
+    assert row[0] == pieces
+
+
 def test_ids_equal_tiktoken(stages):
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._vocabulary(ranks()), special_tokens={})
     want = {i: plain.encode_ordinary(t or "") for i, t in texts(stages["mixing"]).items()}
