@@ -239,6 +239,15 @@ def test_a_population_beyond_the_filter_is_joined_without_one(spark, monkeypatch
     assert flows.with_population(frame(spark, [trip(person_id=5), trip(person_id=5000)]), people).count() == 1
 
 
+def test_what_the_driver_holds_of_a_filter_does_not_grow_with_the_people(spark):
+    trips = frame(spark, [trip(person_id=i) for i in range(50)])
+    for n in (1000, 100_000, 400_000):
+        people = spark.range(0, 2 * n, 2).selectExpr("'Q2' AS season", "id AS person_id")
+        found = prefilter.key_filter(people, ["season", "person_id"])
+        assert (found.n_cells if found else 0) <= 2**20
+        assert flows.with_population(trips, people).count() == 25
+
+
 def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
     rng = random.Random(5)
     rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripflow.sources.shared import cut
 
-# The filter has a byte per cell and this many cells at most: 16 MB in each task.
-MAX_CELLS = 2**24
+# The filter has a byte per cell and this many cells at most: 1 MB. The driver copies it
+# for every stage that has it in its tasks; one of 16 MB filled a heap of 750 MB.
+MAX_CELLS = 2**20
 # Cells per key. With two probes about one row in twenty without a key passes.
 CELLS_PER_KEY = 8
 PROBES = 2
