@@ -11,6 +11,7 @@ from tripflow.functions import style
 from tripflow.functions.numbers import round_places
 from tripflow.operators import flows, layers, modes, prefilter, regions
 from tripflow.operators.topn import in_order, top_per_group
+from tripflow.plans.registry import QUERIES
 from tripflow.sources.trips import TRIPS
 
 SCHEMA = "dataset string, " + TRIPS
@@ -248,6 +249,20 @@ def test_what_the_driver_holds_of_a_filter_does_not_grow_with_the_people(spark):
         assert flows.with_population(trips, people).count() == 25
 
 
+@pytest.mark.parametrize("name", ["origin_counts", "origin_features", "top_flows_with_population", "top_od_500",
+                                  "trips_with_population", "od_line_features"])
+def test_queries_with_a_population_make_no_filter_beyond_a_megabyte(spark, monkeypatch, name):
+    made = []
+
+    def seen(*args):
+        made.append(prefilter.key_filter(*args))
+        return made[-1]
+
+    monkeypatch.setattr(flows, "key_filter", seen)
+    QUERIES[name](spark, "/root/testdata/sf0.1")
+    assert made and all(found is None or found.n_cells <= 2**20 for found in made)
+
+
 def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
     rng = random.Random(5)
     rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))
