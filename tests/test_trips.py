@@ -263,6 +263,22 @@ def test_queries_with_a_population_make_no_filter_beyond_a_megabyte(spark, monke
     assert made and all(found is None or found.n_cells <= 2**20 for found in made)
 
 
+def test_a_population_beyond_the_filter_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(prefilter, "MAX_CELLS", 1024)
+    people = spark.range(3000).selectExpr("'Q2' AS season", "id AS person_id")
+    found = flows.with_population(frame(spark, [trip(person_id=5), trip(person_id=5000)]), people)
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["origin_counts", "origin_features"])
+def test_queries_send_no_large_population_through_the_driver(spark, name):
+    # 277,000 people, which Spark takes for less than its limit of 10 MB.
+    plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
     rng = random.Random(5)
     rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))
