@@ -272,7 +272,7 @@ def test_a_population_beyond_the_filter_is_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["origin_counts", "origin_features"])
+@pytest.mark.parametrize("name", ["origin_counts", "origin_features", "top_od_500", "od_line_features"])
 def test_queries_send_no_large_population_through_the_driver(spark, name):
     # 277,000 people, which Spark takes for less than its limit of 10 MB.
     plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
