@@ -280,6 +280,30 @@ def test_queries_send_no_large_population_through_the_driver(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def hot_table(spark, folder):
+    """65 orders and two line items each, the last with 100,000 more: a file of a few kB."""
+    spark.range(65).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    spark.range(100_130).selectExpr(
+        "least(id div 2, 64) AS l_orderkey", "7L AS l_partkey", "5L AS l_suppkey", "1 AS l_linenumber", "3.0D AS l_quantity",
+        "0.01D AS l_tax", "timestamp '1996-05-02' AS l_shipdate",
+    ).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_trips_with_population_sends_no_small_file_of_many_trips_through_the_driver(spark, tmp_path):
+    found = QUERIES["trips_with_population"](spark, hot_table(spark, tmp_path))
+    plan = final_plan(found)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # No one of the keys of 13; twice the keys of 17.
+    copies = {k: 1 + (k % 17 == 0) for k in range(65) if k % 13}
+    assert found.count() == sum(2 * n for n in copies.values()) + 100_000
+
+
 def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
     rng = random.Random(5)
     rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))

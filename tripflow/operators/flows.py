@@ -32,13 +32,13 @@ def with_population(trips: DataFrame, population: DataFrame) -> DataFrame:
     counting with ``copies`` as weight equals counting after that join while
     no person meets its copies pair by pair. Where a filter can hold the
     population, trips of other people drop at the scan, before they are shuffled.
-    A population that is too large for it is never broadcast either.
+    Neither side is broadcast, however small Spark takes it for.
     """
     people = population.groupBy("season", "person_id").agg(F.count(F.lit(1)).alias("copies"))
     cells = key_filter(population.select("season", F.col("person_id").cast("long").alias("person_id")), ["season", "person_id"])
     known = may_have_key(cells, [season_of(), F.col("person_id").cast("long")])
     return join_on_hot_keys(
-        trips.filter(known).withColumn("season", season_of()), people, ["season", "person_id"], many=cells is None
+        trips.filter(known).withColumn("season", season_of()), people, ["season", "person_id"], merge=True
     )
 
 

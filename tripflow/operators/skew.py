@@ -10,7 +10,7 @@ _TAG = "__tag"
 
 
 def join_on_hot_keys(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", many: bool = False
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", merge: bool = False
 ) -> DataFrame:
     """Join rows with an aggregate that has one row per key.
 
@@ -20,13 +20,13 @@ def join_on_hot_keys(
     key asks for that shuffle; it carries one row per key. Leading the keys, the
     digest also settles most comparisons of the sort on its first eight bytes.
 
-    ``many``: the aggregate is known to have too many rows for a broadcast. Spark
-    goes by an estimate from the size of compressed files, in which an exploded
-    array counts once, so it may send a table through the driver that is far
-    beyond its limit.
+    ``merge``: neither side is broadcast. Spark goes by an estimate from the size
+    of compressed files, in which an exploded array counts once and millions of
+    equal rows of a hot key next to nothing, so it may send a table through the
+    driver that is far beyond its limit.
     """
     tag = F.xxhash64(*keys)
-    if many:
+    if merge:
         per_key = per_key.hint("merge")
     return (
         rows.withColumn(_TAG, tag)
