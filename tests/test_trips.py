@@ -304,6 +304,16 @@ def test_trips_with_population_sends_no_small_file_of_many_trips_through_the_dri
     assert found.count() == sum(2 * n for n in copies.values()) + 100_000
 
 
+def test_top_od_500_sends_no_small_file_of_many_trips_through_the_driver(spark, tmp_path):
+    found = QUERIES["top_od_500"](spark, hot_table(spark, tmp_path))
+    plan = final_plan(found)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    copies = {k: 1 + (k % 17 == 0) for k in range(65) if k % 13}
+    assert [(r.dataset, r.trip_count, r["rank"]) for r in found.collect()] == [
+        ("Q2 Thursday", sum(2 * n for n in copies.values()) + 100_000, 1)
+    ]
+
+
 def test_merged_sketches_equal_one_pass_within_the_stated_error(spark):
     rng = random.Random(5)
     rows = [trip(duration_minutes=rng.lognormvariate(2, 1), day_type=str(rng.randrange(30)), mode=rng.choice(["A", None]))
