@@ -1,6 +1,7 @@
 """Exact top-k against scoring everything."""
 
 import random
+import re
 
 import pytest
 
@@ -80,6 +81,31 @@ def test_no_side_is_broadcast_or_copied(spark, monkeypatch):
     assert not any("Broadcast" in plan or "Generate" in plan for plan in joins)
 
 
+def test_what_is_shuffled_does_not_grow_with_the_partitions(spark, monkeypatch):
+    # A block of queries was copied to two cells per shuffle partition.
+    shuffled = []
+
+    def seen(df):
+        df.collect()
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("== Initial Plan ==")[0]
+        shuffled.extend(float(n) for n in re.findall(r"rowCount=([0-9.E+]+)", plan) if "MapInArrow" in plan)
+        return cut(df)
+
+    cut = topk.cut
+    monkeypatch.setattr(topk, "cut", seen)
+    conf = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in conf}
+    df = spark.createDataFrame([(i, [i / 300, 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        topk.top_k(df, df.filter("vec_id % 50 = 0"), k=5)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert shuffled and max(shuffled) < 150
+
+
 def test_vectors_of_two_widths_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES_IN_BLOCK", 16)
     monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 4)
